@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from codelode.llm import look_alikes
+from codelode.llm.encoding import encode_corpus
 from codelode.llm.splitting import split_oversized
 from codelode.llm.top_n import top_n_per_group
 from codelode.sources.tables import table
@@ -23,6 +25,16 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     return split_oversized(table(spark, directory, "chunks"))
 
 
+def p6_ids(spark: SparkSession, directory: str) -> DataFrame:
+    """The ids of every document under byte_bpe_50k."""
+    return encode_corpus(table(spark, directory, "documents"))
+
+
+def p8_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Pairs of documents that look the same but differ as strings."""
+    return look_alikes.look_alike_pairs(table(spark, directory, "documents"))
+
+
 P1_SQL = """
 SELECT file_path, id FROM (
   SELECT file_path, id, row_number() OVER (PARTITION BY file_path ORDER BY c DESC, s ASC NULLS LAST, id) AS place
@@ -32,9 +44,26 @@ WHERE place <= 5
 """
 
 
+def p8_sql() -> str:
+    """Look-alike pairs by the same character table and DuckDB's canonical composition."""
+    table = look_alikes.folding()
+    one = {k: v for k, v in table.items() if len(v) == 1}
+    none = [k for k, v in table.items() if not v]
+    text = f"translate(text, '{''.join([*one, *none])}', '{''.join(one.values())}')"
+    for k, v in table.items():
+        if len(v) > 1:
+            text = f"replace({text}, '{k}', '{v}')"
+    return f"""
+WITH forms AS (SELECT doc_id, text, nfc_normalize({text}) AS form FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+seen AS (SELECT * FROM forms WHERE regexp_matches(form, '[^\\s]'))
+SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM seen a JOIN seen b ON a.form = b.form
+WHERE a.doc_id < b.doc_id AND a.text <> b.text
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p3_found": p3_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p6_ids": p6_ids, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL}
+    return {"p1_found": P1_SQL, "p8_found": p8_sql()}
