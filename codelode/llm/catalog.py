@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codelode.llm import look_alikes
 from codelode.llm.encoding import encode_corpus
+from codelode.llm.leakage import leaked_items
 from codelode.llm.splitting import split_oversized
 from codelode.llm.top_n import top_n_per_group
 from codelode.sources.tables import table
@@ -30,6 +31,11 @@ def p6_ids(spark: SparkSession, directory: str) -> DataFrame:
     return encode_corpus(table(spark, directory, "documents"))
 
 
+def p7_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Documents that hold 12 consecutive words of an evaluation item's passage."""
+    return leaked_items(table(spark, directory, "documents"), table(spark, directory, "eval_items"))
+
+
 def p8_found(spark: SparkSession, directory: str) -> DataFrame:
     """Pairs of documents that look the same but differ as strings."""
     return look_alikes.look_alike_pairs(table(spark, directory, "documents"))
@@ -49,7 +55,8 @@ def p8_sql() -> str:
     table = look_alikes.folding()
     one = {k: v for k, v in table.items() if len(v) == 1}
     none = [k for k, v in table.items() if not v]
-    text = f"translate(text, '{''.join([*one, *none])}', '{''.join(one.values())}')"
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    text = f"translate(text, {quoted(''.join([*one, *none]))}, {quoted(''.join(one.values()))})"
     for k, v in table.items():
         if len(v) > 1:
             text = f"replace({text}, '{k}', '{v}')"
@@ -62,7 +69,7 @@ WHERE a.doc_id < b.doc_id AND a.text <> b.text
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p6_ids": p6_ids, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,10 +9,10 @@ different text, so most texts are never exchanged.
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +66,22 @@ def _translation() -> dict[int, str]:
     return {ord(k): v for k, v in folding().items()}
 
 
+@cache
+def _caseless() -> dict[int, str]:
+    """For lower-cased text: small letters also take the plain form of their capital, unless they have their own."""
+    letters = _letters()
+    small = {a.lower(): b.lower() for a, b in letters.items() if a.lower() not in letters and len(a.lower()) == 1}
+    return _translation() | {ord(k): v for k, v in small.items()}
+
+
+def fold_case(text: str) -> str:
+    """The mapped text in one case."""
+    if text.isascii():
+        return text.lower()
+    small = unicodedata.normalize("NFD", fold(text).lower()).translate(_caseless())
+    return unicodedata.normalize("NFC", small)
+
+
 def mapped(text: Column) -> Column:
     """The mapped text as a JVM expression.
 
@@ -103,6 +119,15 @@ def rough(text: Column) -> Column:
     return F.xxhash64(plain)
 
 
+def _composed_form(text: str) -> Column:
+    """NFC, as the collation doesn't see through the order of several accents on one letter."""
+
+    def compose(texts: pd.Series) -> pd.Series:
+        return texts.str.normalize("NFC")
+
+    return F.pandas_udf(compose, "string")(text)
+
+
 def look_alike_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, canonical, text_hash) of every document whose text looks like another, different one.
 
@@ -115,8 +140,8 @@ def look_alike_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -
     seen = narrow.withColumn("looks", mapped(F.col("text"))).where(F.col("looks").rlike("[^\\s\\x{e000}-\\x{e09f}]"))
     keyed = seen.select("k", "looks", rough(F.col("looks")).alias("rough"), F.xxhash64("text").alias("h"))
     mixed = keyed.groupBy("rough").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("rough")
-    cand = keyed.join(mixed, "rough", "left_semi").select("k", "h", F.expr("looks collate UNICODE").alias("looks"))
-    cand = cand.distinct()
+    cand = keyed.join(mixed, "rough", "left_semi").select("k", "h", _composed_form("looks").alias("looks"))
+    cand = cand.select("k", "h", F.expr("looks collate UNICODE").alias("looks")).distinct()
     spark = df.sparkSession
     return spark.sql(
         f"""
