@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codelode.llm import look_alikes
+from codelode.llm import look_alikes, provenance
 from codelode.llm.encoding import encode_corpus
 from codelode.llm.leakage import leaked_items
 from codelode.llm.splitting import split_oversized
@@ -26,6 +26,11 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     return split_oversized(table(spark, directory, "chunks"))
 
 
+def p5_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Files that nobody wrote by hand."""
+    return provenance.not_hand_written(table(spark, directory, "chunks"))
+
+
 def p6_ids(spark: SparkSession, directory: str) -> DataFrame:
     """The ids of every document under byte_bpe_50k."""
     return encode_corpus(table(spark, directory, "documents"))
@@ -50,6 +55,34 @@ WHERE place <= 5
 """
 
 
+def p5_sql() -> str:
+    """The same patterns and thresholds over the files' sums."""
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    lost = lambda text, pattern: f"length({text}) - length(regexp_replace({text}, {q(pattern)}, '', 'g'))"
+    hit = lambda text, pattern: f"regexp_matches({text}, {q(pattern)})"
+    banner = " + ".join(f"{hit('head', p)}::int" for p in provenance.BANNER)
+
+    def rule(t: provenance.Layout) -> str:
+        bare = "greatest(chars - encoded, 1)"
+        return f"""({bare} / lines > {t.mean_line} AND longest > {t.longest_line} AND spaces / {bare} < {t.spaces})
+          OR ((numbers / {bare} > {t.numbers} OR encoded / greatest(chars, 1) > {t.encoded} OR (alnum / {bare} > {t.letters_and_digits} AND longest > {t.longest_line})) AND chars >= 200)"""
+
+    layout = "CASE " + " ".join(f"WHEN extension = {q(name)} THEN {rule(t)}" for name, t in provenance.LAYOUTS.items()) + f" ELSE {rule(provenance.Layout())} END"
+    configuration = ", ".join(q(x) for x in provenance.CONFIGURATION)
+    return f"""
+WITH ids AS (SELECT DISTINCT file_path, id, code FROM chunks WHERE file_path IS NOT NULL),
+bare AS (SELECT *, regexp_replace(code, {q(provenance.ENCODED)}, '', 'g') AS bare, array_to_string(list_slice(string_split(code, chr(10)), 1, {provenance.HEAD_LINES}), chr(10)) AS head FROM ids),
+stats AS (SELECT file_path, length(code) AS chars, length(code) - length(bare) AS encoded, length(code) - length(replace(code, chr(10), '')) + 1 AS lines,
+  list_max(list_transform(string_split(bare, chr(10)), lambda x: length(x))) AS longest, {lost('bare', '[ ' + chr(9) + chr(13) + chr(10) + ']')} AS spaces, {lost('bare', '[A-Za-z0-9]')} AS alnum,
+  {lost('bare', provenance.NUMBER)} AS numbers, ({hit('head', provenance.TOOL)} OR {hit('head', provenance.COPY)} OR ({banner}) >= 2) AS notice FROM bare),
+files AS (SELECT file_path, replace(file_path, chr(92), '/') AS slashed, lower(regexp_extract(replace(file_path, chr(92), '/'), '[.]([^./]*)$', 1)) AS extension,
+  sum(chars) AS chars, sum(encoded) AS encoded, sum(lines) AS lines, sum(spaces) AS spaces, sum(alnum) AS alnum, sum(numbers) AS numbers, max(longest) AS longest, bool_or(notice) AS notice
+  FROM stats GROUP BY file_path)
+SELECT file_path FROM files WHERE extension NOT IN ({configuration})
+  AND ({hit('slashed', provenance.FOLDER)} OR {hit('slashed', provenance.NAME)} OR coalesce(notice, false) OR coalesce({layout}, false))
+"""
+
+
 def p8_sql() -> str:
     """Look-alike pairs by the same character table and DuckDB's canonical composition."""
     table = look_alikes.folding()
@@ -69,8 +102,8 @@ WHERE a.doc_id < b.doc_id AND a.text <> b.text
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p8_found": p8_sql()}
+    return {"p1_found": P1_SQL, "p5_found": p5_sql(), "p8_found": p8_sql()}
