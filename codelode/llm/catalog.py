@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from codelode.llm import look_alikes, provenance
+from codelode.llm.credentials import find_credentials
 from codelode.llm.encoding import encode_corpus
 from codelode.llm.leakage import leaked_items
 from codelode.llm.splitting import split_oversized
@@ -21,6 +23,13 @@ def p1_found(spark: SparkSession, directory: str) -> DataFrame:
     return top_n_per_group(table(spark, directory, "chunks"), "file_path", "cyclomatic_complexity", "id", 5, "start_line")
 
 
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Lines of chunks and vectors where a credential starts."""
+    chunks = find_credentials(table(spark, directory, "chunks"), "id").withColumn("src_table", F.lit("chunks"))
+    vectors = find_credentials(table(spark, directory, "vectors"), "chunk_id").withColumn("src_table", F.lit("vectors"))
+    return chunks.unionByName(vectors).select("src_table", "chunk_id", "line_no")
+
+
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     """The pieces of every chunk of more than 100 lines."""
     return split_oversized(table(spark, directory, "chunks"))
@@ -102,7 +111,7 @@ WHERE a.doc_id < b.doc_id AND a.text <> b.text
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
