@@ -11,6 +11,7 @@ from codelode.llm import look_alikes, provenance
 from codelode.llm.credentials import find_credentials
 from codelode.llm.encoding import encode_corpus
 from codelode.llm.leakage import leaked_items
+from codelode.llm.near_copies import near_copy_pairs
 from codelode.llm.splitting import split_oversized
 from codelode.llm.top_n import top_n_per_group
 from codelode.sources.tables import table
@@ -35,6 +36,11 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     return split_oversized(table(spark, directory, "chunks"))
 
 
+def p4_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Pairs of chunks whose runs of three tokens are at least 0.7 similar."""
+    return near_copy_pairs(table(spark, directory, "chunks"))
+
+
 def p5_found(spark: SparkSession, directory: str) -> DataFrame:
     """Files that nobody wrote by hand."""
     return provenance.not_hand_written(table(spark, directory, "chunks"))
@@ -63,6 +69,15 @@ SELECT file_path, id FROM (
 WHERE place <= 5
 """
 
+P4_SQL = """
+WITH ids AS (SELECT DISTINCT id, code FROM chunks WHERE id IS NOT NULL AND code IS NOT NULL),
+tokens AS (SELECT id, list_transform(regexp_extract_all(code, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS t FROM ids),
+grams AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) AS g FROM tokens WHERE len(t) >= 40),
+sizes AS (SELECT id, count(*) AS n FROM grams GROUP BY id),
+common AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id)
+SELECT id_a, id_b FROM common JOIN sizes a ON id_a = a.id JOIN sizes b ON id_b = b.id WHERE c * 10 >= 7 * (a.n + b.n - c)
+"""
+
 
 def p5_sql() -> str:
     """The same patterns and thresholds over the files' sums."""
@@ -111,8 +126,8 @@ WHERE a.doc_id < b.doc_id AND a.text <> b.text
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p5_found": p5_sql(), "p8_found": p8_sql()}
+    return {"p1_found": P1_SQL, "p4_found": P4_SQL, "p5_found": p5_sql(), "p8_found": p8_sql()}

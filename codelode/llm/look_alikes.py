@@ -24,7 +24,7 @@ CHEROKEE = ("ᎠᎡᎢᎪᎫᎳᎷᎻᏀᏃᏚᏙᏞᏟᏢᏦᏴ", "DRTAJWMHGZSV
 # Joined letters.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 # Single characters that are the same as another one by name only.
-SAME = {"K": "K", "Å": "Å", "Ω": "Ω", "µ": "μ"}
+SAME = {"\u212a": "K", "\u212b": "\u00c5", "\u2126": "\u03a9", "\u00b5": "\u03bc"}
 
 
 def _invisible() -> list[str]:

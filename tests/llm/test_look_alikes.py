@@ -24,7 +24,7 @@ SAME = [
     ["Résumé ok", "Résumé ok", "Ｒésumé ok", "Ré​sumé ok", "Résumé ok", "Résumé ok﻿"],
     ["office", "oﬃce", "оffice", "off­ice"],
     ["ёж", "ёж", "ëж"],
-    ["50 K", "50 K", "５０ K"],
+    ["50 K", "50 " + chr(0x212A), "５０ K"],
     ["日本 語", "日本　語"],
     ["한글", unicodedata.normalize("NFD", "한글")],
     ["q" + chr(0x323) + chr(0x301), "q" + chr(0x301) + chr(0x323)],
