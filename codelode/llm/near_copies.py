@@ -38,9 +38,6 @@ LARGEST = (1 << SIZE_BITS) - 1
 #: Bits of a key that hold its level.
 LEVEL_BITS = 4
 LAST_LEVEL = (1 << LEVEL_BITS) - 1
-#: 64-bit words of a whole-set sketch.
-SKETCH_WORDS = 4
-WORDS = [f"s{k}" for k in range(SKETCH_WORDS)]
 #: Keys sent to the executors at once when they are refined; more are refined in several passes.
 KEYS_AT_ONCE = 1_000_000
 _LOW = np.uint64(LAST_LEVEL)
@@ -53,7 +50,7 @@ class Rule:
     run: int = 3
     least_tokens: int = 40
     similarity: Fraction = Fraction(7, 10)
-    few: int = 64
+    few: int = 6
     many: int = 8192
     depth: int = 3
 
@@ -75,6 +72,10 @@ class Rule:
         """Parts at a level, a fifth more than its largest difference; 0: every element is a part."""
         return 0 if level in (0, LAST_LEVEL) else int(1.2 * 8 * 2**level) + 1
 
+    def words(self, level: int) -> int:
+        """64-bit words of a whole-set sketch: about two bits for an element of the level's sets, at most 16384 bits."""
+        return 2 ** min(max(level - 1, 2), 8)
+
     def levels(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The lowest and highest band of pairs that a set of each size can be in."""
         near = float(self.similarity)
@@ -157,6 +158,19 @@ def _reader(rule: Rule, at_once: int = 2000) -> Callable[[Iterator[pa.RecordBatc
     return read
 
 
+def _level_sketches(sets: Sets, rule: Rule, owner: np.ndarray, level: np.ndarray) -> pa.Array:
+    """The sketch of each (set, level) as bytes."""
+    found: list[bytes | None] = [None] * len(owner)
+    for k in np.unique(level).tolist():
+        at = np.flatnonzero(level == k)
+        used, back = np.unique(owner[at], return_inverse=True)
+        part = sets.only(used)
+        rows = [r.tobytes() for r in part.sketches(rule.words(k))]
+        for i, r in zip(at.tolist(), back.tolist()):
+            found[i] = rows[r]
+    return pa.array(found, pa.binary())
+
+
 def _signer(rule: Rule, sent=None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Keys of every set; with ``sent`` (keys to refine of each depth, keys to keep) also their sketches."""
 
@@ -169,19 +183,27 @@ def _signer(rule: Rule, sent=None) -> Callable[[Iterator[pa.RecordBatch]], Itera
             if only is not None:
                 kept = _in(only, key)
                 owner, key = owner[kept], key[kept]
-            columns = [key.view(np.int64), number[owner]]
+            columns = [pa.array(key.view(np.int64)), pa.array(number[owner])]
             if sent is not None:
-                columns += list(sets.sketches(SKETCH_WORDS).view(np.int64)[owner].T)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "class", *WORDS][: len(columns)])
+                columns.append(_level_sketches(sets, rule, owner, (key & _LOW).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "class", "sketch"][: len(columns)])
 
     return run
 
 
-def _sketcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        number, first = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)
-        words = _sets(batch.column(1).take(pa.array(first))).sketches(SKETCH_WORDS).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(number), *(pa.array(words[:, k]) for k in range(SKETCH_WORDS))], names=["class", *WORDS])
+def _sketcher(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(class, level, sketch) for all levels of every set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number, first = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)
+            sets = _sets(batch.column(1).take(pa.array(first)))
+            low, high = rule.levels(sets.sizes)
+            owner = np.repeat(np.arange(len(low)), high - low + 1)
+            level = np.concatenate([np.arange(a, b + 1) for a, b in zip(low, high)] or [np.empty(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(number[owner]), pa.array(level.astype(np.int32)), _level_sketches(sets, rule, owner, level)], names=["class", "level", "sketch"])
+
+    return run
 
 
 def _similar_sizes(a: np.ndarray, b: np.ndarray, level: np.ndarray, rule: Rule) -> np.ndarray:
@@ -192,12 +214,13 @@ def _similar_sizes(a: np.ndarray, b: np.ndarray, level: np.ndarray, rule: Rule)
     return (high == LARGEST) | (fits & (rule.level(x + y) == level))
 
 
-def _batch(hot: bool, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), hot)), pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["hot", "x", "y"])
+def _batch(hot: bool, x: np.ndarray, y: np.ndarray, level: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(np.full(len(x), hot)), pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(level, pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, names=["hot", "x", "y", "level"])
 
 
 def _hot(keys: np.ndarray) -> pa.RecordBatch:
-    return _batch(True, keys, np.zeros(len(keys), np.int64))
+    return _batch(True, keys, np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int32))
 
 
 def _runs(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
@@ -249,8 +272,8 @@ def _pairer(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             if a:
                 x, y, key = np.concatenate(a), np.concatenate(b), np.concatenate(at)
                 fits = _similar_sizes(x, y, key & LAST_LEVEL, rule)
-                pairs = np.unique(np.stack([x[fits], y[fits]], axis=1), axis=0)
-                yield _batch(False, pairs[:, 0], pairs[:, 1])
+                pairs = np.unique(np.stack([x[fits], y[fits], key[fits] & LAST_LEVEL], axis=1), axis=0)
+                yield _batch(False, *pairs.T)
 
     return pair
 
@@ -270,7 +293,9 @@ def _comparer(rule: Rule, last: bool) -> Callable[[Iterator[pa.RecordBatch]], It
             reach = len(size) if top * rule.similarity.denominator >= LARGEST * rule.similarity.numerator else int(np.searchsorted(size, math.floor(top / rule.similarity), side="right"))
             for to in range(at, reach, 4096):
                 b = classes[to : min(to + 4096, reach)]
-                distance = np.bitwise_count(here[:, None, :] ^ sketches[None, to : to + len(b), :]).sum(axis=2, dtype=np.int64)
+                distance = np.zeros((len(a), len(b)), np.int64)
+                for word in range(sketches.shape[1]):
+                    distance += np.bitwise_count(here[:, None, word] ^ sketches[None, to : to + len(b), word])
                 allowed = np.floor(((a & LARGEST)[:, None] + (b & LARGEST)[None, :]) * rule.share + 1e-9)
                 fits = (distance <= allowed) | ((b & LARGEST) == LARGEST)[None, :]
                 fits &= np.arange(at, at + len(a))[:, None] < np.arange(to, to + len(b))[None, :]
@@ -278,22 +303,40 @@ def _comparer(rule: Rule, last: bool) -> Callable[[Iterator[pa.RecordBatch]], It
                 x, y = np.minimum(a[i], b[j]), np.maximum(a[i], b[j])
                 right = _similar_sizes(x, y, level, rule)
                 if right.any():
-                    yield _batch(False, x[right], y[right])
+                    yield _batch(False, x[right], y[right], np.full(int(right.sum()), level))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (keys, classes, *words), begins in _runs(batches, None if last else rule.many):
-            sketches = np.stack([w.view(np.uint64) for w in words], axis=1)
+        for (keys, classes, sketches), begins in _runs(batches, None if last else rule.many):
             size = np.diff(begins)
             large = ~(size <= rule.many) & (not last)
             if large.any():
                 yield _hot(keys[begins[:-1][large]])
             for k in np.flatnonzero((size > 1) & ~large).tolist():
                 span = slice(int(begins[k]), int(begins[k + 1]))
-                yield from near(int(keys[begins[k]]), classes[span], sketches[span])
+                words = np.frombuffer(b"".join(sketches[span]), np.uint64).reshape(int(size[k]), -1)
+                yield from near(int(keys[begins[k]]), classes[span], words)
 
     return compare
 
 
+def _filter(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (x, y, sketch of x, sketch of y): the pairs whose sketches are near enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            bits = np.frombuffer(b"".join(a), np.uint64) ^ np.frombuffer(b"".join(b), np.uint64)
+            ends = np.cumsum([len(v) // 8 for v in a])
+            total = np.concatenate([[0], np.cumsum(np.bitwise_count(bits), dtype=np.int64)])
+            distance = np.diff(total[np.concatenate([[0], ends]).astype(np.int64)])
+            sizes = np.stack([x & LARGEST, y & LARGEST])
+            fits = (distance <= rule.difference(sizes.sum(axis=0))) | (sizes.max(axis=0, initial=0) == LARGEST)
+            yield pa.RecordBatch.from_arrays([pa.array(x[fits]), pa.array(y[fits])], names=["x", "y"])
+
+    return run
+
+
 def _blocks(keys: DataFrame) -> list[np.ndarray]:
     """The keys of met runs, sorted, in blocks that may be sent to the executors."""
     distinct = keys.distinct()
@@ -308,18 +351,18 @@ def _blocks(keys: DataFrame) -> list[np.ndarray]:
 
 def _met(rows: DataFrame, function) -> DataFrame:
     ordered = rows.repartition("key").sortWithinPartitions("key", "class")
-    return cut(ordered.mapInArrow(function, "hot boolean, x long, y long"))
+    return cut(ordered.mapInArrow(function, "hot boolean, x long, y long, level int"))
 
 
 def _candidates(sets: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """(x, y), x < y: pairs of classes with a key in common: those not compared yet, and those near by sketch."""
+    """(x, y), x < y: pairs of classes with a key in common: those not compared yet (with level), and those near by sketch."""
     spark = sets.sparkSession
     rows = sets.select("class", "elements")
     met = _met(rows.mapInArrow(_signer(rule), "key long, class long"), _pairer(rule))
-    pairs, near = met.where("not hot").select("x", "y").distinct(), met.where("false").select("x", "y")
+    pairs, near = met.where("not hot").select("x", "y", "level").distinct(), met.where("false").select("x", "y")
     chain: list[list[np.ndarray]] = []  # of each depth, the keys to refine
     only: list = _blocks(met.where("hot").select("x"))
-    schema = "key long, class long, " + ", ".join(f"{w} long" for w in WORDS)
+    schema = "key long, class long, sketch binary"
     for depth in range(1, rule.depth + 1):
         if not (only if depth == 1 else chain[-1]):
             break
@@ -352,13 +395,10 @@ def near_copies(df: DataFrame, key: str = "id", text: str = "code", rule: Rule |
     sets = cut(rows.mapInArrow(_reader(rule), f"id {kind}, class long, elements array<long>"))
     pairs, near = _candidates(sets, rule)
 
-    sketches = sets.select("class", "elements").mapInArrow(_sketcher, "class long, " + ", ".join(f"{w} long" for w in WORDS)).dropDuplicates(["class"])
-    a = sketches.select(F.col("class").alias("x"), *(F.col(w).alias(f"a{w}") for w in WORDS))
-    b = sketches.select(F.col("class").alias("y"), *(F.col(w).alias(f"b{w}") for w in WORDS))
-    distance = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in WORDS), F.lit(0))
-    size = lambda c: F.col(c).bitwiseAND(F.lit(LARGEST))
-    allowed = F.floor((size("x") + size("y")) * rule.share + 1e-9)
-    compared = pairs.join(a, "x").join(b, "y").where((distance <= allowed) | (F.greatest(size("x"), size("y")) == LARGEST)).select("x", "y")
+    sketches = sets.select("class", "elements").mapInArrow(_sketcher(rule), "class long, level int, sketch binary").dropDuplicates(["class", "level"])
+    a = sketches.select(F.col("class").alias("x"), "level", F.col("sketch").alias("a"))
+    b = sketches.select(F.col("class").alias("y"), "level", F.col("sketch").alias("b"))
+    compared = pairs.join(a, ["x", "level"]).join(b, ["y", "level"]).select("x", "y", "a", "b").mapInArrow(_filter(rule), "x long, y long")
     near = cut(compared.unionAll(near).distinct())
 
     wanted = near.select(F.explode(F.array("x", "y")).alias("class")).distinct()

@@ -28,6 +28,20 @@ def tokens_of(text: str) -> list[bytes]:
     return _TOKEN.findall(text.encode().lower())
 
 
+def parity_bits(elements: np.ndarray, owner: np.ndarray, sets: int, words: int) -> np.ndarray:
+    """For each of so many sets, 64 * words bits of how often (mod 2) its elements hit them."""
+    place = mixed(elements, 9) % np.uint64(64 * words)
+    cell = owner.astype(np.int64) * (64 * words) + place.astype(np.int64)
+    odd = np.unique(cell, return_counts=True)
+    cell = odd[0][odd[1] % 2 == 1]
+    found = np.zeros(sets * words, np.uint64)
+    if len(cell):
+        word = cell >> 6
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        found[word[first]] = np.bitwise_or.reduceat(np.uint64(1) << (cell & 63).astype(np.uint64), first)
+    return found.reshape(sets, words)
+
+
 @dataclass
 class Sets:
     """The sets of a batch: element hashes in a row, sorted in each set, and where each set begins."""
@@ -43,6 +57,12 @@ class Sets:
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.begins) - 1), self.sizes)
 
+    def only(self, which: np.ndarray) -> Sets:
+        """The chosen sets, in that order."""
+        size = self.sizes[which]
+        begins = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        return Sets(self.elements[np.arange(begins[-1]) - np.repeat(begins[:-1] - self.begins[which], size)], begins)
+
     def fingerprints(self) -> np.ndarray:
         """One hash for each set, equal for equal sets; 0 for the empty set."""
         total = np.zeros(len(self.begins) - 1, np.uint64)
@@ -56,10 +76,7 @@ class Sets:
 
         The Hamming distance of two sketches is at most the size of the sets' symmetric difference.
         """
-        found = np.zeros((len(self.begins) - 1, words), np.uint64)
-        place = (mixed(self.elements, 9) % np.uint64(64 * words)).astype(np.int64)
-        np.bitwise_xor.at(found, (self.owner, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
-        return found
+        return parity_bits(self.elements, self.owner, len(self.begins) - 1, words)
 
     def part_keys(self, which: np.ndarray, parts: int, salt: int) -> Parts:
         """The parts that are not empty of the chosen sets.
