@@ -1,25 +1,33 @@
-"""Catalogue of the core queries."""
+"""Catalogue of the core queries: every area's registry in one place."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from codelode.sources.tables import table
+from codelode.plans import scalars
+from codelode.plans.registry import Query
+
+AREAS = (scalars,)
+
 
-Query = Callable[[SparkSession, str], DataFrame]
+def entries() -> dict[str, tuple[Query, str | None]]:
+    found: dict[str, tuple[Query, str | None]] = {}
+    for area in AREAS:
+        clash = found.keys() & area.R.entries.keys()
+        if clash:
+            raise ValueError(f"queries defined twice: {sorted(clash)}")
+        found.update(area.R.entries)
+    return found
 
 
 def flagship(spark: SparkSession, directory: str) -> DataFrame:
-    """Chunks and mean complexity by file."""
-    return table(spark, directory, "chunks").groupBy("file_path").agg(F.count("*").alias("chunks"))
+    """Language shares of every job."""
+    return scalars.language_fingerprint(spark, directory)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for name, (query, _) in entries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in entries().items() if sql}
