@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codelode.plans import scalars
+from codelode.plans import graphs, scalars
 from codelode.plans.registry import Query
 
-AREAS = (scalars,)
+AREAS = (scalars, graphs)
 
 
 def entries() -> dict[str, tuple[Query, str | None]]:
