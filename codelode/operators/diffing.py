@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,7 +35,5 @@ def upsert(stored: DataFrame, changed: DataFrame, key: str, deleted: DataFrame |
 
 def first_of(df: DataFrame, keys: list[str], order: list, keep: int = 1) -> DataFrame:
     """WIN6: the first rows of every key in an explicit order (ties by the order given, so make it total)."""
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("__place", place).where(F.col("__place") <= keep).drop("__place")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codelode.functions import text as X
@@ -37,8 +37,6 @@ def language_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks").where("file_path is not null and code is not null")
     ids = chunks.select("id", X.job_of(F.col("file_path")).alias("job"), X.language(F.col("file_path")).alias("language"), F.length("code").alias("n")).distinct()
     sums = ids.groupBy("job", "language").agg(F.sum("n").cast("long").alias("chars"))
-    from pyspark.sql import Window
-
     of_job = Window.partitionBy("job")
     first = F.row_number().over(of_job.orderBy(F.col("chars").desc(), "language")) == 1
     return sums.select("job", "language", "chars", F.round(100.0 * F.col("chars") / F.sum("chars").over(of_job), 2).alias("share"), first.alias("main"))
