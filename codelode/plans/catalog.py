@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codelode.plans import evaluations, findings, graphs, scalars, searches
+from codelode.plans import evaluations, findings, graphs, parsing, progress, scalars, searches
 from codelode.plans.registry import Query
 
-AREAS = (scalars, graphs, findings, evaluations, searches)
+AREAS = (scalars, parsing, graphs, findings, evaluations, searches, progress)
 
 
 def entries() -> dict[str, tuple[Query, str | None]]:
