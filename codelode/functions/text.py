@@ -166,9 +166,10 @@ def embedding_text(path: Column, start: Column, end: Column, complexity: Column,
 
 def fenced_code(answer: Column) -> Column:
     """SCL25: code in a fixed_code element, else in a fenced block, else the text itself unless it is []."""
-    tag = F.trim(F.regexp_extract(answer, r"(?s)<fixed_code>(.*?)</fixed_code>", 1))
-    fence = F.trim(F.regexp_extract(answer, r"(?s)```[A-Za-z]*\n(.*?)```", 1))
-    raw = F.trim(answer)
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    tag = bare(F.regexp_extract(answer, r"(?s)<fixed_code>(.*?)</fixed_code>", 1))
+    fence = bare(F.regexp_extract(answer, r"(?s)```[A-Za-z]*\n(.*?)```", 1))
+    raw = bare(answer)
     return F.coalesce(F.nullif(tag, F.lit("")), F.nullif(fence, F.lit("")), F.when(~raw.isin("", "[]"), raw))
 
 

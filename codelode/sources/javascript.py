@@ -121,10 +121,11 @@ def _partners(ts: list[Token]) -> dict[int, int]:
 def _block_after(ts: list[Token], k: int, partner: dict[int, int]) -> int | None:
     """The { of a body that follows a parameter list, past a return type."""
     if k < len(ts) and ts[k].text == ":":
-        k += 1
-        while k < len(ts) and ts[k].text not in (";", "=>", ",", ")", "]", "}", "="):
-            if ts[k].text == "{" and ts[k - 1].text not in (":", "|", "&", "<"):
+        k, angles = k + 1, 0
+        while k < len(ts) and (angles > 0 or ts[k].text not in (";", "=>", ",", ")", "]", "}", "=")):
+            if ts[k].text == "{" and not angles and ts[k - 1].text not in (":", "|", "&"):
                 return k
+            angles += (ts[k].text == "<") - ts[k].text.count(">") * (ts[k].text in (">", ">>", ">>>"))
             k = partner.get(k, k) + 1 if ts[k].text in BRACKETS else k + 1
         return None
     return k if k < len(ts) and ts[k].text == "{" else None

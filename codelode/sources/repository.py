@@ -80,7 +80,7 @@ def ground_truths(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(TRUTH).option("multiLine", True).option("mode", "FAILFAST").json(path)
     whole = F.col("name").isNotNull() & F.col("repoUrl").isNotNull() & F.col("commitHash").isNotNull() & F.col("vulnerabilities").isNotNull()
     checked = rows.where(F.assert_true(whole, "an entry lacks name, repoUrl, commitHash or vulnerabilities").isNull())
-    flat = checked.select("name", F.col("repoUrl").alias("repo_url"), F.col("commitHash").alias("commit_hash"), F.explode("vulnerabilities").alias("v"))
+    flat = checked.select("name", F.col("repoUrl").alias("repo_url"), F.col("commitHash").alias("commit_hash"), F.explode_outer("vulnerabilities").alias("v")).where("v is not null")  # an inner explode would drop faulty entries before they are met
     return flat.select(
         "name", "repo_url", "commit_hash", F.col("v.filePath").alias("file_path"), F.col("v.ruleId").alias("rule_id"), F.col("v.line").alias("line"), F.col("v.severity").alias("severity"),
         F.coalesce("v.expectedAgent", F.lit("security")).alias("expected_agent"), F.col("v.description").alias("description"),
