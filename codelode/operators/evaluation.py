@@ -40,17 +40,20 @@ def match(findings: DataFrame, truth: DataFrame, tolerance: int = 3) -> DataFram
     """JOI11: (class, finding, vulnerability, delta): TP pairs one to one, FP findings, FN vulnerabilities.
 
     Findings choose in the order of ``place``, each the nearest vulnerability left, ties the smaller
-    number. Only findings with a candidate enter the ordered step, grouped by signature and by runs of
-    candidates that touch, since choices in one run can't touch another.
+    number. Pairs without any rival are matched as they are; only the others enter the ordered step,
+    grouped by signature and by runs of candidates that touch, since choices in one run can't touch another.
     """
     close = candidates(findings, truth, tolerance).join(findings.select("finding", "place"), "finding").join(truth.select("vulnerability", F.col("line").alias("at")), "vulnerability")
     by_line = Window.partitionBy("signature").orderBy("at", "vulnerability")
     gap = F.col("at") - F.lag("at", 1, -(10**9)).over(by_line)
     grouped = close.withColumn("gap", (gap > 2 * tolerance).cast("long")).withColumn("run", F.sum("gap").over(by_line.rowsBetween(Window.unboundedPreceding, 0)))
     kinds = {f.name: f.dataType.simpleString() for f in close.schema.fields}
-    pairs = grouped.select("signature", "run", "place", "finding", "vulnerability", "delta").groupBy("signature", "run").applyInPandas(
+    alone = (F.count("*").over(Window.partitionBy("finding")) == 1) & (F.count("*").over(Window.partitionBy("vulnerability")) == 1)
+    marked = grouped.select("signature", "run", "place", "finding", "vulnerability", "delta", alone.alias("alone"))
+    contested = marked.where("not alone").groupBy("signature", "run").applyInPandas(
         lambda rows: _greedy(rows), f"finding {kinds['finding']}, vulnerability {kinds['vulnerability']}, delta long"
     )
+    pairs = marked.where("alone").select("finding", "vulnerability", "delta").unionAll(contested)
     tp = pairs.select(F.lit("TP").alias("class"), "finding", "vulnerability", "delta")
     none = lambda kind: F.lit(None).cast(kind)
     fp = findings.join(pairs.select("finding"), "finding", "left_anti").select(F.lit("FP"), "finding", none(kinds["vulnerability"]), none("long"))
