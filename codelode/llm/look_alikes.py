@@ -1,19 +1,24 @@
 """Problem 8: bringing visually identical texts to one form.
 
-Method: every character is mapped to the plain one it looks like, in the JVM; the mapped texts are grouped
-under the accent-sensitive collation UNICODE in SQL, which treats composed and combining accents as
-equal; the smallest document of a class is its canonical member and is joined back. Before texts are
-grouped, a hash of what no mapping and no collation changes leaves only documents that share it with a
-different text, so most texts are never exchanged.
+Method: every character is mapped to the plain one it looks like, in Arrow batches; the mapped texts are
+grouped under the accent-sensitive collation UNICODE in SQL; the smallest document of a class is its
+canonical member and is joined back. Before texts are grouped, a hash of what the collation tells apart
+leaves only documents that share it with a different text, so most texts are never exchanged.
+(With the mapping as a JVM ``translate`` the query took 42.9 s over 10,000 documents instead of 2.4 s.)
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import regex
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Letters of other scripts and the Latin letters that they look like.
@@ -82,50 +87,32 @@ def fold_case(text: str) -> str:
     return unicodedata.normalize("NFC", small)
 
 
-def mapped(text: Column) -> Column:
-    """The mapped text as a JVM expression.
-
-    Control characters, which the collation would ignore, become private-use ones and so stay different.
-    """
-    table = folding()
-    controls = [chr(c) for c in [*range(0x00, 0x09), 0x0B, 0x0C, *range(0x0E, 0x20), *range(0x7F, 0xA0)]]
-    one = {k: v for k, v in table.items() if len(v) == 1} | {c: chr(0xE000 + ord(c)) for c in controls}
-    none = [k for k, v in table.items() if not v]
-    found = F.translate(text, "".join([*one, *none]), "".join(one.values()))
-    many = {k: v for k, v in table.items() if len(v) > 1}
-    pattern = "[" + "".join(many) + "]"
-    replaced = found
-    for k, v in many.items():
-        replaced = F.replace(replaced, F.lit(k), F.lit(v))
-    return F.when(found.rlike(pattern), replaced).otherwise(found)
-
-
-@cache
-def _composed() -> str:
-    """A character class of all letters that a canonical equivalence can write differently."""
-    codes = [c for c in range(0x80, 0x10000) if not 0xAC00 <= c < 0xD7A4 and not 0xD800 <= c < 0xE000 and unicodedata.normalize("NFD", chr(c)) != chr(c)]
-    spans: list[list[int]] = []
-    for c in [*codes, *range(0x1100, 0x1200), *range(0xAC00, 0xD7A4)]:
-        if spans and spans[-1][1] == c - 1:
-            spans[-1][1] = c
-        else:
-            spans.append([c, c])
-    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans)
-
-
-def rough(text: Column) -> Column:
-    """A hash that mapped texts share whenever the collation holds them equal."""
-    plain = F.when(text.rlike("[^\\x00-\\x7f]"), F.regexp_replace(text, f"[\\s\\S]\\p{{M}}+|[{_composed()}]|\\p{{Cf}}|\\p{{Cn}}", "")).otherwise(text)
-    return F.xxhash64(plain)
+#: Control characters, which the collation would ignore, become private-use ones and so stay different.
+_CONTROLS = {c: chr(0xE000 + c) for c in [*range(0x00, 0x09), 0x0B, 0x0C, *range(0x0E, 0x20), *range(0x7F, 0xA0)]}
+_HAS_CONTROL = re.compile("[" + "".join(map(re.escape, map(chr, _CONTROLS))) + "]")
+_SEEN = re.compile("[^\\s\ue000-\ue09f]")
+#: What the collation ignores wherever it stands.
+_IGNORED = regex.compile(r"[\p{Cf}\p{Cn}]")
 
 
-def _composed_form(text: str) -> Column:
-    """NFC, as the collation doesn't see through the order of several accents on one letter."""
+def looks(text: str) -> str | None:
+    """The mapped text with composed accents; None if there is nothing to see."""
+    found = fold(text)
+    if _HAS_CONTROL.search(found):
+        found = found.translate(_CONTROLS)
+    return found if _SEEN.search(found) else None
 
-    def compose(texts: pd.Series) -> pd.Series:
-        return texts.str.normalize("NFC")
 
-    return F.pandas_udf(compose, "string")(text)
+def _mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (k, text): (k, looks, rough, h). ``rough`` is shared by all texts that the collation holds equal."""
+    for batch in batches:
+        forms = [looks(t) for t in batch.column(1).to_pylist()]
+        kept = [k for k, f in enumerate(forms) if f is not None]
+        shown = [forms[k] for k in kept]
+        rough = [xxhash.xxh3_64_intdigest(f if f.isascii() else _IGNORED.sub("", f)) for f in shown]
+        own = [xxhash.xxh3_64_intdigest(t) for t in batch.column(1).take(pa.array(kept, pa.int64())).to_pylist()]
+        signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), pa.array(shown, pa.string()), signed(rough), signed(own)], names=["k", "looks", "rough", "h"])
 
 
 def look_alike_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -137,11 +124,10 @@ def look_alike_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -
     count once; other columns are never read. An empty table gives an empty result.
     """
     narrow = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("text")).where("k is not null and text is not null")
-    seen = narrow.withColumn("looks", mapped(F.col("text"))).where(F.col("looks").rlike("[^\\s\\x{e000}-\\x{e09f}]"))
-    keyed = seen.select("k", "looks", rough(F.col("looks")).alias("rough"), F.xxhash64("text").alias("h"))
+    kind = narrow.schema["k"].dataType.simpleString()
+    keyed = narrow.mapInArrow(_mapper, f"k {kind}, looks string, rough long, h long")
     mixed = keyed.groupBy("rough").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("rough")
-    cand = keyed.join(mixed, "rough", "left_semi").select("k", "h", _composed_form("looks").alias("looks"))
-    cand = cand.select("k", "h", F.expr("looks collate UNICODE").alias("looks")).distinct()
+    cand = keyed.join(mixed, "rough", "left_semi").select("k", "h", F.expr("looks collate UNICODE").alias("looks")).distinct()
     spark = df.sparkSession
     return spark.sql(
         f"""
