@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "codelode", master: str | None = None, **conf: str) -> SparkSession:
@@ -50,3 +51,17 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and returns it with its lineage cut (survives lost executors)."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Rows of two numbers or less that may be sent to every executor (16 MB).
+SMALL_ROWS = 1_000_000
+
+
+def sent_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """df, written once, with a broadcast hint if it was counted to have so few (narrow) rows; else without.
+
+    For semi joins that thin out wide rows: broadcast, they need no exchange of the wide side; beyond
+    the bound the planner joins as it sees fit.
+    """
+    kept = cut(df)
+    return F.broadcast(kept) if kept.count() <= rows else kept
