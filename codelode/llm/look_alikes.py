@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelode.session import cut, sent_if_small
+
 # Letters of other scripts and the Latin letters that they look like.
 CYRILLIC = ("АВЕЅІЈКМНОРСТУХҮԌԚԜӀаеорсухѕіјһԁԛԝӏѵ", "ABESIJKMHOPCTYXYGQWIaeopcyxsijhdqwlv")
 GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳοανιρυκϲ", "ABEZHIKMNOPTYXCjoavipukc")
@@ -127,7 +129,8 @@ def look_alike_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -
     kind = narrow.schema["k"].dataType.simpleString()
     keyed = narrow.mapInArrow(_mapper, f"k {kind}, looks string, rough long, h long")
     mixed = keyed.groupBy("rough").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("rough")
-    cand = keyed.join(mixed, "rough", "left_semi").select("k", "h", F.expr("looks collate UNICODE").alias("looks")).distinct()
+    found = cut(keyed.join(sent_if_small(mixed), "rough", "left_semi").select("k", "h", "looks").distinct())
+    cand = found.select("k", "h", F.expr("looks collate UNICODE").alias("looks"))
     spark = df.sparkSession
     return spark.sql(
         f"""
