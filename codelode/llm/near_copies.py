@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelode.llm.parity import Sets, mixed, sets_of
-from codelode.session import cut
+from codelode.session import cut, sent_if_small
 
 #: Bits of a class number that hold its set's size, and the last size told apart.
 SIZE_BITS = 13
@@ -401,7 +401,7 @@ def near_copies(df: DataFrame, key: str = "id", text: str = "code", rule: Rule |
     compared = pairs.join(a, ["x", "level"]).join(b, ["y", "level"]).select("x", "y", "a", "b").mapInArrow(_filter(rule), "x long, y long")
     near = cut(compared.unionAll(near).distinct())
 
-    wanted = near.select(F.explode(F.array("x", "y")).alias("class")).distinct()
+    wanted = sent_if_small(near.select(F.explode(F.array("x", "y")).alias("class")).distinct())
     contents = sets.select("class", "elements").join(wanted, "class", "left_semi").dropDuplicates(["class"])
     left = contents.select(F.col("class").alias("x"), F.col("elements").alias("ea"))
     right = contents.select(F.col("class").alias("y"), F.col("elements").alias("eb"))
