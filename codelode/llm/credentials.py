@@ -291,8 +291,8 @@ def in_line(line: str, before: str = "") -> Iterator[tuple[int, int]]:
             yield m.span(2)
 
 
-def credentials_in(code: str) -> list[Credential]:
-    """All credentials of a text in order, without overlaps."""
+def _spans(code: str) -> set[tuple[int, int]]:
+    """Where credentials stand; a key of several lines may have others between its lines."""
     spans: set[tuple[int, int]] = set()
     for m in KEY_BLOCK.finditer(code):
         end = code.find("-----END", m.start())
@@ -302,8 +302,13 @@ def credentials_in(code: str) -> list[Credential]:
     for a, b in suspicious_lines(code):
         above = code[code.rfind("\n", 0, a - 1) + 1 : a - 1].rstrip("\r") if a else ""
         spans.update((a + x, a + y) for x, y in in_line(code[a:b].rstrip("\r"), above))
+    return spans
+
+
+def credentials_in(code: str) -> list[Credential]:
+    """All credentials of a text in order; those that overlap are one."""
     found: list[Credential] = []
-    for a, b in sorted(spans):
+    for a, b in sorted(_spans(code)):
         if found and a < found[-1].end:
             found[-1] = Credential(found[-1].start, max(b, found[-1].end))
         elif b > a:
@@ -322,7 +327,7 @@ def redacted(code: str, mask: str = "*") -> str:
 
 def lines_with_credentials(code: str) -> list[int]:
     """1-based lines where a credential starts."""
-    return sorted({code.count("\n", 0, c.start) + 1 for c in credentials_in(code)})
+    return sorted({code.count("\n", 0, a) + 1 for a, b in _spans(code) if b > a})
 
 
 def _line_finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -87,6 +87,12 @@ def test_not_found(code):
     assert lines_with_credentials(code) == []
 
 
+def test_a_credential_between_the_lines_of_a_key():
+    block = f"const k = `-----BEGIN RSA PRIVATE KEY-----\n{B64}\n  const apiKey = '{HEX}';\n{B64}\n-----END RSA PRIVATE KEY-----`;"
+    assert lines_with_credentials(block) == [1, 3]
+    assert len(credentials_in(block)) == 1
+
+
 def test_names():
     assert kind_of("smtp_pass") == kind_of("adminPass") == kind_of("dbpassword") == kind_of("motDePasse") == "password"
     assert kind_of("SECRET_KEY") == kind_of("clientSecret") == kind_of("X_TOKEN") == kind_of("apiKey2") == "key"
