@@ -53,7 +53,10 @@ FORMATS = (
     r"\b(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,})",
 )
 FORMAT = re.compile("|".join(FORMATS))
-KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:\s|\\n|\\r|[\"'`+,]|//|#|\*)*[A-Za-z0-9+/=:, -]{16,}")
+KEY_BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+KEY_MATERIAL = re.compile(r"(?:^|\\n|[\"'`\s])([A-Za-z0-9+/]{16,}={0,2})(?=$|\\[nr]|[\"'`\s,+])", re.M)
+#: How far a key block without an end reaches.
+KEY_CHARS = 5000
 URL_PASSWORD = re.compile(r"\b[a-z][a-z0-9+.-]{1,24}://(?:[^\s:/@\"'`<>]*):([^\s/@\"'`<>]+)@[\w.\[\]-]+", re.I)
 URL_PARAMETER = re.compile(r"[?&](?:[\w-]*(?:api[_-]?key|token|secret|passw(?:or)?d|pwd|access[_-]?key|sig(?:nature)?)|auth|key|code)=([^&\s\"'`#]+)", re.I)
 HEADER = re.compile(r"\b(?:Bearer|Token|ApiKey)\s+([A-Za-z0-9._~+/=-]{16,})")
@@ -294,11 +297,13 @@ def in_line(line: str, before: str = "") -> Iterator[tuple[int, int]]:
 def _spans(code: str) -> set[tuple[int, int]]:
     """Where credentials stand; a key of several lines may have others between its lines."""
     spans: set[tuple[int, int]] = set()
-    for m in KEY_BLOCK.finditer(code):
-        end = code.find("-----END", m.start())
-        stop = code.find("-----", end + 8) + 5 if end >= 0 else m.end()
-        if not is_placeholder(m[0].partition("KEY")[2].strip("- \r\n\\n\"'`+*#/")):
-            spans.add((m.start(), max(stop, m.end())))
+    for m in KEY_BEGIN.finditer(code):
+        end = code.find("-----END", m.end())
+        stop = end if end >= 0 else m.end() + KEY_CHARS
+        material = [x for x in KEY_MATERIAL.finditer(code, m.end(), stop) if chars_per_subword(x[1]) < UNNATURAL]
+        if material:
+            close = code.find("-----", end + 8) + 5 if end >= 0 else 0
+            spans.add((m.start(), max(close, material[-1].end(1))))
     for a, b in suspicious_lines(code):
         above = code[code.rfind("\n", 0, a - 1) + 1 : a - 1].rstrip("\r") if a else ""
         spans.update((a + x, a + y) for x, y in in_line(code[a:b].rstrip("\r"), above))

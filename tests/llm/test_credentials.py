@@ -91,6 +91,10 @@ def test_a_credential_between_the_lines_of_a_key():
     block = f"const k = `-----BEGIN RSA PRIVATE KEY-----\n{B64}\n  const apiKey = '{HEX}';\n{B64}\n-----END RSA PRIVATE KEY-----`;"
     assert lines_with_credentials(block) == [1, 3]
     assert len(credentials_in(block)) == 1
+    first = f"const k = `-----BEGIN PRIVATE KEY-----\n  const apiKey = '{HEX}';\n{B64}\n-----END PRIVATE KEY-----`;"
+    assert lines_with_credentials(first) == [1, 2]
+    assert lines_with_credentials("-----BEGIN PRIVATE KEY-----\n<your key goes here>\n-----END PRIVATE KEY-----") == []
+    assert lines_with_credentials(f'k = "-----BEGIN EC PRIVATE KEY-----\\n{B64}\\n-----END EC PRIVATE KEY-----"') == [1]
 
 
 def test_names():
