@@ -88,8 +88,8 @@ def p5_sql() -> str:
 
     def rule(t: provenance.Layout) -> str:
         bare = "greatest(chars - encoded, 1)"
-        return f"""({bare} / lines > {t.mean_line} AND longest > {t.longest_line} AND spaces / {bare} < {t.spaces})
-          OR ((numbers / {bare} > {t.numbers} OR encoded / greatest(chars, 1) > {t.encoded} OR (alnum / {bare} > {t.letters_and_digits} AND longest > {t.longest_line})) AND chars >= 200)"""
+        return f"""({bare} / lines > {t.mean_line} AND longest > {t.longest_line} AND spaces / {bare} < {t.spaces} AND alnum / {bare} < {t.letters_and_digits})
+          OR (numbers / {bare} > {t.numbers} AND numbers >= {t.least_numbers}) OR encoded / greatest(chars, 1) > {t.encoded}"""
 
     layout = "CASE " + " ".join(f"WHEN extension = {q(name)} THEN {rule(t)}" for name, t in provenance.LAYOUTS.items()) + f" ELSE {rule(provenance.Layout())} END"
     configuration = ", ".join(q(x) for x in provenance.CONFIGURATION)

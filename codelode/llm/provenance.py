@@ -36,18 +36,24 @@ HEAD_LINES = 12
 
 @dataclass(frozen=True)
 class Layout:
-    """Thresholds of one language: a file beyond the first three is minified, beyond any other data."""
+    """Thresholds of one language.
+
+    A file with lines that are long on average and at most, little white space and few letters and digits
+    (short names leave room for marks; a long list of words doesn't) is minified. One with a large share
+    of number literals, and ``least_numbers`` characters of them, or of long encoded runs is data.
+    """
 
     mean_line: int = 150
     longest_line: int = 400
     spaces: float = 0.07
+    letters_and_digits: float = 0.75
     numbers: float = 0.15
+    least_numbers: int = 150
     encoded: float = 0.4
-    letters_and_digits: float = 0.93
 
 
 #: By extension; other extensions take the default.
-LAYOUTS = {"css": Layout(mean_line=200, spaces=0.06, numbers=0.3), "html": Layout(mean_line=400, longest_line=2000), "py": Layout(spaces=0.1), "csv": Layout(numbers=0.0)}
+LAYOUTS = {"css": Layout(mean_line=200, spaces=0.06, letters_and_digits=0.8, numbers=0.3), "html": Layout(mean_line=400, longest_line=2000), "py": Layout(spaces=0.1)}
 
 
 def _lost(text: Column, pattern: str) -> Column:
@@ -76,9 +82,9 @@ def _beyond(extension: Column) -> Column:
 
     def rule(t: Layout) -> Column:
         bare = F.greatest(F.col("chars") - F.col("encoded"), F.lit(1))
-        minified = (bare / F.col("lines") > t.mean_line) & (F.col("longest") > t.longest_line) & (F.col("spaces") / bare < t.spaces)
-        data = (F.col("numbers") / bare > t.numbers) | (F.col("encoded") / F.greatest(F.col("chars"), F.lit(1)) > t.encoded) | ((F.col("alnum") / bare > t.letters_and_digits) & (F.col("longest") > t.longest_line))
-        return minified | (data & (F.col("chars") >= 200))
+        minified = (bare / F.col("lines") > t.mean_line) & (F.col("longest") > t.longest_line) & (F.col("spaces") / bare < t.spaces) & (F.col("alnum") / bare < t.letters_and_digits)
+        numbers = (F.col("numbers") / bare > t.numbers) & (F.col("numbers") >= t.least_numbers)
+        return minified | numbers | (F.col("encoded") / F.greatest(F.col("chars"), F.lit(1)) > t.encoded)
 
     found = rule(Layout())
     for name, layout in LAYOUTS.items():

@@ -37,6 +37,8 @@ def test_cases(spark):
         "a/own.ts": "// Copyright 2020 some team. Internal use only.\n// do not edit the order of these calls\n// returns an auto generated id\n" + HAND,
         "a/long.ts": HAND * 60,
         "a/one_long_line.ts": HAND + f'const icon = "{blob[:600]}";\n' + HAND,
+        "a/long_list.ts": "function f(a) {\n  return words.test(a);\n}\nconst words = /^" + "|".join(f"someword{chr(97 + k % 26)}{chr(97 + k % 7)}" for k in range(70)) + "$/;\n",
+        "a/small_table.ts": "function f(a) {\n  return sizes[a];\n}\nconst sizes = [43, 94, 7.921, 0.714, 29, 41, 9.480, 2.943, 7.422, 76];\n",
         "a/config.json": '{"a": 1, "b": [1, 2, 3, 4, 5, 6, 7, 8, 9]}',
         "a/empty.ts": "",
         "a/null.ts": None,
