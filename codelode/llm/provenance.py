@@ -23,8 +23,26 @@ CONFIGURATION = ("yml", "yaml", "json", "toml", "tf", "env", "properties", "xml"
 FOLDER = "(?i)(^|/)(" + "|".join(FOLDERS) + ")/"
 NAME = "(?i)(" + "|".join(ENDINGS) + r")\.[a-z0-9]+$"
 _COMMENT = r"(?im)^[ \t]*(//|/\*|\*|#|<!--|--)"
+# How tools say that they made a file, and that edits are lost, in several languages.
+MADE = (
+    r"\b(auto(matically)?[ -]?)?(generated|produced|emitted) (by|from|with|using)\b",
+    r"\bautogenerated file\b",
+    r"@generated\b",
+    r"<auto-?generated\b",
+    r"\b(edits|changes)( here)? (are not preserved|(are|will be) (lost|overwritten|discarded))\b",
+    r"\bdo not (edit|modify|change)( this file| by hand| manually| directly)?[ .!*/-]*$",
+    r"(erzeugt|generiert)\b.*\bnicht (von hand |manuell )?(bearbeiten|ändern|editieren)",
+    r"(wurde|ist) (automatisch )?(von|mit|aus) [^ ]+ (erzeugt|generiert)",
+    r"(généré|générée|produit|produite)( automatiquement)? (par|avec|à partir)",
+    r"\bne pas (modifier|éditer)\b",
+    r"(generado|generada|creado|gerado|gerada)( automáticamente| automaticamente)? (por|con|com|a partir)",
+    r"\bno (editar|modificar)\b",
+    r"(generato|generata) (da|con|automaticamente)",
+    r"(сгенерирован|создан)[а-я]* (автоматически|с помощью|из)|не (редактировать|изменять)",
+    r"自动生成|自動生成",
+)
 #: A tool's notice in a comment: who made the file, or that edits are lost.
-TOOL = _COMMENT + r"(.*\b(auto(matically)?[ -]?)?generated (by|from|with|using)\b|.*\bautogenerated file\b|.*@generated\b|.*<auto-?generated\b|[*!# /-]*generator: *[^ \r\n]|.*\bedits are not preserved\b|.*\b(changes|edits) will be (lost|overwritten)\b)"
+TOOL = _COMMENT + r"(.*(" + "|".join(MADE) + r")|[*!# /-]*generator: *[^ \r\n])"
 #: A copied library's notice: where it comes from, or its name with version and licence.
 COPY = _COMMENT + r"(.*\bvendored copy of\b|.*\bcopied (unchanged|verbatim) from\b|[*! ]*@license [^ ]+ v?[0-9]+\.[0-9]|[*! ]*[^ ]+ v[0-9]+\.[0-9][^ ]* \| \(c\))"
 #: Parts of a library's banner; two of them together count.

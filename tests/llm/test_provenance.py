@@ -22,6 +22,10 @@ def test_cases(spark):
         "a\\vendor\\x\\i.js": HAND,
         "a/app.min.js": HAND,
         "a/tool1.ts": "// Code generated by maker v1. DO NOT EDIT.\n" + HAND,
+        "a/tool3.ts": "// Diese Datei wurde von maker erzeugt. Nicht von Hand bearbeiten.\n" + HAND,
+        "a/tool4.ts": "/* tslint:disable */\n/* produced by maker: changes here are overwritten on the next build */\n" + HAND,
+        "a/tool5.ts": "// DO NOT EDIT\n" + HAND,
+        "a/tool6.ts": "// Fichier généré par maker, ne pas modifier\n" + HAND,
         "a/tool2.ts": "/**\n * @generated\n */\n" + HAND,
         "a/copy1.ts": "/*\n * thing\n * Version: 1.2.3\n * Licensed under MIT\n */\n" + HAND,
         "a/copy2.ts": "/*! thing v1.2.3 | (c) 2011 thing contributors | MIT */\n" + HAND,
