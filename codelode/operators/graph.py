@@ -61,6 +61,12 @@ def coupling(edge: DataFrame, most_shared: int = 1000) -> DataFrame:
     return pairs.select("a", "b", "shared", score.alias("score")).where("score > 0")
 
 
+def coupling_of(edge: DataFrame, a: str, b: str) -> DataFrame:
+    """GRV11: the coupling of two files alone; no row if it is 0."""
+    two = edge.where(F.col("src").isin(a, b))
+    return coupling(two).where((F.col("a") == min(a, b)) & (F.col("b") == max(a, b)))
+
+
 def neighbours(edge: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
     """JOI2: files within so many undirected hops of the seeds (column file), without the seeds, with their distance."""
     around = edge.unionAll(edge.select(F.col("dst"), F.col("src"))).toDF("file", "next").distinct()

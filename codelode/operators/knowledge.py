@@ -38,6 +38,31 @@ def without_chunks(g: PropertyGraph, gone: DataFrame) -> PropertyGraph:
     return PropertyGraph(g.files, g.chunks.join(ids, "id", "left_anti"), g.contains.join(ids.withColumnRenamed("id", "chunk"), "chunk", "left_anti").select("path", "chunk"), g.imports)
 
 
+def stored_chunks(vectors: DataFrame) -> DataFrame:
+    """SCL13: stored payloads as chunks, one for each id, with what only chunks have left null (T4)."""
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    once = vectors.where("chunk_id is not null").dropDuplicates(["chunk_id"])
+    return once.select(
+        F.col("chunk_id").alias("id"), "code", "file_path", "start_line", "end_line", none("array<string>", "imports"), none("array<string>", "resolved_deps"), "cyclomatic_complexity", "halstead_volume",
+        none("array<struct<type: string, message: string, line: int>>", "smells"),
+    )
+
+
+def plan(chunks: DataFrame, most: int = 10) -> DataFrame:
+    """RUL10-11: (agent, chunk, place): smelly chunks and those of sensitive paths for security, complex ones for performance; an agent without any gets the ``most`` most complex.
+
+    chunks: id, file_path, cyclomatic_complexity, smells, one row for each id.
+    """
+    order = Window.partitionBy("agent").orderBy(F.col("cyclomatic_complexity").desc_nulls_last(), "id")
+    sensitive = F.lower("file_path").rlike("auth|login|session|token|crypt|admin|payment|upload|sql|query")
+    agents = F.array_compact(F.array(F.when((F.size("smells") > 0) | sensitive, "security"), F.when(F.col("cyclomatic_complexity") >= 5, "performance")))
+    chosen = chunks.select("id", "cyclomatic_complexity", F.explode(agents).alias("agent"))
+    top = chunks.orderBy(F.col("cyclomatic_complexity").desc_nulls_last(), "id").limit(most)
+    spare = top.select("id", "cyclomatic_complexity", F.explode(F.array(F.lit("security"), F.lit("performance"))).alias("agent"))
+    fallback = spare.join(chosen.select("agent").distinct(), "agent", "left_anti").select("id", "cyclomatic_complexity", "agent")
+    return chosen.unionAll(fallback).select("agent", F.col("id").alias("chunk"), F.row_number().over(order).cast("long").alias("place"))
+
+
 def sync(stored: DataFrame, current: DataFrame, key: str = "id", value: str = "hash") -> tuple[DataFrame, DataFrame]:
     """GRV8: (the rows to store from now on, the changes): new and updated rows replace, deleted ones go.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.functions import text as X
-from codelode.operators import coverage, graph, rules, verify
+from codelode.operators import coverage, evaluation, graph, rules, verify
 from codelode.session import cut
 from codelode.sources import javascript, repository
 
@@ -59,3 +59,21 @@ def analyze(spark: SparkSession, root: str, ignore: list[str] | None = None) ->
     health = F.greatest(F.lit(0), F.least(F.lit(100), 100 - 15 * n("CRITICAL") - 8 * n("HIGH") - 3 * n("MEDIUM") - n("LOW")))
     report = counted.agg(F.count("*").alias("findings"), n("CRITICAL").alias("critical"), n("HIGH").alias("high"), health.alias("health"))
     return Analysis(files, repository.fingerprint(files), chunks, edges, errors, findings, verdicts, gaps, report)
+
+
+def evaluate(findings: DataFrame, truth: DataFrame, tolerance: int = 3) -> tuple[DataFrame, DataFrame]:
+    """STR21-22, WIN9: (scores of every agent, their mean) of findings against a ground truth of one repository.
+
+    findings: id, agent_id, category, file_path, start_line; truth as ``repository.ground_truths`` gives it.
+    Findings choose in the order of their ids. The order of the truth is that of file, line and rule.
+    """
+    key = lambda path, rule: X.signature_key(F.col(path), F.col(rule)).alias("signature")
+    f = findings.select(F.col("id").alias("finding"), F.col("agent_id").alias("agent"), key("file_path", "category"), F.col("start_line").cast("long").alias("line"), F.col("id").alias("place"))
+    number = F.concat_ws("|", "file_path", F.lpad(F.col("line").cast("string"), 9, "0"), "rule_id")
+    t = truth.select(number.alias("vulnerability"), key("file_path", "rule_id"), F.col("line").cast("long").alias("line"), F.col("expected_agent").alias("agent")).dropDuplicates(["vulnerability"])
+    matched = cut(evaluation.match(f, t, tolerance))
+    by_finding = matched.where("class <> 'FN'").join(f.select("finding", "agent"), "finding").select("class", "agent")
+    by_truth = matched.where("class = 'FN'").join(t.select("vulnerability", "agent"), "vulnerability").select("class", "agent")
+    of = lambda c: F.count_if(F.col("class") == c)
+    scored = evaluation.scores(by_finding.unionAll(by_truth).groupBy("agent").agg(of("TP").alias("tp"), of("FP").alias("fp"), of("FN").alias("fn")))
+    return scored, evaluation.macro(scored)

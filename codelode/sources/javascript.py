@@ -301,6 +301,17 @@ def smells(code: str, ts: list[Token], f: Function, path: str, line_of: Callable
     return found
 
 
+def has_jsx(ts: list[Token]) -> bool:
+    """SCL5: whether an element opens where a value may stand."""
+    places = ("return", "(", "=>", "&&", "||", "?", ":", ",", "=", "[", "{")
+    return any(t.text == "<" and k + 1 < len(ts) and (ts[k + 1].text == ">" or ts[k + 1].kind == "word") and (not k or ts[k - 1].text in places) for k, t in enumerate(ts))
+
+
+def component(name: str, ts: list[Token], path: str) -> bool:
+    """SCL4, SCL6: in .tsx and .jsx files, a function with a capital name or with elements in it."""
+    return path.lower().endswith((".tsx", ".jsx")) and (name[:1].isupper() or has_jsx(ts))
+
+
 def without_inner(code: str, ts: list[Token], f: Function) -> str:
     """PRS2: a function's code with the functions directly in it replaced by a remark."""
     begin, stop = ts[f.first].start, ts[f.end - 1].start + len(ts[f.end - 1].text)
@@ -314,14 +325,14 @@ def without_inner(code: str, ts: list[Token], f: Function) -> str:
 
 
 SCHEMA = (
-    "path string, name string, start_line int, end_line int, params int, depth int, complexity int, volume double, operators int, operands int, unreachable boolean, "
+    "path string, name string, start_line int, end_line int, params int, depth int, complexity int, volume double, operators int, operands int, unreachable boolean, component boolean, "
     "smells array<struct<type: string, message: string, line: int>>, imports array<string>, code string, error string"
 )
 
 _SMELL = pa.struct([("type", pa.string()), ("message", pa.string()), ("line", pa.int32())])
 _ARROW = pa.schema([
     ("path", pa.string()), ("name", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("params", pa.int32()), ("depth", pa.int32()), ("complexity", pa.int32()), ("volume", pa.float64()),
-    ("operators", pa.int32()), ("operands", pa.int32()), ("unreachable", pa.bool_()), ("smells", pa.list_(_SMELL)), ("imports", pa.list_(pa.string())), ("code", pa.string()), ("error", pa.string()),
+    ("operators", pa.int32()), ("operands", pa.int32()), ("unreachable", pa.bool_()), ("component", pa.bool_()), ("smells", pa.list_(_SMELL)), ("imports", pa.list_(pa.string())), ("code", pa.string()), ("error", pa.string()),
 ])
 
 
@@ -350,7 +361,7 @@ def _rows(path: str, code: str, begin: int) -> list[dict]:
         found = [{"type": a, "message": b, "line": c} for a, b, c in smells(code, ts, f, path, line_of)]
         rows.append({
             "path": path, "name": f.name, "start_line": line_of(own[0].start), "end_line": line_of(own[-1].start + len(own[-1].text) - 1), "params": f.params, "depth": callback_depth(f), "complexity": complexity(own),
-            "volume": volume, "operators": n1, "operands": n2, "unreachable": unreachable(own), "smells": found, "imports": names, "code": without_inner(code, ts, f), "error": None,
+            "volume": volume, "operators": n1, "operands": n2, "unreachable": unreachable(own), "component": component(f.name, own, path), "smells": found, "imports": names, "code": without_inner(code, ts, f), "error": None,
         })
     return rows
 

@@ -87,6 +87,13 @@ def ground_truths(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def smoke_truth(spark: SparkSession) -> DataFrame:
+    """SRC15: three made-up vulnerabilities in the form of ``ground_truths``, to try an evaluation with."""
+    rows = [("src/login.js", "sql-injection", 12, "CRITICAL"), ("src/view.js", "xss", 30, "HIGH"), ("src/key.js", "hardcoded-secret", 3, "HIGH")]
+    kinds = "name string, repo_url string, commit_hash string, file_path string, rule_id string, line int, severity string, expected_agent string, description string"
+    return spark.createDataFrame([("smoke", "https://git.example.test/smoke.git", "HEAD", *r, "security", None) for r in rows], kinds)
+
+
 def advisories(packages: DataFrame, database: DataFrame, most: int = 10, references: int = 3) -> DataFrame:
     """SRC16: for each package the known advisories by id, at most so many, with so many references.
 

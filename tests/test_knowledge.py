@@ -88,6 +88,14 @@ def test_knowledge_graph(spark):
         k.query("none")
 
 
+def test_plan_and_pairs(spark):
+    chunks = spark.createDataFrame([("1", "src/auth/a", 2, None), ("2", "src/b", 9, []), ("3", "src/c", 1, ["x"])], "id string, file_path string, cyclomatic_complexity int, smells array<string>")
+    assert rows(knowledge.plan(chunks)) == [("performance", "2", 1), ("security", "1", 1), ("security", "3", 2)]
+    assert rows(knowledge.plan(chunks.where("id = '1'"))) == [("performance", "1", 1), ("security", "1", 1)]
+    edge = graph.edges(spark.createDataFrame([("A", "x"), ("B", "x"), ("C", "x")], "src string, dst string"))
+    assert rows(graph.coupling_of(edge, "B", "A")) == [("A", "B", 1, 0.4)]
+
+
 def test_store(spark, tmp_path):
     s = Store(spark, str(tmp_path / "t"), "repo")
     assert not s.exists()

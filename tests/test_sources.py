@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from codelode.plans.analysis import analyze
+from codelode.plans.analysis import analyze, evaluate
 from codelode.sources import javascript as J
 from codelode.sources import repository as P
 from codelode.streaming import progress as S
@@ -50,6 +50,12 @@ def test_imports():
     assert J.imported(J.tokens("import a from './a'; export * from \"b\"; require('c'); import('d'); import './a'; x('no')")) == ["./a", "b", "c", "d"]
 
 
+def test_components():
+    ts = J.tokens("const a = () => <b>x</b>;")
+    assert J.component("a", ts, "x.tsx") and not J.component("a", ts, "x.ts") and J.component("App", [], "x.jsx")
+    assert not J.has_jsx(J.tokens("if (a < b && c > d) { e<f>(g); }"))
+
+
 def test_parse_frame(spark):
     df = spark.createDataFrame([("a.ts", "function f() {\n  return 1;\n}"), ("b.py", "def f(): pass"), ("c.js", ""), ("d.js", None), ("e.js", "}}}((`")], "path string, code string")
     found = [(r.path, r.name, r.start_line, r.end_line, r.error) for r in J.parse(df).collect()]
@@ -107,6 +113,16 @@ def test_analysis_of_a_repository(spark, tmp_path):
     assert found.errors.count() == 0 and found.languages.count() == 1
 
 
+def test_evaluation(spark):
+    truth = P.smoke_truth(spark)
+    findings = spark.createDataFrame(
+        [("1", "security", "SQL_INJECTION", "./src/login.js", 13), ("2", "security", "xss", "src/view.js", 99), ("3", "performance", "nested-loops", "src/a.js", 1)], "id string, agent_id string, category string, file_path string, start_line int"
+    )
+    scored, mean = evaluate(findings, truth)
+    assert sorted((r.agent, r.tp, r.fp, r.fn) for r in scored.collect()) == [("performance", 0, 1, 0), ("security", 1, 1, 2)]
+    assert mean.first().precision == 0.25
+
+
 def events(spark, *rows):
     return spark.createDataFrame([(j, t, e, None, None, t) for j, t, e in rows], "job_id string, ts string, event string, message string, data string, received_at string").select(
         "job_id", F.to_timestamp("ts").alias("ts"), "event", "message", "data", F.to_timestamp("received_at").alias("received_at")
