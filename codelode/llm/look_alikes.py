@@ -142,8 +142,16 @@ def look_alike_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -
 
 
 def look_alike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_a, doc_b), doc_a < doc_b: documents that look the same but are not the same string."""
-    classes = look_alike_classes(df, key, text).select(F.col(f"`{key}`").alias("k"), "canonical", "text_hash")
-    a = classes.select("canonical", F.col("k").alias("doc_a"), F.col("text_hash").alias("ha"))
-    b = classes.select("canonical", F.col("k").alias("doc_b"), F.col("text_hash").alias("hb"))
-    return a.join(b, "canonical").where("doc_a < doc_b and ha <> hb").select("doc_a", "doc_b").distinct()
+    """(doc_a, doc_b), doc_a < doc_b: documents that look the same but are not the same string.
+
+    Different strings of a class are paired first and documents joined to them, so copies of one string
+    are never held against each other.
+    """
+    classes = cut(look_alike_classes(df, key, text).select(F.col(f"`{key}`").alias("k"), "canonical", "text_hash"))
+    forms = classes.select("canonical", "text_hash").distinct()
+    a, b = forms.withColumnRenamed("text_hash", "ha"), forms.withColumnRenamed("text_hash", "hb")
+    different = a.join(b, "canonical").where("ha < hb")
+    left = classes.select("canonical", F.col("text_hash").alias("ha"), F.col("k").alias("x"))
+    right = classes.select("canonical", F.col("text_hash").alias("hb"), F.col("k").alias("y"))
+    pairs = different.join(left, ["canonical", "ha"]).join(right, ["canonical", "hb"]).where("x <> y")
+    return pairs.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()
