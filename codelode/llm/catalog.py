@@ -69,6 +69,14 @@ SELECT file_path, id FROM (
 WHERE place <= 5
 """
 
+P3_SQL = """
+WITH RECURSIVE texts AS (SELECT DISTINCT id, code, coalesce(start_line, 1) AS start FROM chunks WHERE code IS NOT NULL),
+cut AS (SELECT id, code, start, CASE WHEN ends_with(code, chr(10)) THEN string_split(code[:-2], chr(10)) ELSE string_split(code, chr(10)) END AS l FROM texts),
+c AS (SELECT id, code, start, len(l) AS n, list_transform(l, lambda x: CASE WHEN regexp_full_match(x, '\\s*') THEN 2 WHEN regexp_matches(x, '^\\s*[}]') THEN 1 ELSE 0 END) AS kinds FROM cut WHERE len(l) > 100),
+p AS (SELECT id, code, start, n, kinds, 1 AS piece, 0 AS first, 59 + list_max(list_transform(range(0, 41), lambda k: kinds[60 + k] * 1000 + k)) % 1000 AS last FROM c
+  UNION ALL SELECT id, code, start, n, kinds, piece + 1, last - 4, CASE WHEN n - (last - 4) <= 100 THEN n - 1 ELSE last - 4 + 59 + list_max(list_transform(range(0, 41), lambda k: kinds[last - 4 + 60 + k] * 1000 + k)) % 1000 END FROM p WHERE last < n - 1)
+SELECT DISTINCT id, piece::INTEGER AS piece_no, (start + first)::INTEGER AS first_line, (start + last)::INTEGER AS last_line FROM p
+"""
 P4_SQL = """
 WITH ids AS (SELECT DISTINCT id, code FROM chunks WHERE id IS NOT NULL AND code IS NOT NULL),
 tokens AS (SELECT id, list_transform(regexp_extract_all(code, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS t FROM ids),
@@ -107,16 +115,36 @@ SELECT file_path FROM files WHERE extension NOT IN ({configuration})
 """
 
 
-def p8_sql() -> str:
-    """Look-alike pairs by the same character table and DuckDB's canonical composition."""
-    table = look_alikes.folding()
-    one = {k: v for k, v in table.items() if len(v) == 1}
-    none = [k for k, v in table.items() if not v]
+def _mapped_sql(table: dict[str, str], text: str) -> str:
+    """A text with every character of the table replaced."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    text = f"translate(text, {quoted(''.join([*one, *none]))}, {quoted(''.join(one.values()))})"
+    one = {k: v for k, v in table.items() if len(v) == 1}
+    made = f"translate({text}, {quoted(''.join([*one, *(k for k, v in table.items() if not v)]))}, {quoted(''.join(one.values()))})"
     for k, v in table.items():
         if len(v) > 1:
-            text = f"replace({text}, '{k}', '{v}')"
+            made = f"replace({made}, '{k}', '{v}')"
+    return made
+
+
+def p7_sql() -> str:
+    """Equal runs of twelve words, by the same character tables."""
+    small = {chr(k): v for k, v in look_alikes.caseless().items() if chr(k) not in look_alikes.folding()}
+
+    def words(text: str) -> str:
+        lower = f"lower(nfc_normalize({_mapped_sql(look_alikes.folding(), text)}))"
+        return f"regexp_extract_all({_mapped_sql(small, lower)}, '[\\p{{L}}\\p{{N}}]+')"
+
+    grams = "unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k : k + 11], ' ')))"
+    return f"""
+WITH d AS (SELECT DISTINCT doc_id, {words('text')} AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+i AS (SELECT DISTINCT item_id, {words('passage')} AS w FROM eval_items WHERE passage IS NOT NULL AND item_id IS NOT NULL)
+SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, {grams} AS g FROM d) JOIN (SELECT DISTINCT item_id, {grams} AS g FROM i) USING (g)
+"""
+
+
+def p8_sql() -> str:
+    """Look-alike pairs by the same character table and DuckDB's canonical composition."""
+    text = _mapped_sql(look_alikes.folding(), "text")
     return f"""
 WITH forms AS (SELECT doc_id, text, nfc_normalize({text}) AS form FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 seen AS (SELECT * FROM forms WHERE regexp_matches(form, '[^\\s]'))
@@ -130,4 +158,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p4_found": P4_SQL, "p5_found": p5_sql(), "p8_found": p8_sql()}
+    return {"p1_found": P1_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p5_found": p5_sql(), "p7_found": p7_sql(), "p8_found": p8_sql()}

@@ -74,7 +74,7 @@ def _translation() -> dict[int, str]:
 
 
 @cache
-def _caseless() -> dict[int, str]:
+def caseless() -> dict[int, str]:
     """For lower-cased text: small letters also take the plain form of their capital, unless they have their own."""
     letters = _letters()
     small = {a.lower(): b.lower() for a, b in letters.items() if a.lower() not in letters and len(a.lower()) == 1}
@@ -85,7 +85,7 @@ def fold_case(text: str) -> str:
     """The mapped text in one case."""
     if text.isascii():
         return text.lower()
-    small = unicodedata.normalize("NFD", fold(text).lower()).translate(_caseless())
+    small = unicodedata.normalize("NFD", fold(text).lower()).translate(caseless())
     return unicodedata.normalize("NFC", small)
 
 

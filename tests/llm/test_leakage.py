@@ -66,3 +66,12 @@ def test_query_equals_brute_force(spark):
     items = [(r.item_id, r.passage) for r in spark.read.parquet(f"{at}/eval_items.parquet").collect()]
     found = sorted(map(tuple, catalog.p7_found(spark, at).collect()))
     assert found and found == brute(docs, items)
+
+
+def test_query_equals_sql(spark):
+    from codelode.llm import catalog
+
+    from .oracle import rows_of, sql_rows
+
+    at = "/root/testdata/sf0.01"
+    assert rows_of(catalog.p7_found(spark, at).select("doc_id", "item_id")) == sql_rows(at, catalog.p7_sql(), ["doc_id", "item_id"])

@@ -42,3 +42,13 @@ def test_split_frame(spark):
     one = [(1, 0, 99), (2, 95, 194), (3, 190, 199)]
     assert found == sorted([("a", n, 11 + a, 11 + b) for n, a, b in one] + [(None, n, 1 + a, 1 + b) for n, a, b in one], key=repr)
     assert split_oversized(df.limit(0)).collect() == []
+
+
+def test_query_equals_sql(spark):
+    from codelode.llm import catalog
+
+    from .oracle import rows_of, sql_rows
+
+    at, columns = "/root/testdata/sf0.01", ["id", "piece_no", "first_line", "last_line"]
+    rows = rows_of(catalog.p3_found(spark, at).select(columns))
+    assert rows and rows == sql_rows(at, catalog.P3_SQL, columns)
