@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +27,28 @@ def build_session(app: str = "codelode", master: str | None = None, **conf: str)
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Gives every executor this package, once for each application, wherever it was started from.
+
+    The package's source goes through the driver's own file server (under a megabyte); nothing has to be
+    installed on the executors, and new executors get it too.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        root = Path(__file__).resolve().parent
+        packed = Path(tempfile.mkdtemp(prefix="codelode-package-")) / "codelode.zip"
+        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
+            for path in sorted(root.rglob("*.py")):
+                out.write(path, Path(root.name) / path.relative_to(root))
+        context.addPyFile(str(packed))
+        _SHIPPED.add(context.applicationId)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
