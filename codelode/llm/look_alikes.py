@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -65,7 +65,9 @@ def fold(text: str) -> str:
     """The mapped text with composed accents, for use outside SQL."""
     if text.isascii():
         return text
-    return unicodedata.normalize("NFC", text.translate(_translation()))
+    if _search(False)(text):
+        text = text.translate(_translation())
+    return unicodedata.normalize("NFC", text)
 
 
 @cache
@@ -81,11 +83,19 @@ def caseless() -> dict[int, str]:
     return _translation() | {ord(k): v for k, v in small.items()}
 
 
+@cache
+def _search(small: bool) -> Callable[[str], re.Match | None]:
+    """Finds whether anything in a text would be mapped; most texts are spared the slower mapping."""
+    return re.compile("[" + "".join(re.escape(chr(c)) for c in (caseless() if small else _translation())) + "]").search
+
+
 def fold_case(text: str) -> str:
     """The mapped text in one case."""
     if text.isascii():
         return text.lower()
-    small = unicodedata.normalize("NFD", fold(text).lower()).translate(caseless())
+    small = unicodedata.normalize("NFD", fold(text).lower())
+    if _search(True)(small):
+        small = small.translate(caseless())
     return unicodedata.normalize("NFC", small)
 
 
