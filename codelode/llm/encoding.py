@@ -8,9 +8,9 @@ on the different pre-tokens of an Arrow batch, and a bounded cache carries resul
 from __future__ import annotations
 
 import base64
-import heapq
 import re
 from collections.abc import Callable, Iterator, Sequence
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -52,28 +52,27 @@ class BytePairEncoder:
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Second tier: merges the lowest-ranked neighbours first, the leftmost of equal rank."""
-        rank, n = self._rank, len(piece)
-        part: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, 2) for i in range(n - 1) if (r := rank.get(piece[i : i + 2])) is not None]
-        heapq.heapify(heap)
+        rank, n = self._rank.get, len(piece)
+        after, before = list(range(1, n + 1)), list(range(-1, n))  # of a merged part, after is 0
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+        heapify(heap)
         while heap:
-            _, i, size = heapq.heappop(heap)
-            left = part[i]
-            if left is None or (j := after[i]) >= n or len(left) + len(part[j]) != size:
+            _, i, end = heappop(heap)
+            j = after[i]
+            if not j or j >= n or after[j] != end:
                 continue  # one of the two has been merged since
-            part[i], part[j] = left + part[j], None
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                both = part[i] + part[after[i]]
-                if (r := rank.get(both)) is not None:
-                    heapq.heappush(heap, (r, i, len(both)))
-            if (h := before[i]) >= 0:
-                both = part[h] + part[i]
-                if (r := rank.get(both)) is not None:
-                    heapq.heappush(heap, (r, h, len(both)))
-        return tuple(rank[p] for p in part if p is not None)
+            after[i], after[j] = end, 0
+            if end < n:
+                before[end] = i
+                if (r := rank(piece[i : after[end]])) is not None:
+                    heappush(heap, (r, i, after[end]))
+            if (h := before[i]) >= 0 and (r := rank(piece[h:end])) is not None:
+                heappush(heap, (r, h, end))
+        found, i = [], 0
+        while i < n:
+            found.append(self._rank[piece[i : after[i]]])
+            i = after[i]
+        return tuple(found)
 
     def resolve(self, pieces: Sequence[str]) -> list[tuple[int, ...]]:
         """First tier for all pieces at once, second tier for those it misses."""
