@@ -48,6 +48,8 @@ COPY = _COMMENT + r"(.*\bvendored copy of\b|.*\bcopied (unchanged|verbatim) from
 #: Parts of a library's banner; two of them together count.
 BANNER = tuple(_COMMENT + r"[*! ]*" + part for part in (r"(licensed|released) under\b", r"version: *v?[0-9]+\.[0-9]", r"copyright (\(c\) )?[0-9]{4}.* (authors|contributors)\b"))
 ENCODED = r"[A-Za-z0-9+/=]{100,}"
+#: The same, tried only where a run begins; a shorter run is then read once, not once from each place in it.
+ENCODED_ONCE = r"(?<![A-Za-z0-9+/=])" + ENCODED
 NUMBER = r"\b(0x[0-9a-fA-F]+|[0-9][0-9.eE]*)"
 HEAD_LINES = 12
 
@@ -78,9 +80,15 @@ def _lost(text: Column, pattern: str) -> Column:
     return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("long")
 
 
-def chunk_layout(code: Column) -> list[Column]:
-    """The statistics of one piece of code that its file's are made of; all additive but the longest line."""
-    bare = F.regexp_replace(code, ENCODED, "")
+def without_encoded(code: Column) -> Column:
+    return F.regexp_replace(code, ENCODED_ONCE, "")
+
+
+def chunk_layout(code: Column, bare: Column) -> list[Column]:
+    """The statistics of one piece of code that its file's are made of; all additive but the longest line.
+
+    ``bare`` is the code without its long encoded runs, best as a column made before.
+    """
     head = F.substring_index(code, "\n", HEAD_LINES)
     banner = sum((head.rlike(p).cast("int") for p in BANNER), F.lit(0))
     return [
@@ -88,8 +96,8 @@ def chunk_layout(code: Column) -> list[Column]:
         (F.length(code) - F.length(bare)).cast("long").alias("encoded"),
         (F.length(code) - F.length(F.replace(code, F.lit("\n"))) + 1).cast("long").alias("lines"),
         F.array_max(F.transform(F.split(bare, "\n"), F.length)).alias("longest"),
-        _lost(bare, r"[ \t\r\n]").alias("spaces"),
-        _lost(bare, r"[A-Za-z0-9]").alias("alnum"),
+        _lost(bare, r"[ \t\r\n]+").alias("spaces"),
+        _lost(bare, r"[A-Za-z0-9]+").alias("alnum"),
         _lost(bare, NUMBER).alias("numbers"),
         (head.rlike(TOOL) | head.rlike(COPY) | (banner >= 2)).alias("notice"),
     ]
@@ -118,7 +126,8 @@ def not_hand_written(df: DataFrame, path: str = "file_path", code: str = "code",
     with either slash. Other columns are never read; an empty table gives an empty result.
     """
     p, c = F.col(f"`{path}`"), F.col(f"`{code}`")
-    rows = df.select(p.alias("path"), F.coalesce(F.col(f"`{chunk}`").cast("string"), F.lit("")).alias("chunk"), *chunk_layout(c)).where("path is not null")
+    given = df.where(p.isNotNull()).select(p.alias("path"), F.coalesce(F.col(f"`{chunk}`").cast("string"), F.lit("")).alias("chunk"), c.alias("code"), without_encoded(c).alias("bare"))
+    rows = given.select("path", "chunk", *chunk_layout(F.col("code"), F.col("bare")))
     sums = ("chars", "encoded", "lines", "spaces", "alnum", "numbers")
     each = rows.groupBy("path", "chunk").agg(*(F.max(x).alias(x) for x in (*sums, "longest", "notice")))
     files = each.groupBy("path").agg(*(F.sum(x).alias(x) for x in sums), F.max("longest").alias("longest"), F.max("notice").alias("notice"))
