@@ -77,7 +77,8 @@ def sync(stored: DataFrame, current: DataFrame, key: str = "id", value: str = "h
 def context(chunks: DataFrame, edge: DataFrame, wanted: DataFrame, depth: int = 2, most: int = 20) -> DataFrame:
     """JOI18: (id, neighbour, place, neighbours) of each wanted chunk: up to ``most`` chunks of files near its own.
 
-    ``neighbours`` is the number before the cut. Order is by id.
+    ``neighbours`` is the number before the cut. Order is by id. Of each file only its first ``most``
+    chunks and their number are joined, so one very large file doesn't multiply.
     """
     around = edge.select(F.col("src").alias("file"), F.col("dst").alias("next")).unionAll(edge.select("dst", "src")).distinct()
     reach = wanted.select("id").join(chunks.select("id", F.col("file_path").alias("file")), "id").select("id", "file").distinct()
@@ -85,10 +86,13 @@ def context(chunks: DataFrame, edge: DataFrame, wanted: DataFrame, depth: int =
     for _ in range(depth):
         step = seen.join(around, "file").select("id", F.col("next").alias("file"))
         seen = seen.unionAll(step).distinct()
-    near = seen.join(reach, ["id", "file"], "left_anti").join(chunks.select(F.col("id").alias("neighbour"), F.col("file_path").alias("file")), "file")
-    by = Window.partitionBy("id")
-    rows = near.select("id", "neighbour", F.row_number().over(by.orderBy("neighbour")).alias("place"), F.count("*").over(by).alias("neighbours"))
-    return rows.where(F.col("place") <= most).withColumn("place", F.col("place").cast("long"))
+    near = seen.join(reach, ["id", "file"], "left_anti")
+    of_file = chunks.select(F.col("id").alias("neighbour"), F.col("file_path").alias("file"))
+    first = of_file.withColumn("k", F.row_number().over(Window.partitionBy("file").orderBy("neighbour"))).where(F.col("k") <= most).drop("k")
+    total = near.join(of_file.groupBy("file").agg(F.count("*").alias("n")), "file").groupBy("id").agg(F.sum("n").alias("neighbours"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("neighbour"))
+    rows = near.join(first, "file").select("id", "neighbour", place.alias("place")).where(F.col("place") <= most)
+    return rows.join(total, "id").select("id", "neighbour", F.col("place").cast("long").alias("place"), "neighbours")
 
 
 class KnowledgeGraph:

@@ -44,6 +44,7 @@ CHUNK_RULES = (
     Rule("dynamic-function", "HIGH", r"new\s+Function\s*\("),
     Rule("path-traversal", "HIGH", r"(?i)\.readFileSync|\.readFile\s*\(\s*(?:req|user|input)"),
 )
+# Patterns of slow code, looked for in a whole chunk.
 PERFORMANCE_RULES = (
     Rule("nested-loops", "MEDIUM", r"(?s)for\s*\(.*\)\s*\{[^}]*for\s*\("),
     Rule("nested-iteration", "MEDIUM", r"(?s)\.forEach\([^)]*\.forEach\("),
