@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.llm import look_alikes, provenance
-from codelode.llm.credentials import find_credentials
+from codelode.llm.credentials import find_credentials, redact
 from codelode.llm.encoding import encode_corpus
 from codelode.llm.leakage import leaked_items
-from codelode.llm.near_copies import near_copy_pairs
+from codelode.llm.near_copies import near_copy_classes, near_copy_pairs
 from codelode.llm.splitting import split_oversized
 from codelode.llm.top_n import top_n_per_group
 from codelode.sources.tables import table
@@ -31,6 +31,14 @@ def p2_found(spark: SparkSession, directory: str) -> DataFrame:
     return chunks.unionByName(vectors).select("src_table", "chunk_id", "line_no")
 
 
+def p2_redacted(spark: SparkSession, directory: str) -> DataFrame:
+    """Every chunk's code with its credentials masked, as a digest, and how many characters are masked."""
+    chunks = table(spark, directory, "chunks").where("id is not null and code is not null").select("id", "code", F.col("code").alias("before")).distinct()
+    masked = redact(chunks)
+    stars = lambda c: F.length(c) - F.length(F.replace(c, F.lit("*")))
+    return masked.select("id", F.md5("code").alias("code_md5"), (F.length("code") == F.length("before")).alias("same_length"), (stars(F.col("code")) - stars(F.col("before"))).alias("masked"))
+
+
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     """The pieces of every chunk of more than 100 lines."""
     return split_oversized(table(spark, directory, "chunks"))
@@ -41,6 +49,11 @@ def p4_found(spark: SparkSession, directory: str) -> DataFrame:
     return near_copy_pairs(table(spark, directory, "chunks"))
 
 
+def p4_classes(spark: SparkSession, directory: str) -> DataFrame:
+    """One row for each chunk of 40 tokens or more: its class of equal sets and its number of similar classes."""
+    return near_copy_classes(table(spark, directory, "chunks"))
+
+
 def p5_found(spark: SparkSession, directory: str) -> DataFrame:
     """Files that nobody wrote by hand."""
     return provenance.not_hand_written(table(spark, directory, "chunks"))
@@ -61,6 +74,11 @@ def p8_found(spark: SparkSession, directory: str) -> DataFrame:
     return look_alikes.look_alike_pairs(table(spark, directory, "documents"))
 
 
+def p8_classes(spark: SparkSession, directory: str) -> DataFrame:
+    """Documents that look like another, different text, with the canonical member of their class."""
+    return look_alikes.look_alike_classes(table(spark, directory, "documents")).select("doc_id", "canonical")
+
+
 P1_SQL = """
 SELECT file_path, id FROM (
   SELECT file_path, id, row_number() OVER (PARTITION BY file_path ORDER BY c DESC, s ASC NULLS LAST, id) AS place
@@ -85,6 +103,11 @@ sizes AS (SELECT id, count(*) AS n FROM grams GROUP BY id),
 common AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id)
 SELECT id_a, id_b FROM common JOIN sizes a ON id_a = a.id JOIN sizes b ON id_b = b.id WHERE c * 10 >= 7 * (a.n + b.n - c)
 """
+P4_CLASSES_SQL = P4_SQL.replace("SELECT id_a, id_b FROM common", ", pairs AS (SELECT id_a, id_b, c = a.n AND c = b.n AS equal FROM common").replace("- c)\n", """- c)),
+keys AS (SELECT s.id, least(s.id, min(CASE WHEN p.id_a = s.id THEN p.id_b ELSE p.id_a END)) AS class_key FROM sizes s LEFT JOIN pairs p ON equal AND (p.id_a = s.id OR p.id_b = s.id) GROUP BY s.id),
+ends AS (SELECT id_a AS x, id_b AS y FROM pairs WHERE NOT equal UNION ALL SELECT id_b, id_a FROM pairs WHERE NOT equal)
+SELECT k.id, k.class_key, count(DISTINCT o.class_key) AS links FROM keys k LEFT JOIN ends ON x = k.id LEFT JOIN keys o ON o.id = y GROUP BY k.id, k.class_key
+""")
 
 
 def p5_sql() -> str:
@@ -142,20 +165,28 @@ SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, {grams} AS g FROM d) JOIN (
 """
 
 
-def p8_sql() -> str:
-    """Look-alike pairs by the same character table and DuckDB's canonical composition."""
+def _forms_sql() -> str:
+    """Documents' forms by the same character table and DuckDB's canonical composition."""
     text = _mapped_sql(look_alikes.folding(), "text")
     return f"""
 WITH forms AS (SELECT doc_id, text, nfc_normalize({text}) AS form FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 seen AS (SELECT * FROM forms WHERE regexp_matches(form, '[^\\s]'))
-SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM seen a JOIN seen b ON a.form = b.form
-WHERE a.doc_id < b.doc_id AND a.text <> b.text
 """
 
 
+def p8_sql() -> str:
+    """Look-alike pairs of equal forms."""
+    return _forms_sql() + "SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM seen a JOIN seen b ON a.form = b.form WHERE a.doc_id < b.doc_id AND a.text <> b.text"
+
+
+def p8_classes_sql() -> str:
+    """The members of forms that more than one text has."""
+    return _forms_sql() + "SELECT doc_id, canonical FROM seen JOIN (SELECT form, min(doc_id) AS canonical FROM seen GROUP BY form HAVING count(DISTINCT text) > 1) USING (form)"
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_classes": p8_classes}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p5_found": p5_sql(), "p7_found": p7_sql(), "p8_found": p8_sql()}
+    return {"p1_found": P1_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p5_found": p5_sql(), "p7_found": p7_sql(), "p8_found": p8_sql(), "p8_classes": p8_classes_sql(), "p4_classes": P4_CLASSES_SQL}

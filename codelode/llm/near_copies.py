@@ -425,3 +425,14 @@ def near_copy_pairs(df: DataFrame, key: str = "id", text: str = "code", rule: Ru
     inside = a.join(b, F.col("class_a") == F.col("class_b")).where("a < b").select("a", "b")
     pairs = between.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).unionAll(inside.toDF("id_a", "id_b"))
     return pairs.distinct()
+
+
+def near_copy_classes(df: DataFrame, key: str = "id", text: str = "code", rule: Rule | None = None) -> DataFrame:
+    """(key, class_key, links): one row for each record with a set: the smallest key of its class of equal sets, and how many other classes are similar to it.
+
+    As ``near_copies``; nothing is expanded into pairs, so a large group of copies stays one row a record.
+    """
+    links, members = near_copies(df, key, text, rule)
+    ends = links.select(F.explode(F.array("class_a", "class_b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
+    of_class = members.groupBy("class").agg(F.min(F.col(f"`{key}`")).alias("class_key")).join(ends, "class", "left")
+    return members.join(of_class, "class").select(F.col(f"`{key}`"), "class_key", F.coalesce("links", F.lit(0)).cast("long").alias("links"))

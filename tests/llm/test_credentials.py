@@ -125,3 +125,10 @@ def test_frames(spark):
     assert masked.columns == df.columns
     assert sorted((r.id or "", r.code) for r in masked.where("code is not null").collect()) == sorted((i or "", redacted(c)) for i, c in rows if c is not None)
     assert masked.where("code is null").count() == 1
+
+
+def test_redacted_query(spark):
+    from codelode.llm import catalog
+
+    rows = catalog.p2_redacted(spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(r.same_length and r.masked >= 0 for r in rows) and any(r.masked for r in rows)

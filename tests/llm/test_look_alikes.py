@@ -55,3 +55,9 @@ def test_query_equals_sql(spark):
     at = "/root/testdata/sf0.01"
     found = rows_of(catalog.p8_found(spark, at).select("doc_a", "doc_b"))
     assert found and found == sql_rows(at, catalog.p8_sql(), ["doc_a", "doc_b"])
+
+
+def test_classes_equal_sql(spark):
+    at, columns = "/root/testdata/sf0.01", ["doc_id", "canonical"]
+    rows = rows_of(catalog.p8_classes(spark, at).select(columns))
+    assert rows and rows == sql_rows(at, catalog.p8_classes_sql(), columns)

@@ -125,3 +125,18 @@ def test_query_equals_sql(spark):
     at = "/root/testdata/sf0.01"
     rows = rows_of(catalog.p4_found(spark, at).select("id_a", "id_b"))
     assert rows and rows == sql_rows(at, catalog.P4_SQL, ["id_a", "id_b"])
+
+
+def test_classes_equal_sql(spark):
+    at, columns = "/root/testdata/sf0.01", ["id", "class_key", "links"]
+    rows = rows_of(catalog.p4_classes(spark, at).select(columns))
+    assert rows and rows == sql_rows(at, catalog.P4_CLASSES_SQL, columns)
+
+
+def test_a_large_group_of_copies_stays_one_class(spark):
+    rng = random.Random(8)
+    base, other = list(family(rng, 1, 80))[0], list(family(rng, 1, 80))[0]
+    rows = [(f"c{k:04}", base) for k in range(400)] + [("d", base + " more"), ("e", other)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], SCHEMA).repartition(4)
+    found = {r.id: (r.class_key, r.links) for r in near_copies.near_copy_classes(df).collect()}
+    assert len(found) == 402 and found["c0399"] == ("c0000", 1) and found["d"] == ("d", 1) and found["e"] == ("e", 0)
