@@ -32,11 +32,19 @@ def p2_found(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p2_redacted(spark: SparkSession, directory: str) -> DataFrame:
-    """Every chunk's code with its credentials masked, as a digest, and how many characters are masked."""
-    chunks = table(spark, directory, "chunks").where("id is not null and code is not null").select("id", "code", F.col("code").alias("before")).distinct()
-    masked = redact(chunks)
+    """The code of every chunk and vector with its credentials masked, as a digest, and how many characters are masked.
+
+    Rows with a null id stay; a null code holds nothing to mask and gives no row. Repeats are dropped
+    as results, so no text is exchanged.
+    """
     stars = lambda c: F.length(c) - F.length(F.replace(c, F.lit("*")))
-    return masked.select("id", F.md5("code").alias("code_md5"), (F.length("code") == F.length("before")).alias("same_length"), (stars(F.col("code")) - stars(F.col("before"))).alias("masked"))
+
+    def of(name: str, key: str) -> DataFrame:
+        given = table(spark, directory, name).where("code is not null").select(F.lit(name).alias("src_table"), F.col(key).alias("id"), "code", F.col("code").alias("before"))
+        digest = (F.md5("code").alias("code_md5"), (F.length("code") == F.length("before")).alias("same_length"), (stars(F.col("code")) - stars(F.col("before"))).alias("masked"))
+        return redact(given).select("src_table", "id", *digest)
+
+    return of("chunks", "id").unionByName(of("vectors", "chunk_id")).distinct()
 
 
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:

@@ -132,3 +132,16 @@ def test_redacted_query(spark):
 
     rows = catalog.p2_redacted(spark, "/root/testdata/sf0.001").collect()
     assert rows and all(r.same_length and r.masked >= 0 for r in rows) and any(r.masked for r in rows)
+
+
+def test_redacted_query_reads_vectors_and_null_ids(spark, tmp_path):
+    from hashlib import md5
+
+    from codelode.llm import catalog
+
+    secret, at = CASES[4], str(tmp_path)
+    spark.createDataFrame([("a", secret), ("a", secret), (None, secret), ("b", None)], "id string, code string").write.parquet(f"{at}/chunks.parquet")
+    spark.createDataFrame([("a", "x\n" + secret), ("stale", secret), (None, secret), ("b", None)], "chunk_id string, code string").write.parquet(f"{at}/vectors.parquet")
+    of = lambda code: (md5(redacted(code).encode()).hexdigest(), True, redacted(code).count("*"))
+    want = [("chunks", "a", *of(secret)), ("chunks", None, *of(secret)), ("vectors", "a", *of("x\n" + secret)), ("vectors", "stale", *of(secret)), ("vectors", None, *of(secret))]
+    assert sorted(map(tuple, catalog.p2_redacted(spark, at).collect()), key=repr) == sorted(want, key=repr)
