@@ -15,6 +15,9 @@ from codelode.session import cut
 # Folders that name a layer.
 LAYERS = "controllers routes services models middleware utils helpers config lib core api handlers repositories domain infrastructure presentation application".split()
 
+#: Hops that one written step of the search for components takes.
+HOPS_AT_ONCE = 6
+
 
 def edges(imports: DataFrame) -> DataFrame:
     """JOI5: the different resolved edges, without self edges."""
@@ -106,6 +109,52 @@ def cycles(edge: DataFrame, longest: int = 4) -> DataFrame:
     return reduce(DataFrame.unionAll, found)
 
 
+def components(edge: DataFrame) -> DataFrame:
+    """GRV1: (file, component, files, edges) of every file that lies on a cycle, however long it is.
+
+    A component holds the files that reach one another and is named by its smallest; files and edges are
+    its size. Each round gives every file the smallest file that reaches it and the smallest that it
+    reaches, by joins repeated until nothing changes. Where the two are equal they name the component; an
+    edge whose ends differ in either lies on no cycle. The rest goes into the next round, and the
+    smallest file left settles its component in each.
+    """
+    live, done = edge.select("src", "dst"), []
+    while True:
+        for _ in range(2):
+            live = live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        live = cut(live.select("src", "dst"))
+        if live.isEmpty():
+            break
+        # ahead: from the edge's source to its target; the other way round for what a file reaches; every file also keeps its own
+        both = live.select(F.col("src").alias("file"), F.lit(True).alias("ahead"), F.col("dst").alias("to")).unionAll(live.select("dst", F.lit(False), "src"))
+        ways = F.explode(F.array(F.lit(True), F.lit(False))).alias("ahead")
+        files = live.select(F.explode(F.array("src", "dst")).alias("file")).distinct().select("file", ways)
+        step = cut(both.unionAll(files.select("file", "ahead", "file")))
+        named = files.withColumn("least", F.col("file"))
+        while True:
+            seen = named.withColumn("before", F.col("least"))
+            for _ in range(HOPS_AT_ONCE):
+                told = seen.join(step, ["file", "ahead"]).select(F.col("to").alias("at"), "ahead", "least", F.when(F.col("to") == F.col("file"), F.col("before")).alias("before"))
+                seen = told.groupBy(F.col("at").alias("file"), "ahead").agg(F.min("least").alias("least"), F.max("before").alias("before"))
+            seen = cut(seen)
+            named = seen.select("file", "ahead", "least")
+            if seen.where("least < before").isEmpty():
+                break
+        least = lambda ahead: F.min(F.when(F.col("ahead") == ahead, F.col("least")))
+        ends = cut(named.groupBy("file").agg(least(True).alias("reached_by"), least(False).alias("reaches")))
+        done.append(ends.where("reached_by = reaches").select("file", F.col("reaches").alias("component")))
+        same = live.join(ends.toDF("src", "a", "b"), "src").join(ends.toDF("dst", "c", "d"), "dst")
+        live = same.where("a = c and b = d and a <> b").select("src", "dst")
+    if not done:
+        return edge.sparkSession.createDataFrame([], "file string, component string, files long, edges long")
+    # a file alone has no edge inside
+    member = reduce(DataFrame.unionAll, done)
+    inner = edge.join(member.toDF("src", "component"), "src").join(member.toDF("dst", "other"), "dst").where("component = other")
+    edges_in = inner.groupBy("component").agg(F.count("*").alias("edges"))
+    sizes = member.groupBy("component").agg(F.count("*").alias("files"))
+    return member.join(sizes, "component").join(edges_in, "component").select("file", "component", "files", "edges")
+
+
 def layer_of(path: Column, layers: list[str] = LAYERS) -> Column:
     """JOI9: the last of the layers whose folder is in the path; null if none is."""
     slashed = F.replace(path, F.lit("\\"), F.lit("/"))

@@ -166,10 +166,24 @@ WITH RECURSIVE e AS {EDGES}, p AS (SELECT src AS first, dst AS tip, [src, dst] A
 SELECT array_to_string(path, ' > ') AS cycle, len(path)::BIGINT AS length FROM p JOIN e ON tip = src AND dst = first
 """)
 def cycles_bounded(spark: SparkSession, d: str) -> DataFrame:
-    """GRV1-2, GRV10: import cycles of up to four files."""
+    """GRV1-2, GRV10: import cycles of up to four files; ``cycle_components`` has the files of all cycles."""
     return graph.cycles(imports(spark, d), 4)
 
 
+COMPONENTS = f"""
+WITH RECURSIVE e AS {EDGES}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src),
+m AS (SELECT a.src AS file, min(a.dst) AS component, count(*) AS files FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src),
+i AS (SELECT x.component, count(*) AS edges FROM e JOIN m x ON src = x.file JOIN m y ON dst = y.file WHERE x.component = y.component GROUP BY 1)
+SELECT file, component, files, edges FROM m JOIN i USING (component)
+"""
+
+
+@R.add(COMPONENTS)
+def cycle_components(spark: SparkSession, d: str) -> DataFrame:
+    """GRV1-2, GRV10: every file that lies on an import cycle of any length, with its component."""
+    return graph.components(imports(spark, d))
+
+
 def _layer(column: str) -> str:
     slashed = f"replace({column}, chr(92), '/')"
     return "CASE " + " ".join(f"WHEN contains({slashed}, '/{x}/') THEN '{x}'" for x in reversed(graph.LAYERS)) + " END"
@@ -198,7 +212,7 @@ WITH c AS (SELECT count(*) AS n FROM ({R.entries['cycles_bounded'][1]})), g AS (
 SELECT c.n AS cycles, g.n AS god_files, v.n AS violations, CASE WHEN v.n = 0 AND g.n = 0 THEN 'Clean Modular' WHEN g.n >= 3 THEN 'Monolith' WHEN c.n >= 2 THEN 'Spaghetti' ELSE 'Layered' END AS pattern FROM c, g, v
 """)
 def architecture_report(spark: SparkSession, d: str) -> DataFrame:
-    """RUL12, GRV5: counts of the graph's problems and a word for the whole."""
+    """RUL12, GRV5: counts of the graph's problems and a word for the whole, by cycles of up to four files; ``architecture_whole`` has no bound."""
     edge = imports(spark, d)
     one = lambda df, name: df.agg(F.count("*").alias(name)).withColumn("k", F.lit(1))
     god = edge.groupBy("src").count().where("count >= 5")
@@ -206,6 +220,28 @@ def architecture_report(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("cycles", "god_files", "violations", graph.pattern_label(F.col("cycles"), F.col("god_files"), F.col("violations")).alias("pattern"))
 
 
+@R.add(f"""
+WITH k AS ({COMPONENTS}), c AS (SELECT count(DISTINCT component) AS components, count(*) AS cyclic_files, (SELECT coalesce(sum(edges - files + 1), 0)::BIGINT FROM (SELECT DISTINCT component, files, edges FROM k)) AS independent_cycles FROM k),
+g AS (SELECT count(*) AS n FROM (SELECT src FROM {EDGES} GROUP BY src HAVING count(*) >= 5)), v AS (SELECT count(*) AS n FROM ({R.entries['layer_violations'][1]}))
+SELECT components, cyclic_files, independent_cycles, g.n AS god_files, v.n AS violations,
+  CASE WHEN v.n = 0 AND g.n = 0 THEN 'Clean Modular' WHEN g.n >= 3 THEN 'Monolith' WHEN independent_cycles >= 2 THEN 'Spaghetti' ELSE 'Layered' END AS pattern FROM c, g, v
+""")
+def architecture_whole(spark: SparkSession, d: str) -> DataFrame:
+    """RUL12, GRV5 over cycles of any length.
+
+    The cycles of a component of E edges and F files are too many to list, but E - F + 1 of them are
+    independent, and that is two or more exactly where the component has two or more cycles.
+    """
+    edge = imports(spark, d)
+    one = lambda df, name: df.agg(F.count("*").alias(name)).withColumn("k", F.lit(1))
+    parts = cycle_components(spark, d).select("component", "files", "edges").distinct()
+    cyclic = parts.agg(F.count("*").alias("components"), F.coalesce(F.sum("files"), F.lit(0)).alias("cyclic_files"), F.coalesce(F.sum(F.expr("edges - files + 1")), F.lit(0)).alias("independent_cycles"))
+    god = edge.groupBy("src").count().where("count >= 5")
+    joined = cyclic.withColumn("k", F.lit(1)).join(one(god, "god_files"), "k").join(one(layer_violations(spark, d), "violations"), "k")
+    label = graph.pattern_label(F.col("independent_cycles"), F.col("god_files"), F.col("violations"))
+    return joined.select("components", "cyclic_files", "independent_cycles", "god_files", "violations", label.alias("pattern"))
+
+
 @R.add(f"""
 WITH e AS {EDGES}, f AS (SELECT src AS file FROM e UNION SELECT dst FROM e UNION SELECT file_path FROM chunks WHERE file_path IS NOT NULL)
 SELECT (SELECT count(*) FROM f) AS files, (SELECT count(DISTINCT src) FROM e) AS files_with_deps, (SELECT count(*) FROM e) AS edges

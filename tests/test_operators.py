@@ -49,6 +49,32 @@ def test_cycles(spark):
     assert graph.cycles(e.limit(0)).count() == 0
 
 
+def test_components_of_cycles_of_any_length(spark):
+    ring = [(f"r{k:02}", f"r{(k + 1) % 19:02}") for k in range(19)]
+    e = edges(spark, *ring, ("r03", "a"), ("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("z", "r05"), ("y", "y"), ("y", None))
+    assert graph.cycles(e, 4).count() == 1
+    assert rows(graph.components(e)) == [("a", "a", 2, 2), ("b", "a", 2, 2), *((f"r{k:02}", "r00", 19, 19) for k in range(19))]
+    assert graph.components(e.limit(0)).count() == 0
+
+
+def test_components_are_mutual_reachability(spark):
+    rng = random.Random(5)
+    pairs = {(f"f{rng.randrange(60):02}", f"f{rng.randrange(60):02}") for _ in range(75)}
+    after = {}
+    for a in {x for p in pairs for x in p}:
+        seen, todo = set(), [a]
+        while todo:
+            x = todo.pop()
+            new = {d for s, d in pairs if s == x and s != d} - seen
+            seen |= new
+            todo += new
+        after[a] = seen
+    groups = {a: frozenset(b for b in after[a] if a in after[b]) for a in after}
+    inside = lambda g: sum(s in g and d in g and s != d for s, d in pairs)
+    want = sorted((a, min(g), len(g), inside(g)) for a, g in groups.items() if g)
+    assert want and rows(graph.components(edges(spark, *pairs))) == want
+
+
 def test_neighbours(spark):
     e = edges(spark, ("x", "y"), ("y", "z"), ("z", "w"))
     seeds = spark.createDataFrame([("x",)], "file string")
