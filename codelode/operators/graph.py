@@ -70,15 +70,19 @@ def coupling_of(edge: DataFrame, a: str, b: str) -> DataFrame:
     return coupling(two).where((F.col("a") == min(a, b)) & (F.col("b") == max(a, b)))
 
 
-def neighbours(edge: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
-    """JOI2: files within so many undirected hops of the seeds (column file), without the seeds, with their distance."""
+def neighbours(edge: DataFrame, seeds: DataFrame, depth: int = 2, by: tuple[str, ...] = ()) -> DataFrame:
+    """JOI2: files within so many undirected hops of the seeds (column file), without the seeds, with their distance.
+
+    ``by`` names further columns of the seeds, each value of which has seeds and neighbours of its own.
+    """
+    key = [*by, "file"]
     around = edge.unionAll(edge.select(F.col("dst"), F.col("src"))).toDF("file", "next").distinct()
-    reached = seeds.select("file").distinct().withColumn("hops", F.lit(0))
-    front = reached.select("file")
+    reached = seeds.select(*key).distinct().withColumn("hops", F.lit(0))
+    front = reached.select(*key)
     for hop in range(1, depth + 1):
-        front = front.join(around, "file").select(F.col("next").alias("file")).distinct().join(reached.select("file"), "file", "left_anti")
+        front = front.join(around, "file").select(*by, F.col("next").alias("file")).distinct().join(reached.select(*key), key, "left_anti")
         reached = reached.unionAll(front.withColumn("hops", F.lit(hop)))
-    return reached.where("hops > 0").select("file", F.col("hops").cast("long").alias("hops"))
+    return reached.where("hops > 0").select(*key, F.col("hops").cast("long").alias("hops"))
 
 
 def file_calls(edge: DataFrame, chunks: DataFrame) -> DataFrame:

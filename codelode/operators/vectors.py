@@ -72,13 +72,14 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0
     return rounded.withColumn("place", place).where(F.col("place") <= k).withColumn("place", F.col("place").cast("long"))
 
 
-def rank(primary: DataFrame, neighbours: DataFrame) -> DataFrame:
+def rank(primary: DataFrame, neighbours: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """WIN2: (id, kind, score): matches by place, neighbours by complexity, both a little more with smells.
 
-    primary: id, place (from 1), smelly; neighbours: id, complexity, smelly.
+    primary: id, place (from 1), smelly; neighbours: id, complexity, smelly; both with the columns ``by``,
+    whose values are ranked apart.
     """
     bonus = F.when(F.col("smelly"), 0.1).otherwise(0.0)
-    count = F.count("*").over(Window.partitionBy(F.lit(1)))  # over the k matches
-    a = primary.select("id", F.lit("primary").alias("kind"), F.round(1.0 - (F.col("place") - 1) / count + bonus, 6).alias("score"))
-    b = neighbours.select("id", F.lit("neighbour"), F.round(0.5 + F.least(F.coalesce("complexity", F.lit(0)) / 20, F.lit(0.3)) + bonus, 6))
+    count = F.count("*").over(Window.partitionBy(*(by or (F.lit(1),))))  # over the k matches
+    a = primary.select(*by, "id", F.lit("primary").alias("kind"), F.round(1.0 - (F.col("place") - 1) / count + bonus, 6).alias("score"))
+    b = neighbours.select(*by, "id", F.lit("neighbour"), F.round(0.5 + F.least(F.coalesce("complexity", F.lit(0)) / 20, F.lit(0.3)) + bonus, 6))
     return a.unionAll(b)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codelode.operators import graph, vectors
 from codelode.plans.graphs import AROUND, imports
 from codelode.plans.registry import Registry
+from codelode.session import cut
 from codelode.sources.tables import table
 
 R = Registry()
@@ -48,15 +49,45 @@ SELECT id, 'primary' AS kind, round(1.0 - (place - 1) / (SELECT count(*) FROM p)
 UNION ALL SELECT id, 'neighbour', round(0.5 + least(coalesce(complexity, 0) / 20, 0.3) + CASE WHEN smells > 0 THEN 0.1 ELSE 0 END, 6) FROM v JOIN r ON v.file_path = r.file WHERE id NOT IN (SELECT id FROM p)
 """)
 def hybrid_ranked(spark: SparkSession, d: str) -> DataFrame:
-    """JOI4, WIN2: the matches of one vector and the chunks of files up to two imports away, ranked."""
+    """JOI4, WIN2: the matches of one vector and the chunks of files up to two imports away, ranked; ``hybrid_ranked_all`` takes one vector in twenty."""
+    rows = _stored(spark, d)
+    return _hybrid(spark, d, rows, rows.select("id", "embedding").orderBy("id").limit(1)).drop("query")
+
+
+#: One id in twenty, by a hash of the id.
+ASKED = "('0x' || md5(id)[1:8])::BIGINT % 20 = 0"
+#: Queries of the hybrid search sent at once; similarities of so many to a batch of 10,000 rows take 80 MB.
+HYBRID_AT_ONCE = 1024
+
+
+@R.add(f"""
+WITH v AS {STORED}, q AS (SELECT * FROM v WHERE {ASKED}),
+p AS (SELECT a.id AS query, b.id, b.file_path, b.smells, row_number() OVER (PARTITION BY a.id ORDER BY {COSINE} DESC, b.id) AS place FROM q a, v b WHERE {COSINE} >= 0.3 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY {COSINE} DESC, b.id) <= 10),
+c AS (SELECT query, count(*) AS n FROM p GROUP BY query),
+n AS {AROUND}, h1 AS (SELECT DISTINCT query, next AS file FROM p JOIN n ON p.file_path = n.file), h2 AS (SELECT query, file FROM h1 UNION SELECT query, next FROM h1 JOIN n USING (file)),
+r AS (SELECT query, file FROM h2 WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.query = h2.query AND p.file_path = h2.file))
+SELECT query, id, 'primary' AS kind, round(1.0 - (place - 1) / n + CASE WHEN smells > 0 THEN 0.1 ELSE 0 END, 6) AS score FROM p JOIN c USING (query)
+UNION ALL SELECT query, id, 'neighbour', round(0.5 + least(coalesce(complexity, 0) / 20, 0.3) + CASE WHEN smells > 0 THEN 0.1 ELSE 0 END, 6) FROM v JOIN r ON v.file_path = r.file WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.query = r.query AND p.id = v.id)
+""")
+def hybrid_ranked_all(spark: SparkSession, d: str) -> DataFrame:
+    """JOI4, WIN2: the matches of one vector in twenty, by a hash of its id, and the chunks of files up to two imports from them, ranked for each."""
+    rows = _stored(spark, d)
+    return _hybrid(spark, d, rows, rows.where("cast(conv(substring(md5(id), 1, 8), 16, 10) as bigint) % 20 = 0").select("id", "embedding"))
+
+
+def _stored(spark: SparkSession, d: str) -> DataFrame:
     stored = table(spark, d, "vectors").where("embedding is not null and chunk_id is not null")
-    rows = stored.groupBy(F.col("chunk_id").alias("id")).agg(F.max("file_path").alias("file_path"), F.max("cyclomatic_complexity").alias("complexity"), F.max("smell_count").alias("smells"), F.min("embedding").alias("embedding"))
-    query = rows.select("id", "embedding").orderBy("id").limit(1)
+    return stored.groupBy(F.col("chunk_id").alias("id")).agg(F.max("file_path").alias("file_path"), F.max("cyclomatic_complexity").alias("complexity"), F.max("smell_count").alias("smells"), F.min("embedding").alias("embedding"))
+
+
+def _hybrid(spark: SparkSession, d: str, rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query, id, kind, score) of the stored rows for each query (id, embedding)."""
     smelly = (F.coalesce("smells", F.lit(0)) > 0).alias("smelly")
-    hits = vectors.top_k(rows.select("id", "embedding"), query).select("id", "place").join(rows.select("id", "file_path", smelly), "id")
-    near = graph.neighbours(imports(spark, d), hits.where("file_path is not null").select(F.col("file_path").alias("file")), 2)
-    around = rows.join(near.select(F.col("file").alias("file_path")), "file_path", "left_semi").join(hits.select("id"), "id", "left_anti")
-    return vectors.rank(hits.select("id", "place", "smelly"), around.select("id", "complexity", smelly))
+    top = cut(vectors.top_k(rows.select("id", "embedding"), queries, at_once=HYBRID_AT_ONCE).select("query", "id", "place"))
+    hits = top.join(rows.select("id", "file_path", smelly), "id")
+    near = graph.neighbours(imports(spark, d), hits.where("file_path is not null").select("query", F.col("file_path").alias("file")), 2, ("query",))
+    around = rows.select("id", "file_path", "complexity", smelly).join(near.select("query", F.col("file").alias("file_path")), "file_path").join(top.select("query", "id"), ["query", "id"], "left_anti")
+    return vectors.rank(hits.select("query", "id", "place", "smelly"), around.select("query", "id", "complexity", "smelly"), ("query",))
 
 
 @R.add("""

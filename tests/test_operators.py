@@ -1,4 +1,5 @@
 import random
+from hashlib import md5
 
 import pytest
 from pyspark.sql import functions as F
@@ -209,3 +210,21 @@ def test_split_frame(spark):
     code = "\n".join(["x"] * 160)
     df = spark.createDataFrame([("a", code, 5, 16, "p"), ("b", "short", 1, 1, "p"), ("c", None, 1, 1, "p")], "id string, code string, start_line int, cyclomatic_complexity int, file_path string")
     assert [(r.part, r.first_line, r.last_line, r.complexity) for r in folds.split_chunks(df).orderBy("part").collect()] == [(1, 5, 104, 10), (2, 105, 164, 6)]
+
+
+def test_rank_and_neighbours_of_each_query(spark):
+    e = edges(spark, ("a", "b"), ("b", "c"), ("c", "d"))
+    seeds = spark.createDataFrame([("q", "a"), ("r", "d"), ("r", "c")], "query string, file string")
+    assert rows(graph.neighbours(e, seeds, 2, ("query",))) == [("q", "b", 1), ("q", "c", 2), ("r", "a", 2), ("r", "b", 1)]
+    hits = spark.createDataFrame([("q", "x", 1, False), ("q", "y", 2, True), ("r", "x", 1, False)], "query string, id string, place long, smelly boolean")
+    near = spark.createDataFrame([("r", "z", 4, False)], "query string, id string, complexity int, smelly boolean")
+    assert rows(vectors.rank(hits, near, ("query",))) == [("q", "x", "primary", 1.0), ("q", "y", "primary", 0.6), ("r", "x", "primary", 1.0), ("r", "z", "neighbour", 0.7)]
+
+
+def test_hybrid_search_asks_one_vector_in_twenty(spark):
+    from codelode.plans import searches
+
+    at = "/root/testdata/sf0.001"
+    asked = {r.query for r in searches.hybrid_ranked_all(spark, at).collect()}
+    ids = {r.id for r in searches._stored(spark, at).select("id").collect()}
+    assert len(asked) > 1 and asked == {x for x in ids if int(md5(x.encode()).hexdigest()[:8], 16) % 20 == 0}
