@@ -51,7 +51,12 @@ ENCODED = r"[A-Za-z0-9+/=]{100,}"
 #: The same, tried only where a run begins; a shorter run is then read once, not once from each place in it.
 ENCODED_ONCE = r"(?<![A-Za-z0-9+/=])" + ENCODED
 NUMBER = r"\b(0x[0-9a-fA-F]+|[0-9][0-9.eE]*)"
+#: Lines that are always searched for notices; a comment that a text begins with is searched to its end.
 HEAD_LINES = 12
+_MARK = r"(//|/\*|\*|#|<!--|--)"
+#: A blank line or one that begins with a comment's mark; a text that begins with a comment.
+_MARKED = r"^[ \t\r\f\x{FEFF}]*(" + _MARK + "|$)"
+_BEGINS_MARKED = r"^[ \t\r\n\f\x{FEFF}]*" + _MARK
 
 
 @dataclass(frozen=True)
@@ -84,12 +89,34 @@ def without_encoded(code: Column) -> Column:
     return F.regexp_replace(code, ENCODED_ONCE, "")
 
 
-def chunk_layout(code: Column, bare: Column) -> list[Column]:
+def head_of(code: Column) -> Column:
+    """The first lines of a text, and all lines before its first line of code if these are more.
+
+    A line is a comment if it begins with a comment's mark, is inside a block comment or is blank; what
+    follows a block's end on its line isn't looked at.
+    """
+
+    def step(state: Column, line: Column) -> Column:
+        close = state["close"]
+        mark = F.ltrim(F.translate(line, "\t\r\f\ufeff", "    "))
+        opened = F.when(mark.startswith("/*") & ~F.substring(mark, 3, 1 << 30).contains("*/"), "*/").when(mark.startswith("<!--") & ~F.substring(mark, 5, 1 << 30).contains("-->"), "-->").otherwise("")
+        goes_on = (close != "") | line.rlike(_MARKED)
+        after = F.when(close == "", opened).when(line.contains(close), "").otherwise(close)
+        ended = state["ended"] | ~goes_on
+        return F.struct(F.when(ended, state["lines"]).otherwise(state["lines"] + 1).alias("lines"), F.when(ended, close).otherwise(after).alias("close"), ended.alias("ended"))
+
+    start = F.struct(F.lit(0).alias("lines"), F.lit("").alias("close"), F.lit(False).alias("ended"))
+    leading = F.aggregate(F.split(code, "\n"), start, step, lambda s: s["lines"])
+    longer = F.when(code.rlike(_BEGINS_MARKED), F.greatest(leading, F.lit(HEAD_LINES))).otherwise(F.lit(HEAD_LINES))
+    return F.call_function("substring_index", code, F.lit("\n"), longer)
+
+
+def chunk_layout(code: Column, bare: Column, head: Column) -> list[Column]:
     """The statistics of one piece of code that its file's are made of; all additive but the longest line.
 
-    ``bare`` is the code without its long encoded runs, best as a column made before.
+    ``bare`` is the code without its long encoded runs, best as a column made before; ``head``, what is
+    searched for notices, likewise.
     """
-    head = F.substring_index(code, "\n", HEAD_LINES)
     banner = sum((head.rlike(p).cast("int") for p in BANNER), F.lit(0))
     return [
         F.length(code).cast("long").alias("chars"),
@@ -126,8 +153,8 @@ def not_hand_written(df: DataFrame, path: str = "file_path", code: str = "code",
     with either slash. Other columns are never read; an empty table gives an empty result.
     """
     p, c = F.col(f"`{path}`"), F.col(f"`{code}`")
-    given = df.where(p.isNotNull()).select(p.alias("path"), F.coalesce(F.col(f"`{chunk}`").cast("string"), F.lit("")).alias("chunk"), c.alias("code"), without_encoded(c).alias("bare"))
-    rows = given.select("path", "chunk", *chunk_layout(F.col("code"), F.col("bare")))
+    given = df.where(p.isNotNull()).select(p.alias("path"), F.coalesce(F.col(f"`{chunk}`").cast("string"), F.lit("")).alias("chunk"), c.alias("code"), without_encoded(c).alias("bare"), head_of(c).alias("head"))
+    rows = given.select("path", "chunk", *chunk_layout(F.col("code"), F.col("bare"), F.col("head")))
     sums = ("chars", "encoded", "lines", "spaces", "alnum", "numbers")
     each = rows.groupBy("path", "chunk").agg(*(F.max(x).alias(x) for x in (*sums, "longest", "notice")))
     files = each.groupBy("path").agg(*(F.sum(x).alias(x) for x in sums), F.max("longest").alias("longest"), F.max("notice").alias("notice"))

@@ -57,6 +57,25 @@ def test_all_chunks_of_a_file_count(spark):
     assert found(spark, rows) == ["f.ts"]
 
 
+def test_notices_after_a_long_header(spark):
+    licence = "".join(f"// licence line {k}\n" for k in range(15))
+    block = "/*\n" + "".join(f"   licence line {k}\r\n" for k in range(15))
+    cases = {
+        "a/lines.ts": licence + "\n// Code generated by maker v1. DO NOT EDIT.\n" + HAND,
+        "a/block.ts": block + "*/\n// Code generated by maker v1. DO NOT EDIT.\n" + HAND,
+        "a/inside.ts": block + " * produced by maker\n */\n" + HAND,
+        "a/spanning.ts": "// Licensed under MIT\n" + licence + "// Version: 1.2.3\n" + HAND,
+        "a/page.htm": "<!--\n" + "licence\n" * 15 + "-->\n<!-- generated by maker -->\n<p>a</p>\n",
+        "a/after_code.ts": '"use strict";\n/*\n * @generated\n */\n' + HAND,
+    }
+    others = {
+        "a/hand.ts": licence + HAND + HAND + "// Code generated by maker v1. DO NOT EDIT.\n",
+        "a/ended.ts": block + "*/\nrun();\n// Code generated by maker v1. DO NOT EDIT.\n" + HAND,
+    }
+    rows = [(p, f"i{n}", c) for n, (p, c) in enumerate({**cases, **others}.items())]
+    assert found(spark, rows) == sorted(cases)
+
+
 def test_query_equals_sql(spark):
     at = "/root/testdata/sf0.01"
     rows = rows_of(catalog.p5_found(spark, at))
