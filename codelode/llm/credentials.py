@@ -90,7 +90,7 @@ YAML_VALUE = re.compile(r"^\s*[\"']?value[\"']?\s*[:=]\s*([\"']?)(.+?)\1\s*,?\s*
 # A line without any of these, in lower case, can hold no case.
 TRIGGERS = (
     "pass", "pwd", "secret", "token", "key", "psk", "cred", "bearer", "basic", "auth", "login", "signin", "sign_in", "jwt", "hmac", "cipher", "identified",
-    "kennwort", "contrase", "senha", "wachtwoord", "unlock", "pincode", "pin_code", "pin-code", "pin code", "mot de", "sig=", "code=", "://", "base64", "b64", "atob", "+ \"", "+ '", "+ `", "+\"", "+'", "+`", ".join(", "mysql", "mariadb", "curl",
+    "kennwort", "contrase", "senha", "wachtwoord", "unlock", "pincode", "pin_code", "pin-code", "pin code", "mot de", "sig=", "signature=", "code=", "://", "base64", "b64", "atob", "buffer.from", "+ \"", "+ '", "+ `", "+\"", "+'", "+`", ".join(", "mysql", "mariadb", "curl",
     "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat", "glpat", "xox", "sk_live", "sk_test", "rk_live", "rk_test", "sk-", "sg.", "npm_", "pypi-", "hf_", "aiza", "ya29", "shpat", "shpss", "shpca", "shppa", "dop_v1", "akia", "asia", "eyj", "whsec",
 )
 

@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from codelode.llm.credentials import credentials_in, find_credentials, kind_of, lines_with_credentials, redact, redacted
+from codelode.llm.credentials import KEY_NOUNS, PASSWORD_NOUNS, TRIGGERS, credentials_in, find_credentials, kind_of, lines_with_credentials, redact, redacted
 from codelode.llm.encoding import VOCABULARY
 
 pytestmark = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary here")
@@ -145,3 +145,24 @@ def test_redacted_query_reads_vectors_and_null_ids(spark, tmp_path):
     of = lambda code: (md5(redacted(code).encode()).hexdigest(), True, redacted(code).count("*"))
     want = [("chunks", "a", *of(secret)), ("chunks", None, *of(secret)), ("vectors", "a", *of("x\n" + secret)), ("vectors", "stale", *of(secret)), ("vectors", None, *of(secret))]
     assert sorted(map(tuple, catalog.p2_redacted(spark, at).collect()), key=repr) == sorted(want, key=repr)
+
+
+# the shortest that each rule takes, without what another rule's trigger would add
+SHORTEST = [
+    *(f"?{x}=" for x in ("apikey", "api-key", "token", "secret", "passwd", "password", "pwd", "accesskey", "access_key", "sig", "signature", "auth", "key", "code")),
+    "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xoxb-", "sk_live_", "sk_test_", "rk_live_", "rk_test_", "whsec_", "SG.", "npm_", "pypi-", "hf_", "AIza", "ya29.", "shpat_", "shpss_", "shpca_", "shppa_", "dop_v1_", "sk-", "AGE-SECRET-KEY-", "eyJ",
+    "ab://:", "Bearer ", "Token ", "ApiKey ", "Basic ",
+    *(f"{x}('" for x in ("Buffer.from", "atob", "b64decode", "base64.b64decode", "base64_decode", "Base64.decode", "decodeBase64")), "''+''", "''+\"\"", "''+``", "['',''].join('')",
+    *(f"{x}('" for x in ("authenticate", "login", "logIn", "signIn", "basicAuth", "auth", "setCredentials", "setPassword", "setPassphrase", "setPasswd", "jwt.sign", "jwt.verify", "createHmac", "createCipheriv", "createDecipheriv", "createCipher", "hmac.new", "setApiKey", "setToken", "setSecret", "setAccessToken")),
+    "IDENTIFIED BY '", "PASSWORD '", "mysql -p", "mysqldump -p", "mysqladmin -p", "mariadb -p", "curl -u a:b",
+    *(f"{noun.replace(' ', gap)}=" for noun in (*PASSWORD_NOUNS, *KEY_NOUNS) for gap in ("", "_", "-")), "A_KEY=",
+]
+
+
+@pytest.mark.parametrize("text", SHORTEST)
+def test_every_rule_has_a_trigger(text):
+    assert any(word in text.lower() for word in TRIGGERS)
+
+
+def test_signature_of_a_relative_url():
+    assert lines_with_credentials(f"\n\nload('/files/a.pdf?signature={HEX}')") == [3]
