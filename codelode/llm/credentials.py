@@ -55,7 +55,9 @@ FORMATS = (
 FORMAT = re.compile("|".join(FORMATS))
 KEY_BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 KEY_MATERIAL = re.compile(r"(?:^|\\n|[\"'`\s])([A-Za-z0-9+/]{16,}={0,2})(?=$|\\[nr]|[\"'`\s,+])", re.M)
-#: How far a key block without an end reaches.
+#: The next line of key material; a line may also end in an escape or a literal's end.
+KEY_NEXT = re.compile(r"(?:\\[nr]|[\"'`\s,+])*([A-Za-z0-9+/]{16,}={0,2})(?=$|\\[nr]|[\"'`\s,+])", re.M)
+#: How far key material may be from the begin of a block without an end; from there on it is followed line by line.
 KEY_CHARS = 5000
 URL_PASSWORD = re.compile(r"\b[a-z][a-z0-9+.-]{1,24}://(?:[^\s:/@\"'`<>]*):([^\s/@\"'`<>]+)@[\w.\[\]-]+", re.I)
 URL_PARAMETER = re.compile(r"[?&](?:[\w-]*(?:api[_-]?key|token|secret|passw(?:or)?d|pwd|access[_-]?key|sig(?:nature)?)|auth|key|code)=([^&\s\"'`#]+)", re.I)
@@ -294,6 +296,13 @@ def in_line(line: str, before: str = "") -> Iterator[tuple[int, int]]:
             yield m.span(2)
 
 
+def _material_end(code: str, at: int) -> int:
+    """Where the lines of key material that begin here end."""
+    while (m := KEY_NEXT.match(code, at)) and chars_per_subword(m[1]) < UNNATURAL:
+        at = m.end(1)
+    return at
+
+
 def _spans(code: str) -> set[tuple[int, int]]:
     """Where credentials stand; a key of several lines may have others between its lines."""
     spans: set[tuple[int, int]] = set()
@@ -303,7 +312,7 @@ def _spans(code: str) -> set[tuple[int, int]]:
         material = [x for x in KEY_MATERIAL.finditer(code, m.end(), stop) if chars_per_subword(x[1]) < UNNATURAL]
         if material:
             close = code.find("-----", end + 8) + 5 if end >= 0 else 0
-            spans.add((m.start(), max(close, material[-1].end(1))))
+            spans.add((m.start(), max(close, material[-1].end(1) if end >= 0 else _material_end(code, material[-1].start(1)))))
     for a, b in suspicious_lines(code):
         above = code[code.rfind("\n", 0, a - 1) + 1 : a - 1].rstrip("\r") if a else ""
         spans.update((a + x, a + y) for x, y in in_line(code[a:b].rstrip("\r"), above))
