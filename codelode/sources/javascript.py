@@ -198,9 +198,9 @@ def functions(code: str, ts: list[Token] | None = None) -> list[Function]:
 
 
 def _typed_arrow(ts: list[Token], k: int, partner: dict[int, int]) -> int | None:
-    """The colon of a return type before =>, looking back over the type."""
+    """The colon of a return type before =>, looking back over the type; a type is never left through an open bracket."""
     j = k - 1
-    while j > 0 and k - j < 40 and ts[j].text not in (";", "{", "=", ","):
+    while j > 0 and ts[j].text not in (";", "=", ",") and ts[j].text not in BRACKETS:
         if ts[j].text == ":" and ts[j - 1].text == ")" and j - 1 in partner:
             return j
         j = partner[j] - 1 if ts[j].text in BRACKETS.values() and j in partner else j - 1

@@ -27,6 +27,14 @@ def test_complexity_is_defined_by_its_parts():
     assert J.complexity(J.tokens("function f(a?: number) {}")) == 1
 
 
+def test_arrow_with_a_long_return_type():
+    fields = "; ".join(f"field{k}: Map<string>[] | null" for k in range(12))
+    code = f"\nconst made = (a, b): {{ {fields} }} => {{\n  return a;\n}};\nconst other = wide ? (call(a)) : list.map(x => x + {' + '.join('y' * 60)});\n"
+    ts, found = only(code)
+    assert [(f.name, f.params) for f in found] == [("made", 2), ("<anonymous>", 1)]
+    assert ts[found[0].first].text == "(" and code.count("\n", 0, code.index("(a, b)")) == 1
+
+
 def test_functions():
     code = "const f = async ({a, b}, c) => { g(function h() {}); };\nclass K { static m(x): Map<string, number> { return x; } }\nif (a) { b(); }"
     ts, found = only(code)
