@@ -77,11 +77,18 @@ counts AS (SELECT item_id, n, c, count(*) AS k FROM chars GROUP BY 1, 2, 3)
 SELECT item_id, round(-sum(k * 1.0 / n * log2(k * 1.0 / n)), 6) AS bits FROM counts GROUP BY item_id
 """)
 def text_entropy(spark: SparkSession, d: str) -> DataFrame:
-    """SCL10: bits a character of the evaluation passages."""
+    """SCL10: bits a character of the evaluation passages; ``document_entropy`` grows with the data."""
     items = table(spark, d, "eval_items").where("passage <> ''")
     return items.select("item_id", F.round(X.entropy(F.col("passage")), 6).alias("bits"))
 
 
+@R.add()
+def document_entropy(spark: SparkSession, d: str) -> DataFrame:
+    """SCL10: bits a character of every document's whole text; null and empty texts have none."""
+    documents = table(spark, d, "documents").where("text <> ''")
+    return documents.select("doc_id", F.round(X.entropy(F.col("text")), 6).alias("bits"))
+
+
 @R.add("""
 WITH ids AS (SELECT DISTINCT id, description FROM findings),
 words AS (SELECT id, list_filter(list_transform(string_split_regex(lower(description), '[ \\t\\r\\n]+'), lambda w: regexp_replace(w, '[^a-z0-9]', '', 'g')),

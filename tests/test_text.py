@@ -61,3 +61,16 @@ def test_embedding_text(spark):
     df = spark.sql("select 'a.ts' p, 1 s, 2 e, 3 c, 1.5D v, array(named_struct('type', 'X', 'message', 'm', 'line', 1)) k, 'code' t")
     made = df.select(X.embedding_text(*(F.col(x) for x in "psecvkt")).alias("x")).first().x
     assert made == "File: a.ts\nLines 1-2\nComplexity: 3, Halstead: 1.5\nCode smells: X.\n\ncode"
+
+
+def test_entropy_of_every_document(spark):
+    from collections import Counter
+    from math import log2
+
+    from codelode.plans import scalars
+
+    at = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{at}/documents.parquet").collect() if r.text}
+    want = {k: -sum(n / len(t) * log2(n / len(t)) for n in Counter(t).values()) for k, t in texts.items()}
+    found = {r.doc_id: r.bits for r in scalars.document_entropy(spark, at).collect()}
+    assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k], abs=2e-6) for k in want)
