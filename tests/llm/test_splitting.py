@@ -1,7 +1,7 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from codelode.llm.splitting import Limits, lines_of, pieces, split_oversized
+from codelode.llm.splitting import Limits, agglomerate, boundary, lines_of, merged_pieces, pieces, split_oversized
 
 LINES = st.lists(st.sampled_from(["a", "", "  ", "}", "  });", "b }"]), max_size=420)
 
@@ -27,6 +27,63 @@ def test_pieces_follow_the_rule(lines):
     assert pieces(lines, Limits()) == plain(lines, Limits())
 
 
+@settings(max_examples=200, deadline=None)
+@given(LINES, st.integers(1, 30), st.integers(0, 30), st.integers(0, 8))
+def test_other_limits_follow_the_rule(lines, least, more, overlap):
+    limits = Limits(least + more + overlap + 1, least + overlap, overlap)
+    assert pieces(lines or ["x"], limits) == plain(lines or ["x"], limits)
+
+
+def naive(sizes, strengths, most, overlap, first):
+    """The merging with every pair looked at again before each merge."""
+    segments = [[k] for k in range(len(sizes))]
+    refused = set()
+    while True:
+        open_ = []
+        for k in range(len(segments) - 1):
+            left, right = segments[k], segments[k + 1]
+            size = sum(sizes[x] for x in left + right)
+            if size + (0 if k == 0 and first else overlap) <= most:
+                open_.append((strengths[left[-1]], size, left[0], k))
+        if not open_:
+            return [x[-1] for x in segments]
+        k = min(open_)[-1]
+        segments[k : k + 2] = [segments[k] + segments[k + 1]]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 6), st.integers(0, 2)), min_size=1, max_size=40), st.integers(4, 20), st.integers(0, 3), st.booleans())
+def test_merging_equals_the_naive_form(atoms, most, overlap, first):
+    sizes, strengths = [a for a, _ in atoms], [(b,) for _, b in atoms]
+    assert agglomerate(sizes, strengths, most, overlap, first) == naive(sizes, strengths, most, overlap, first)
+
+
+def test_merges_are_refused_by_size():
+    # the weakest boundary stays where its neighbours are full, although stronger ones are merged
+    assert agglomerate([3, 3, 1, 1], [(0,), (1,), (2,), (9,)], 5) == [0, 3]
+    assert agglomerate([3, 3, 1, 1], [(0,), (1,), (2,), (9,)], 5, overlap=1) == [0, 2, 3]
+    assert agglomerate([9, 1, 1], [(0,), (0,), (0,)], 5) == [0, 2]
+    assert agglomerate([], [], 5) == [] and agglomerate([1], [(0,)], 5) == [0]
+
+
+@settings(max_examples=100, deadline=None)
+@given(LINES)
+def test_merged_pieces_fit_cover_and_overlap(lines):
+    limits = Limits()
+    found = merged_pieces(lines, limits)
+    assert all(b - a < limits.most for a, b in found)
+    assert [b for _, b in found][-1:] == ([len(lines) - 1] if lines else [])
+    assert all(y[0] == max(0, x[1] + 1 - limits.overlap) for x, y in zip(found, found[1:]))
+
+
+def test_merged_pieces_end_at_natural_boundaries(spark):
+    lines = (["x"] * 30 + ["}"] + ["y"] * 30 + [""]) * 5 + ["z"]
+    ends = [b for _, b in merged_pieces(lines, Limits())]
+    assert all(boundary(lines[b]) for b in ends[:-1])
+    df = spark.createDataFrame([("a", "\n".join(lines), 1)], "id string, code string, start_line int")
+    assert [r.last_line - 1 for r in sorted(split_oversized(df, anchored=False).collect(), key=lambda r: r.piece_no)] == ends
+
+
 def test_lines():
     assert lines_of("a\nb\n") == ["a", "b"]
     assert lines_of("a\r\nb") == ["a\r", "b"]
