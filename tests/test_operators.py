@@ -228,3 +228,14 @@ def test_hybrid_search_asks_one_vector_in_twenty(spark):
     asked = {r.query for r in searches.hybrid_ranked_all(spark, at).collect()}
     ids = {r.id for r in searches._stored(spark, at).select("id").collect()}
     assert len(asked) > 1 and asked == {x for x in ids if int(md5(x.encode()).hexdigest()[:8], 16) % 20 == 0}
+
+
+def test_pairs_within_blocks(spark):
+    from codelode.operators.pairs import pairs_within
+
+    rows = [("hot", n) for n in range(60)] + [("cold", 1), ("cold", 2), ("alone", 3), (None, 1), (None, 2), ("hot", None)]
+    df = spark.createDataFrame(rows, "k string, m int")
+    want = sorted([("hot", a, b) for a in range(60) for b in range(a + 1, 60)] + [("cold", 1, 2)])
+    for block in (7, 2000):
+        assert sorted(map(tuple, pairs_within(df, ["k"], "m", block).collect())) == want
+    assert pairs_within(df.limit(0), ["k"], "m").collect() == []
