@@ -64,6 +64,8 @@ FORMATS = (
     r"\b(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,})",
 )
 FORMAT = re.compile("|".join(FORMATS))
+#: What every format's random part has.
+_LONG_RUN = re.compile(r"[A-Za-z0-9_+/-]{16}")
 KEY_BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 KEY_MATERIAL = re.compile(r"(?:^|\\n|[\"'`\s])([A-Za-z0-9+/]{16,}={0,2})(?=$|\\[nr]|[\"'`\s,+])", re.M)
 #: The next line of key material; a line may also end in an escape or a literal's end.
@@ -136,16 +138,26 @@ def _triggers() -> ahocorasick.Automaton:
 
 
 _SCORES: dict[str, float] = {}
+_SUBWORDS: dict[str, int] = {}
+#: Pieces of a value: words in one case, with or without a capital, numbers and marks.
+PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+")
 
 
 def score_values(texts: Iterable[str], vocabulary: str = VOCABULARY) -> None:
-    """Scores every value of the texts at once; the worker keeps the scores."""
-    if len(_SCORES) > SCORES:
-        _SCORES.clear()
-    new = list(set().union(*map(VALUE.findall, texts)) - _SCORES.keys())
-    _, ends = encoder(vocabulary).encode_batch(new)
-    lengths = np.fromiter(map(len, new), np.int64, len(new))
-    _SCORES.update(zip(new, (lengths / np.maximum(np.diff(ends), 1)).tolist()))
+    """Scores every value of the texts at once; the worker keeps the scores.
+
+    A value's subwords are counted piece by piece, as names share their pieces; values that are random
+    change case and kind all the time and only get more subwords by it.
+    """
+    for kept in (_SCORES, _SUBWORDS):
+        if len(kept) > SCORES:
+            kept.clear()
+    new = {v: PIECE.findall(v) for v in set().union(*map(VALUE.findall, texts)) - _SCORES.keys()}
+    pieces = list(set().union(*new.values()) - _SUBWORDS.keys())
+    _, ends = encoder(vocabulary).encode_batch(pieces)
+    _SUBWORDS.update(zip(pieces, np.diff(ends).tolist()))
+    of = _SUBWORDS.__getitem__
+    _SCORES.update((v, len(v) / sum(map(of, cut))) for v, cut in new.items())
 
 
 def unnatural(value: str) -> bool:
@@ -154,8 +166,8 @@ def unnatural(value: str) -> bool:
     return (chars_per_subword(value) if score is None else score) < UNNATURAL
 
 
-def suspicious_lines(code: str) -> list[tuple[int, int]]:
-    """(start, end) of the lines to hold against the rules.
+def suspicious_lines(code: str) -> list[tuple[int, int, bool]]:
+    """(start, end, whether by a trigger word) of the lines to hold against the rules.
 
     These hold an unnatural value, literals that are put together, or a trigger word; after a trigger
     word, whose value may follow, the next line too.
@@ -164,21 +176,21 @@ def suspicious_lines(code: str) -> list[tuple[int, int]]:
     if len(low) != len(code):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in code)
     odd = (m.start() for m in VALUE.finditer(code) if unnatural(m[0])) if any(map(unnatural, set(VALUE.findall(code)))) else ()
-    found: set[tuple[int, int]] = set()
+    found: dict[tuple[int, int], bool] = {}
     for places, more in ((odd, False), ((m.start() for m in PUT_TOGETHER.finditer(code)), False), ((last for last, _ in _triggers().iter(low)), True)):
         done = 0
         for at in places:
             if at < done:
                 continue
             start, end = code.rfind("\n", 0, at) + 1, code.find("\n", at)
-            found.add((start, end if end >= 0 else len(code)))
+            found[start, end if end >= 0 else len(code)] = more
             if end < 0:
                 break
             done = end + 1
             if more and done <= len(code):
                 after = code.find("\n", done)
-                found.add((done, after if after >= 0 else len(code)))
-    return sorted(found)
+                found[done, after if after >= 0 else len(code)] = True
+    return sorted((*span, more) for span, more in found.items())
 
 
 @dataclass(frozen=True)
@@ -312,77 +324,103 @@ def _value(line: str, at: int) -> Iterator[tuple[str, int, int]]:
         yield line[a:b], a, b
 
 
-def in_line(line: str, before: str = "") -> Iterator[tuple[int, int]]:
-    """Credentials that start in one line; ``before`` is the line above it."""
-    yield from _formats(line)
-    for m in URL_PASSWORD.finditer(line):
+def _put_together(line: str) -> Iterator[tuple[int, int]]:
+    """Values that are decoded, joined or added up to a credential's format."""
+    if PUT_TOGETHER.search(line):
+        for made in (JOINED, ADDED):
+            for m in made.finditer(line):
+                parts = [_inside(x) for x in LITERAL.finditer(line, m.start(), m.end())]
+                whole = _together(line, parts)
+                if any(_formats(whole)) or any(True for u in URL_PASSWORD.finditer(whole) if not is_placeholder(u[1])):
+                    yield parts[0][0], parts[-1][1]
+    if "(" in line:
+        for m in DECODED.finditer(line):
+            a, b = _inside(m, 1)
+            plain = _decoded(line[a:b])
+            if plain and (any(_formats(plain)) or any(not is_placeholder(u[1]) for u in URL_PASSWORD.finditer(plain))):
+                yield a, b
+
+
+def _by_itself(line: str) -> Iterator[tuple[int, int]]:
+    """Unnatural values that need no telling name, and those of names within a literal."""
+    if not any(map(unnatural, VALUE.findall(line))):
+        return
+    for m in LITERAL.finditer(line):
+        a, b = _inside(m)
+        if is_random(line[a:b]) and not names_another(name_before(line, m.start())):
+            yield a, b
+        for pair in PAIR.finditer(line, a, b):
+            if (kind := kind_of(pair[1])) and works(pair[2], kind):
+                yield pair.span(2)
+    if (m := BARE.match(line)) and is_random(m[2]) and not names_another(m[1]):
+        yield m.span(2)
+
+
+def _matches(pattern: re.Pattern, line: str, *needed: str) -> Iterable[re.Match]:
+    """Matches of a pattern that can't match without one of the strings."""
+    return pattern.finditer(line) if any(x in line for x in needed) else ()
+
+
+def _by_context(line: str, before: str) -> Iterator[tuple[int, int]]:
+    """Values that a URL, a header, a name, a call or a command says to be credentials."""
+    for m in _matches(URL_PASSWORD, line, "://"):
         if not is_placeholder(m[1]) and not m[1].startswith("$"):
             yield m.span(1)
-    for m in URL_PARAMETER.finditer(line):
+    for m in _matches(URL_PARAMETER, line, "?", "&"):
         if works(m[1], "key"):
             yield m.span(1)
-    for m in HEADER.finditer(line):
+    for m in _matches(HEADER, line, "Bearer", "Token", "ApiKey"):
         if works(m[1], "key"):
             yield m.span(1)
-    for m in BASIC.finditer(line):
+    for m in _matches(BASIC, line, "Basic"):
         user, colon, password = (_decoded(m[1]) or "").partition(":")
         if colon and user and not is_placeholder(password):
             yield m.span(1)
-    for m in NAMED.finditer(line):
+    for m in _matches(NAMED, line, "=", ":", "||", "??"):
         if kind := kind_of(m[1]):
             for value, a, b in _value(line, m.end()):
                 assigned = kind == "password" and m[0].rstrip()[-1] == "=" and b - a == len(value) and is_plain_password(value)
                 if works(value, kind) or assigned:
                     yield a, b
-    if any(map(unnatural, VALUE.findall(line))):
-        for m in LITERAL.finditer(line):
-            a, b = _inside(m)
-            if is_random(line[a:b]) and not names_another(name_before(line, m.start())):
-                yield a, b
-            for pair in PAIR.finditer(line, a, b):
-                if (kind := kind_of(pair[1])) and works(pair[2], kind):
-                    yield pair.span(2)
-        if (m := BARE.match(line)) and is_random(m[2]) and not names_another(m[1]):
-            yield m.span(2)
-    for made in (JOINED, ADDED):
-        for m in made.finditer(line):
-            parts = [_inside(x) for x in LITERAL.finditer(line, m.start(), m.end())]
-            if any(_formats(_together(line, parts))) or any(True for u in URL_PASSWORD.finditer(_together(line, parts)) if not is_placeholder(u[1])):
-                yield parts[0][0], parts[-1][1]
-    for m in DECODED.finditer(line):
-        a, b = _inside(m, 1)
-        plain = _decoded(line[a:b])
-        if plain and (any(_formats(plain)) or any(not is_placeholder(u[1]) for u in URL_PASSWORD.finditer(plain))):
-            yield a, b
-    for call, kind in CALLS:
+    for call, kind in CALLS if "(" in line or "'" in line or '"' in line or "`" in line else ():
         for m in call.finditer(line):
             a, b = _inside(m, 1)
             if works(line[a:b], kind):
                 yield a, b
-    for m in CLIENT.finditer(line):
+    for m in _matches(CLIENT, line, "mysql", "mariadb"):
         if works(m[1], "password"):
             yield m.span(1)
-    for m in USER.finditer(line):
+    for m in _matches(USER, line, "curl"):
         if not is_placeholder(m[1]):
             yield m.span(1)
-    for m in OPTION.finditer(line):
-        kind = kind_of(m[1])
-        if kind and works(m[3], kind):
-            yield m.span(3)
-    for m in ELEMENT.finditer(line):
-        kind = kind_of(m[1])
-        if kind and works(m[2], kind):
-            yield m.span(2)
+    for pattern, name, value, needed in ((OPTION, 1, 3, "-"), (ELEMENT, 1, 2, "</")):
+        for m in _matches(pattern, line, needed):
+            kind = kind_of(m[name])
+            if kind and works(m[value], kind):
+                yield m.span(value)
     if m := BARE.match(line):
         kind = kind_of(m[1].rpartition(".")[2])
         if kind and works(m[2], kind):
             yield m.span(2)
-    if (name := YAML_NAME.match(before)) and (m := YAML_VALUE.match(line)):
+    if before and (name := YAML_NAME.match(before)) and (m := YAML_VALUE.match(line)):
         kind = kind_of(name[1])
         if kind and works(m[2], kind):
             yield m.span(2)
 
 
+def in_line(line: str, before: str = "", listed: bool = True) -> Iterator[tuple[int, int]]:
+    """Credentials that start in one line; ``before`` is the line above it.
+
+    A line without a trigger word (not ``listed``) is spared the rules that need one.
+    """
+    if _LONG_RUN.search(line):
+        yield from _formats(line)
+    yield from _by_itself(line)
+    yield from _put_together(line)
+    if listed:
+        yield from _by_context(line, before)
+
+
 def _material_end(code: str, at: int) -> int:
     """Where the lines of key material that begin here end."""
     while (m := KEY_NEXT.match(code, at)) and chars_per_subword(m[1]) < UNNATURAL:
@@ -403,9 +441,9 @@ def _spans(code: str) -> set[tuple[int, int]]:
                 spans.add((m.start(), close + 5 if close >= 0 else stop))
             else:  # no end: the key is as long as its lines follow each other
                 spans.add((m.start(), _material_end(code, first.start(1))))
-    for a, b in suspicious_lines(code):
+    for a, b, listed in suspicious_lines(code):
         above = code[code.rfind("\n", 0, a - 1) + 1 : a - 1].rstrip("\r") if a else ""
-        spans.update((a + x, a + y) for x, y in in_line(code[a:b].rstrip("\r"), above))
+        spans.update((a + x, a + y) for x, y in in_line(code[a:b].rstrip("\r"), above, listed))
     return spans
 
 
