@@ -1,10 +1,11 @@
 """Problem 5: telling files that nobody wrote by hand from hand-written source.
 
 Method: layout statistics of each chunk (longest and mean line, share of white space, of letters and
-digits, of numeric literals and of long encoded runs) are summed by file and held against thresholds tuned
-by language. Names and folders that tools and package managers use, and the notices that they leave at the
-head of a file, decide where the layout looks hand-written. All of it is JVM expressions; a row shrinks
-to a few numbers before anything is exchanged.
+digits, of numeric literals and of long encoded runs, mean length of names, share of repeated lines) are
+summed by file and held against thresholds of its language, which were fitted on labelled files and held
+against ten times as many others (README). Names and folders that tools and package managers use, and the
+notices that they leave at the head of a file, decide what the layout leaves open, copies of ordinary
+source above all. All of it is JVM expressions; a row shrinks to a few numbers before anything is exchanged.
 """
 
 from __future__ import annotations
@@ -65,7 +66,9 @@ class Layout:
 
     A file with lines that are long on average and at most, little white space and few letters and digits
     (short names leave room for marks; a long list of words doesn't) is minified. One with a large share
-    of number literals, and ``least_numbers`` characters of them, or of long encoded runs is data.
+    of number literals, and ``least_numbers`` characters of them, or of long encoded runs is data. One
+    whose names are short on average (few words, used over and over, by at least ``least_names`` names)
+    beside many number literals, or that repeats its lines with little white space, is a tool's output.
     """
 
     mean_line: int = 150
@@ -75,10 +78,27 @@ class Layout:
     numbers: float = 0.15
     least_numbers: int = 150
     encoded: float = 0.4
-
-
-#: By extension; other extensions take the default.
-LAYOUTS = {"css": Layout(mean_line=200, spaces=0.06, letters_and_digits=0.8, numbers=0.3), "html": Layout(mean_line=400, longest_line=2000), "py": Layout(spaces=0.1)}
+    mean_name: float = 7.0
+    least_names: int = 150
+    numbers_beside: float = 0.018
+    repeated: float = 0.24
+    least_filled: int = 25
+    spaces_beside: float = 0.115
+
+
+#: By extension; other extensions take the default, which is as strict as the strictest of them.
+LAYOUTS = {
+    "ts": Layout(mean_name=8.0),
+    "tsx": Layout(mean_name=7.8),
+    "js": Layout(mean_name=7.8),
+    "jsx": Layout(mean_name=8.1),
+    "mjs": Layout(mean_name=7.9),
+    "cjs": Layout(mean_name=7.8),
+    "css": Layout(mean_line=200, spaces=0.06, letters_and_digits=0.8, numbers=0.3, least_names=1 << 40, repeated=2.0),
+    "html": Layout(mean_line=400, longest_line=2000, least_names=1 << 40, repeated=2.0),
+    "py": Layout(spaces=0.1),
+}
+_NAME = r"[A-Za-z_$][A-Za-z0-9_$]*"
 
 
 def _lost(text: Column, pattern: str) -> Column:
@@ -117,6 +137,7 @@ def chunk_layout(code: Column, bare: Column, head: Column) -> list[Column]:
     ``bare`` is the code without its long encoded runs, best as a column made before; ``head``, what is
     searched for notices, likewise.
     """
+    filled = F.filter(F.transform(F.split(bare, "\n"), lambda x: F.btrim(x, F.lit(" \t\r"))), lambda x: x != "")
     banner = sum((head.rlike(p).cast("int") for p in BANNER), F.lit(0))
     return [
         F.length(code).cast("long").alias("chars"),
@@ -126,6 +147,10 @@ def chunk_layout(code: Column, bare: Column, head: Column) -> list[Column]:
         _lost(bare, r"[ \t\r\n]+").alias("spaces"),
         _lost(bare, r"[A-Za-z0-9]+").alias("alnum"),
         _lost(bare, NUMBER).alias("numbers"),
+        _lost(bare, _NAME).alias("name_chars"),
+        F.regexp_count(bare, F.lit(_NAME)).cast("long").alias("names"),
+        F.size(filled).cast("long").alias("filled"),
+        F.size(F.array_distinct(filled)).cast("long").alias("different"),
         (head.rlike(TOOL) | head.rlike(COPY) | (banner >= 2)).alias("notice"),
     ]
 
@@ -137,7 +162,9 @@ def _beyond(extension: Column) -> Column:
         bare = F.greatest(F.col("chars") - F.col("encoded"), F.lit(1))
         minified = (bare / F.col("lines") > t.mean_line) & (F.col("longest") > t.longest_line) & (F.col("spaces") / bare < t.spaces) & (F.col("alnum") / bare < t.letters_and_digits)
         numbers = (F.col("numbers") / bare > t.numbers) & (F.col("numbers") >= t.least_numbers)
-        return minified | numbers | (F.col("encoded") / F.greatest(F.col("chars"), F.lit(1)) > t.encoded)
+        short = (F.col("name_chars") / F.greatest(F.col("names"), F.lit(1)) < t.mean_name) & (F.col("names") >= t.least_names) & (F.col("numbers") / bare > t.numbers_beside)
+        again = (1 - F.col("different") / F.greatest(F.col("filled"), F.lit(1)) > t.repeated) & (F.col("filled") >= t.least_filled) & (F.col("spaces") / bare < t.spaces_beside)
+        return minified | numbers | short | again | (F.col("encoded") / F.greatest(F.col("chars"), F.lit(1)) > t.encoded)
 
     found = rule(Layout())
     for name, layout in LAYOUTS.items():
@@ -145,20 +172,25 @@ def _beyond(extension: Column) -> Column:
     return found
 
 
-def not_hand_written(df: DataFrame, path: str = "file_path", code: str = "code", chunk: str = "id") -> DataFrame:
-    """The different paths of files made by a tool, minified or bundled, copied from elsewhere, or data.
-
-    All chunks of a file count, each id once, however often its row comes. Null paths are left out; null
-    and empty code only leaves the path to go by. Configuration files never count. Paths are compared
-    with either slash. Other columns are never read; an empty table gives an empty result.
-    """
+def decided_files(df: DataFrame, path: str = "file_path", code: str = "code", chunk: str = "id") -> DataFrame:
+    """(path, by): the files of ``not_hand_written`` and whether their layout, path or notice decides, in that order."""
     p, c = F.col(f"`{path}`"), F.col(f"`{code}`")
     given = df.where(p.isNotNull()).select(p.alias("path"), F.coalesce(F.col(f"`{chunk}`").cast("string"), F.lit("")).alias("chunk"), c.alias("code"), without_encoded(c).alias("bare"), head_of(c).alias("head"))
     rows = given.select("path", "chunk", *chunk_layout(F.col("code"), F.col("bare"), F.col("head")))
-    sums = ("chars", "encoded", "lines", "spaces", "alnum", "numbers")
+    sums = ("chars", "encoded", "lines", "spaces", "alnum", "numbers", "name_chars", "names", "filled", "different")
     each = rows.groupBy("path", "chunk").agg(*(F.max(x).alias(x) for x in (*sums, "longest", "notice")))
     files = each.groupBy("path").agg(*(F.sum(x).alias(x) for x in sums), F.max("longest").alias("longest"), F.max("notice").alias("notice"))
     slashed = F.translate("path", "\\", "/")
     extension = F.lower(F.regexp_extract(slashed, r"\.([^./]*)$", 1))
-    found = slashed.rlike(FOLDER) | slashed.rlike(NAME) | F.coalesce("notice", F.lit(False)) | F.coalesce(_beyond(extension), F.lit(False))
-    return files.where(found & ~extension.isin(*CONFIGURATION)).select(F.col("path").alias(path))
+    by = F.when(_beyond(extension), "layout").when(slashed.rlike(FOLDER) | slashed.rlike(NAME), "path").when(F.col("notice"), "notice")
+    return files.where(~extension.isin(*CONFIGURATION)).select(F.col("path").alias(path), by.alias("by")).where("by is not null")
+
+
+def not_hand_written(df: DataFrame, path: str = "file_path", code: str = "code", chunk: str = "id") -> DataFrame:
+    """The different paths of files made by a tool, minified or bundled, copied from elsewhere, or data.
+
+    All chunks of a file count, each id once, however often its row comes. Null paths are left out; null
+    and empty code only leaves the path to go by. Configuration files never count. Paths are compared
+    with either slash. Other columns are never read; an empty table gives an empty result.
+    """
+    return decided_files(df, path, code, chunk).select(path)

@@ -1,7 +1,7 @@
 import random
 
 from codelode.llm import catalog
-from codelode.llm.provenance import not_hand_written
+from codelode.llm.provenance import decided_files, not_hand_written
 
 from .oracle import rows_of, sql_rows
 
@@ -52,6 +52,23 @@ def test_cases(spark):
     assert found(spark, []) == []
 
 
+STUB = "".join(f'  get f{k}() {{ return this.rpc.call("/a.v1.B/C{k}", req, {k * 37}); }}\n' for k in range(40))
+
+
+def test_layout_decides_first(spark):
+    cases = {
+        "a/stub.ts": ("layout", STUB),
+        "a/node_modules/stub.ts": ("layout", STUB),
+        "a/stub.jsx": ("layout", STUB),
+        "a/again.ts": ("layout", "registerTheHandlerOfEvents(applicationContext);\ncloseTheHandlerOfEvents(applicationContext);\n" * 20),
+        "a/node_modules/hand.ts": ("path", HAND),
+        "a/hand_made.ts": ("notice", "// Code generated by maker\n" + HAND),
+    }
+    others = {"a/short_stub.ts": STUB[: len(STUB) // 5], "a/stub.css": STUB, "a/hand.ts": HAND, "a/stub.yml": STUB}
+    rows = [(p, f"i{n}", c, 1, "x") for n, (p, c) in enumerate([*((p, c) for p, (_, c) in cases.items()), *others.items()])]
+    assert {r.file_path: r.by for r in decided_files(spark.createDataFrame(rows, SCHEMA)).collect()} == {p: by for p, (by, _) in cases.items()}
+
+
 def test_all_chunks_of_a_file_count(spark):
     rows = [("f.ts", "1", HAND), ("f.ts", "2", "// Code generated by maker\n" + HAND), ("g.ts", None, HAND)]
     assert found(spark, rows) == ["f.ts"]
