@@ -8,11 +8,12 @@ into bands (levels) with their own number of parts. Candidates are held against
 sketches, whose Hamming distance is a lower bound of the symmetric difference, and those that are left
 are verified with the sets themselves.
 
-Equal sets are one class from the start, so copies are not joined with each other. A key that more than
+Equal sets are one class from the start, so copies are never joined with each other. A key that more than
 ``few`` classes share says little (a part that holds nothing but boilerplate, or a large family): its
-members come again with their sketches and only pairs whose sketches are near enough are ever written.
+members are joined to their sketches and only pairs whose sketches are near enough are ever written.
 Above ``many`` members the key is refined before that by the keys of the other parts under a second
-dealing, which is again a pigeonhole argument and loses nothing. At the last depth no key is cut.
+dealing, which is again a pigeonhole argument. At the last depth a key of more members is cut into blocks,
+and pairs of blocks are dealt to tasks. Hot keys are a table all the time; none is sent to the driver.
 """
 
 from __future__ import annotations
@@ -30,19 +31,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelode.llm.parity import Sets, mixed, sets_of
+from codelode.operators.pairs import pairs_within
 from codelode.session import cut, sent_if_small
 
-#: Bits of a class number that hold its set's size, and the last size told apart.
+#: Bits of a class number that hold its set's size: exact below EXACT, then STEPS steps for every doubling.
 SIZE_BITS = 13
-LARGEST = (1 << SIZE_BITS) - 1
+SIZE_MASK = (1 << SIZE_BITS) - 1
+EXACT, STEPS = 4096, 128
 #: Bits of a key that hold its level.
-LEVEL_BITS = 4
+LEVEL_BITS = 5
 LAST_LEVEL = (1 << LEVEL_BITS) - 1
-#: Keys sent to the executors at once when they are refined; more are refined in several passes.
-KEYS_AT_ONCE = 1_000_000
+#: Parts of the smallest sets: enough that a difference and all common elements never share them.
+LEAST_PARTS = 256
 _LOW = np.uint64(LAST_LEVEL)
 
 
+def size_code(size: np.ndarray) -> np.ndarray:
+    """Sizes as ``SIZE_BITS`` bits, in their order."""
+    e = np.maximum(np.floor(np.log2(np.maximum(size, 1) / EXACT)), 0).astype(np.int64)
+    e -= (EXACT << e) > np.maximum(size, EXACT)
+    base = EXACT << e
+    return np.where(size < EXACT, size, EXACT + e * STEPS + (size - base) * STEPS // base)
+
+
+def size_bounds(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest and the largest size that has a code."""
+    k = np.maximum(code - EXACT, 0)
+    base = np.int64(EXACT) << (k // STEPS)
+    low = base + k % STEPS * (base // STEPS)
+    exact = code < EXACT
+    return np.where(exact, code, low), np.where(exact, code, low + base // STEPS - 1)
+
+
 @dataclass(frozen=True)
 class Rule:
     """What counts as similar, and how keys are cut and refined."""
@@ -53,6 +73,7 @@ class Rule:
     few: int = 6
     many: int = 8192
     depth: int = 3
+    exact: bool = False
 
     @property
     def share(self) -> float:
@@ -69,8 +90,8 @@ class Rule:
         return np.where(d <= 8, 0, np.minimum(np.maximum(np.ceil(np.log2(d) - 3), 1), LAST_LEVEL)).astype(np.int64)
 
     def parts(self, level: int) -> int:
-        """Parts at a level, a fifth more than its largest difference; 0: every element is a part."""
-        return 0 if level in (0, LAST_LEVEL) else int(1.2 * 8 * 2**level) + 1
+        """Parts at a level, a fifth more than its largest difference; 0: every element is a part (``exact``)."""
+        return 0 if self.exact else max(int(1.2 * 8 * 2**level) + 1, LEAST_PARTS if level == 0 else 0)
 
     def words(self, level: int) -> int:
         """64-bit words of a whole-set sketch: about two bits for an element of the level's sets, at most 16384 bits."""
@@ -133,10 +154,10 @@ def sign(sets: Sets, rule: Rule, hot: Sequence[np.ndarray] = ()) -> tuple[np.nda
     return np.concatenate([o for o, _ in found]), np.concatenate([k for _, k in found])
 
 
-def class_numbers(sets: Sets) -> np.ndarray:
-    """A number for each set, equal for equal sets, that also tells its size (up to LARGEST)."""
-    high = (sets.fingerprints() >> np.uint64(SIZE_BITS + 1)) << np.uint64(SIZE_BITS)
-    return (high | np.minimum(sets.sizes, LARGEST).astype(np.uint64)).astype(np.int64)
+def class_numbers(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers for each set, equal for equal sets: 51 bits of a hash with the size, and 64 of another hash."""
+    high = (sets.fingerprints() >> np.uint64(SIZE_BITS)) << np.uint64(SIZE_BITS)
+    return (high | size_code(sets.sizes).astype(np.uint64)).view(np.int64), sets.fingerprints(3).view(np.int64)
 
 
 def _sets(column: pa.ListArray) -> Sets:
@@ -153,7 +174,7 @@ def _reader(rule: Rule, at_once: int = 2000) -> Callable[[Iterator[pa.RecordBatc
                 sets = sets_of(batch.column(1).to_pylist(), rule.run, rule.least_tokens)
                 some = np.flatnonzero(sets.sizes)
                 lists = pa.ListArray.from_arrays(pa.array(sets.begins[np.append(some, len(sets.begins) - 1)].astype(np.int32)), pa.array(sets.elements.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.array(class_numbers(sets)[some]), lists], names=["id", "class", "elements"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), *(pa.array(x[some]) for x in class_numbers(sets)), lists], names=["id", "class", "check", "elements"])
 
     return read
 
@@ -171,22 +192,20 @@ def _level_sketches(sets: Sets, rule: Rule, owner: np.ndarray, level: np.ndarray
     return pa.array(found, pa.binary())
 
 
-def _signer(rule: Rule, sent=None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Keys of every set; with ``sent`` (keys to refine of each depth, keys to keep) also their sketches."""
+def _signer(rule: Rule, depth: int = 1) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (class, elements, the keys to refine of each depth before): (key, class) at a depth.
+
+    A key to refine of one set in a batch is a key to refine of all others that have it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, only = sent.value if sent is not None else ((), None)
         for batch in batches:
-            number, first = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)
-            sets = _sets(batch.column(1).take(pa.array(first)))
-            owner, key = sign(sets, rule, hot)
-            if only is not None:
-                kept = _in(only, key)
-                owner, key = owner[kept], key[kept]
-            columns = [pa.array(key.view(np.int64)), pa.array(number[owner])]
-            if sent is not None:
-                columns.append(_level_sketches(sets, rule, owner, (key & _LOW).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "class", "sketch"][: len(columns)])
+            number = batch.column(0).to_numpy(zero_copy_only=False)
+            hot = [np.unique(batch.column(k).flatten().to_numpy(zero_copy_only=False)).astype(np.int64).view(np.uint64) for k in range(2, 1 + depth)]
+            hot = [np.sort(keys) for keys in hot]
+            if all(map(len, hot)):
+                owner, key = sign(_sets(batch.column(1)), rule, hot)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(number[owner])], names=["key", "class"])
 
     return run
 
@@ -196,8 +215,8 @@ def _sketcher(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            number, first = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)
-            sets = _sets(batch.column(1).take(pa.array(first)))
+            number = batch.column(0).to_numpy(zero_copy_only=False)
+            sets = _sets(batch.column(1))
             low, high = rule.levels(sets.sizes)
             owner = np.repeat(np.arange(len(low)), high - low + 1)
             level = np.concatenate([np.arange(a, b + 1) for a, b in zip(low, high)] or [np.empty(0, np.int64)])
@@ -207,11 +226,14 @@ def _sketcher(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 
 def _similar_sizes(a: np.ndarray, b: np.ndarray, level: np.ndarray, rule: Rule) -> np.ndarray:
-    """Pairs whose sizes allow the similarity and belong to the level they met at."""
-    x, y = a & LARGEST, b & LARGEST
-    low, high = np.minimum(x, y), np.maximum(x, y)
-    fits = low * rule.similarity.denominator >= high * rule.similarity.numerator
-    return (high == LARGEST) | (fits & (rule.level(x + y) == level))
+    """Pairs whose sizes allow the similarity and may belong to the level they met at."""
+    (a_low, a_high), (b_low, b_high) = size_bounds(a & SIZE_MASK), size_bounds(b & SIZE_MASK)
+    ratio = np.minimum(a_high, b_high) * rule.similarity.denominator >= np.maximum(a_low, b_low) * rule.similarity.numerator
+    return ratio & (rule.level(a_low + b_low) <= level) & (level <= rule.level(a_high + b_high))
+
+
+def _largest_difference(a: np.ndarray, b: np.ndarray, rule: Rule) -> np.ndarray:
+    return rule.difference(size_bounds(a & SIZE_MASK)[1] + size_bounds(b & SIZE_MASK)[1])
 
 
 def _batch(hot: bool, x: np.ndarray, y: np.ndarray, level: np.ndarray) -> pa.RecordBatch:
@@ -219,53 +241,44 @@ def _batch(hot: bool, x: np.ndarray, y: np.ndarray, level: np.ndarray) -> pa.Rec
     return pa.RecordBatch.from_arrays(columns, names=["hot", "x", "y", "level"])
 
 
-def _hot(keys: np.ndarray) -> pa.RecordBatch:
-    return _batch(True, keys, np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int32))
-
-
-def _runs(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    """Whole runs of equal keys, without repeated classes: (columns, where runs begin and end).
+def _pairer(rule: Rule, few: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (key, class), ordered: the pairs of keys that up to ``few`` classes share, and the members of other keys.
 
-    Rows come ordered by (key, class). A run of more than ``most`` rows is given cut after that many.
+    Members are given as they come; only up to ``few`` of them are ever held for the key that is open.
     """
-    held: list[np.ndarray] = []
-    done = None
-    for batch in itertools.chain(batches, [None]):
-        columns = held
-        if batch is not None:
-            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            columns = [np.concatenate(pair) for pair in zip(held, new)] if held else new
-        if not columns or not len(columns[0]):
-            continue
-        keys, classes = columns[:2]
-        keep = np.concatenate([[True], (keys[1:] != keys[:-1]) | (classes[1:] != classes[:-1])])
-        if done is not None:
-            keep &= keys != done
-        columns = [c[keep] for c in columns]
-        keys = columns[0]
-        end = len(keys) if batch is None else int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-        if most is not None and len(keys) - end > most:  # the open run is too long already
-            done, end = keys[-1], end + most + 1
-            held = [c[:0] for c in columns]
-        else:
-            held = [c[end:] for c in columns]
-        if end:
-            begins = np.flatnonzero(np.concatenate([[True], keys[1:end] != keys[: end - 1]]))
-            yield [c[:end] for c in columns], np.append(begins, end)
-
-
-def _pairer(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From (key, class): the pairs of keys that few classes share, and the other keys."""
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (keys, classes), begins in _runs(batches, rule.few):
-            size, first = np.diff(begins), begins[:-1]
-            if (size > rule.few).any():
-                yield _hot(keys[first[size > rule.few]])
+        keys, classes, spilling = np.empty(0, np.int64), np.empty(0, np.int64), False
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+                if not len(new[0]):
+                    continue
+                if spilling and new[0][0] != keys[-1]:
+                    keys, classes, spilling = keys[:0], classes[:0], False
+                keys, classes = np.concatenate([keys, new[0]]), np.concatenate([classes, new[1]])
+                keep = np.concatenate([[True], (keys[1:] != keys[:-1]) | (classes[1:] != classes[:-1])])
+                keys, classes = keys[keep], classes[keep]
+            if not len(keys):
+                continue
+            begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            ends = np.append(begins[1:], len(keys))
+            size = ends - begins
+            closed = np.full(len(begins), True)
+            closed[-1] = batch is None
+            hot = size > few
+            if spilling:  # the first run is known to be hot, and its one held member has been given
+                hot[0] = True
+            given = np.repeat(hot, size)
+            if spilling:
+                given[:1] = False
+            if given.any():
+                yield _batch(True, keys[given], classes[given], np.zeros(int(given.sum()), np.int32))
             a, b, at = [], [], []
-            for n in np.unique(size[(size > 1) & (size <= rule.few)]).tolist():
+            some = closed & ~hot & (size > 1)
+            for n in np.unique(size[some]).tolist():
                 left, right = np.triu_indices(n, 1)
-                start = first[size == n][:, None]
+                start = begins[some & (size == n)][:, None]
                 a.append(classes[start + left].ravel())
                 b.append(classes[start + right].ravel())
                 at.append(np.repeat(keys[start[:, 0]], len(left)))
@@ -274,47 +287,74 @@ def _pairer(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 fits = _similar_sizes(x, y, key & LAST_LEVEL, rule)
                 pairs = np.unique(np.stack([x[fits], y[fits], key[fits] & LAST_LEVEL], axis=1), axis=0)
                 yield _batch(False, *pairs.T)
+            if batch is not None:
+                spilling = bool(hot[-1])
+                from_ = len(keys) - 1 if spilling else begins[-1]
+                keys, classes = keys[from_:], classes[from_:]
 
     return pair
 
 
-def _comparer(rule: Rule, last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From (key, class, sketch): pairs under one key whose sketches are near enough, and keys of too many."""
-
-    def near(key: int, classes: np.ndarray, sketches: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(classes & LARGEST, kind="stable")
-        classes, sketches = classes[order], sketches[order]
-        size = classes & LARGEST
-        level = np.int64(key & LAST_LEVEL)
-        for at in range(0, len(classes), 128):
-            a, here = classes[at : at + 128], sketches[at : at + 128]
-            # members come by size, so partners of this block end where they grow too large for it
-            top = int(size[min(at + 127, len(size) - 1)])
-            reach = len(size) if top * rule.similarity.denominator >= LARGEST * rule.similarity.numerator else int(np.searchsorted(size, math.floor(top / rule.similarity), side="right"))
-            for to in range(at, reach, 4096):
-                b = classes[to : min(to + 4096, reach)]
-                distance = np.zeros((len(a), len(b)), np.int64)
-                for word in range(sketches.shape[1]):
-                    distance += np.bitwise_count(here[:, None, word] ^ sketches[None, to : to + len(b), word])
-                allowed = np.floor(((a & LARGEST)[:, None] + (b & LARGEST)[None, :]) * rule.share + 1e-9)
-                fits = (distance <= allowed) | ((b & LARGEST) == LARGEST)[None, :]
-                fits &= np.arange(at, at + len(a))[:, None] < np.arange(to, to + len(b))[None, :]
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of each (key, part) together, from rows in that order."""
+    held: list[pa.RecordBatch] = []
+    mark = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, part = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        cuts = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
+        for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            here = (key[begin], part[begin])
+            if held and here != mark:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            mark = here
+            held.append(batch.slice(begin, end - begin))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _comparer(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (key, part, side, class, sketch): pairs under one part of a key whose sketches are near enough.
+
+    Side 0 is held against itself, side 1 against side 2.
+    """
+
+    def near(level: int, classes: list[np.ndarray], sketches: list[np.ndarray], same: bool) -> Iterator[pa.RecordBatch]:
+        order = [np.argsort(c & SIZE_MASK, kind="stable") for c in classes]
+        (a, b), (sa, sb) = ([c[o] for c, o in zip(x, order)] for x in (classes, sketches))
+        low, high = size_bounds(b & SIZE_MASK)
+        for at in range(0, len(a), 128):
+            mine = a[at : at + 128]
+            least, most = size_bounds(mine & SIZE_MASK)
+            # members come by size, so partners of these are a span of the others
+            begin = at if same else int(np.searchsorted(high, math.ceil(int(least[0]) * rule.similarity), side="left"))
+            stop = int(np.searchsorted(low, math.floor(int(most[-1]) / rule.similarity), side="right"))
+            for to in range(begin, stop, 4096):
+                theirs = b[to : min(to + 4096, stop)]
+                distance = np.zeros((len(mine), len(theirs)), np.int64)
+                for word in range(sa.shape[1]):
+                    distance += np.bitwise_count(sa[at : at + 128, None, word] ^ sb[None, to : to + len(theirs), word])
+                fits = distance <= np.floor((most[:, None] + high[None, to : to + len(theirs)]) * rule.share + 1e-9)
+                if same:
+                    fits &= np.arange(at, at + len(mine))[:, None] < np.arange(to, to + len(theirs))[None, :]
                 i, j = np.nonzero(fits)
-                x, y = np.minimum(a[i], b[j]), np.maximum(a[i], b[j])
-                right = _similar_sizes(x, y, level, rule)
+                x, y = np.minimum(mine[i], theirs[j]), np.maximum(mine[i], theirs[j])
+                right = (x != y) & _similar_sizes(x, y, np.int64(level), rule)
                 if right.any():
                     yield _batch(False, x[right], y[right], np.full(int(right.sum()), level))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (keys, classes, sketches), begins in _runs(batches, None if last else rule.many):
-            size = np.diff(begins)
-            large = ~(size <= rule.many) & (not last)
-            if large.any():
-                yield _hot(keys[begins[:-1][large]])
-            for k in np.flatnonzero((size > 1) & ~large).tolist():
-                span = slice(int(begins[k]), int(begins[k + 1]))
-                words = np.frombuffer(b"".join(sketches[span]), np.uint64).reshape(int(size[k]), -1)
-                yield from near(int(keys[begins[k]]), classes[span], words)
+        for group in _groups(batches):
+            if group.num_rows < 2:
+                continue
+            key = group.column(0)[0].as_py()
+            side, classes = (group.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+            words = np.frombuffer(b"".join(group.column(4).to_pylist()), np.uint64).reshape(group.num_rows, -1)
+            same = side[0] == 0
+            of = [np.full(len(side), True)] * 2 if same else [side == 1, side == 2]
+            yield from near(key & LAST_LEVEL, [classes[x] for x in of], [words[x] for x in of], same)
 
     return compare
 
@@ -330,85 +370,95 @@ def _filter(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             ends = np.cumsum([len(v) // 8 for v in a])
             total = np.concatenate([[0], np.cumsum(np.bitwise_count(bits), dtype=np.int64)])
             distance = np.diff(total[np.concatenate([[0], ends]).astype(np.int64)])
-            sizes = np.stack([x & LARGEST, y & LARGEST])
-            fits = (distance <= rule.difference(sizes.sum(axis=0))) | (sizes.max(axis=0, initial=0) == LARGEST)
+            fits = distance <= _largest_difference(x, y, rule)
             yield pa.RecordBatch.from_arrays([pa.array(x[fits]), pa.array(y[fits])], names=["x", "y"])
 
     return run
 
 
-def _blocks(keys: DataFrame) -> list[np.ndarray]:
-    """The keys of met runs, sorted, in blocks that may be sent to the executors."""
-    distinct = keys.distinct()
-    blocks = math.ceil(distinct.count() / KEYS_AT_ONCE)
-    found = []
-    for k in range(blocks):
-        some = distinct.where(F.pmod(F.xxhash64("x"), F.lit(blocks)) == k).toPandas()["x"].to_numpy(np.int64)
-        if len(some):
-            found.append(np.sort(some.view(np.uint64)))
-    return found
-
-
 def _met(rows: DataFrame, function) -> DataFrame:
     ordered = rows.repartition("key").sortWithinPartitions("key", "class")
     return cut(ordered.mapInArrow(function, "hot boolean, x long, y long, level int"))
 
 
-def _candidates(sets: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+def _members(met: DataFrame) -> DataFrame:
+    return met.where("hot").select(F.col("x").alias("key"), F.col("y").alias("class"))
+
+
+def _near_by_sketch(members: DataFrame, large: DataFrame | None, sketches: DataFrame, rule: Rule) -> DataFrame:
+    """(x, y): classes with a key in common whose sketches are near; keys in ``large`` (key, n) come in blocks."""
+    dealt = members.select("key", "class", F.lit(0).cast("long").alias("part"), F.lit(0).alias("side"))
+    if large is not None:
+        blocked = members.join(sent_if_small(large), "key", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / F.lit(rule.many)), F.lit(1)).cast("long"))
+        own = blocked.withColumn("own", F.pmod(F.xxhash64("class"), "blocks"))
+        both = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+        dealt = both.select("key", "class", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("part"), side.alias("side"))
+    levelled = dealt.withColumn("level", F.col("key").bitwiseAND(F.lit(LAST_LEVEL)).cast("int"))
+    rows = levelled.join(sketches, ["class", "level"]).select("key", "part", "side", "class", "sketch")
+    ordered = rows.repartition("key", "part").sortWithinPartitions("key", "part")
+    return ordered.mapInArrow(_comparer(rule), "hot boolean, x long, y long, level int").select("x", "y")
+
+
+def _candidates(contents: DataFrame, sketches: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """(x, y), x < y: pairs of classes with a key in common: those not compared yet (with level), and those near by sketch."""
-    spark = sets.sparkSession
-    rows = sets.select("class", "elements")
-    met = _met(rows.mapInArrow(_signer(rule), "key long, class long"), _pairer(rule))
+    schema = "key long, class long"
+    met = _met(contents.select("class", "elements").mapInArrow(_signer(rule), schema), _pairer(rule, rule.few))
     pairs, near = met.where("not hot").select("x", "y", "level").distinct(), met.where("false").select("x", "y")
-    chain: list[list[np.ndarray]] = []  # of each depth, the keys to refine
-    only: list = _blocks(met.where("hot").select("x"))
-    schema = "key long, class long, sketch binary"
+    members, chain = _members(met), []
     for depth in range(1, rule.depth + 1):
-        if not (only if depth == 1 else chain[-1]):
-            break
-        sent = [spark.sparkContext.broadcast(x) for x in itertools.product(itertools.product(*chain), only)]
-        signed = reduce(DataFrame.unionAll, [rows.mapInArrow(_signer(rule, x), schema) for x in sent])
-        met = _met(signed, _comparer(rule, depth == rule.depth))
-        near = near.unionAll(met.where("not hot").select("x", "y"))
-        chain.append(_blocks(met.where("hot").select("x")) if depth < rule.depth else [])
-        only = [None]
+        large = cut(members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > rule.many))
+        if large.isEmpty():
+            return pairs, near.unionAll(_near_by_sketch(members, None, sketches, rule))
+        if depth == rule.depth:
+            return pairs, near.unionAll(_near_by_sketch(members, large, sketches, rule))
+        keys = sent_if_small(large.select("key"))
+        near = near.unionAll(_near_by_sketch(members.join(keys, "key", "left_anti"), None, sketches, rule))
+        # the keys to refine of each class, not more than its set has parts
+        chain.append(cut(members.join(keys, "key", "left_semi").groupBy("class").agg(F.collect_set("key").alias(f"keys{depth}"))))
+        rows = reduce(lambda left, right: left.join(right, "class"), reversed(chain), contents)
+        rows = rows.select("class", "elements", *(f"keys{k}" for k in range(1, depth + 1)))
+        members = _members(_met(rows.mapInArrow(_signer(rule, depth + 1), schema), _pairer(rule, 1)))
     return pairs, near
 
 
 def near_copies(df: DataFrame, key: str = "id", text: str = "code", rule: Rule | None = None) -> tuple[DataFrame, DataFrame]:
     """Links between different contents, and which records hold which content.
 
-    The first result is (class_a, class_b), class_a < class_b: the classes whose sets are at least
-    ``rule.similarity`` similar (size of the intersection over that of the union). The second is (key,
-    class), once for each record with a set. Equal sets are one class. Null texts and texts of fewer than
+    The first result is (class_a, check_a, class_b, check_b), class_a < class_b: the classes whose sets are
+    at least ``rule.similarity`` similar (size of the intersection over that of the union). The second is
+    (key, class, check), once for each record with a set. Equal sets are one class. Null texts and texts of fewer than
     ``rule.least_tokens`` tokens have no set; rows with a null key are left out; repeated rows count once;
     other columns are never read; an empty table gives empty results.
 
-    Class numbers hold 50 bits of hash and the size; different sets of one size meet in a number once in
-    some 10^15 pairs. Above sets of 16 elements a link is missed only if all common elements fall into
-    parts with a difference, less than once in 10^6 links at the threshold and never well above it.
+    A class is two numbers with 115 bits of hashes. A link is missed only if all common elements fall into
+    parts with a difference, less than once in 10^6 links at the threshold and never well above it; with
+    ``rule.exact`` every element is a part, no link is missed, and more is exchanged.
     """
     rule = rule or Rule()
     code = F.col(f"`{text}`")
     rows = df.select(F.col(f"`{key}`").alias("id"), code.alias("code")).where(F.col("id").isNotNull() & (F.length(code) >= 2 * rule.least_tokens - 1))
     kind = rows.schema["id"].dataType.simpleString()
-    sets = cut(rows.mapInArrow(_reader(rule), f"id {kind}, class long, elements array<long>"))
-    pairs, near = _candidates(sets, rule)
+    sets = cut(rows.mapInArrow(_reader(rule), f"id {kind}, class long, check long, elements array<long>").withColumn("row", F.monotonically_increasing_id()))
+    # one record stands for each class; only classes of several records are looked up
+    several = sets.groupBy("class", "check").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").select("class", "check", "first")
+    contents = sets.select("class", "check", "row", "elements").join(sent_if_small(several), ["class", "check"], "left").where("first is null or first = row").select("class", "check", "elements")
+    sketches = contents.select("class", "elements").mapInArrow(_sketcher(rule), "class long, level int, sketch binary")
+    pairs, near = _candidates(contents, sketches, rule)
 
-    sketches = sets.select("class", "elements").mapInArrow(_sketcher(rule), "class long, level int, sketch binary").dropDuplicates(["class", "level"])
     a = sketches.select(F.col("class").alias("x"), "level", F.col("sketch").alias("a"))
     b = sketches.select(F.col("class").alias("y"), "level", F.col("sketch").alias("b"))
     compared = pairs.join(a, ["x", "level"]).join(b, ["y", "level"]).select("x", "y", "a", "b").mapInArrow(_filter(rule), "x long, y long")
     near = cut(compared.unionAll(near).distinct())
 
     wanted = sent_if_small(near.select(F.explode(F.array("x", "y")).alias("class")).distinct())
-    contents = sets.select("class", "elements").join(wanted, "class", "left_semi").dropDuplicates(["class"])
-    left = contents.select(F.col("class").alias("x"), F.col("elements").alias("ea"))
-    right = contents.select(F.col("class").alias("y"), F.col("elements").alias("eb"))
+    held = contents.join(wanted, "class", "left_semi")
+    left = held.select(F.col("class").alias("class_a"), F.col("check").alias("check_a"), F.col("elements").alias("ea"))
+    right = held.select(F.col("class").alias("class_b"), F.col("check").alias("check_b"), F.col("elements").alias("eb"))
     common = F.size(F.array_intersect("ea", "eb"))
     similar = common * rule.similarity.denominator >= (F.size("ea") + F.size("eb") - common) * rule.similarity.numerator
-    links = near.join(left, "x").join(right, "y").where(similar).select(F.col("x").alias("class_a"), F.col("y").alias("class_b"))
-    members = sets.select(F.col("id").alias(key), "class").distinct()
+    links = near.toDF("class_a", "class_b").join(left, "class_a").join(right, "class_b").where(similar).select("class_a", "check_a", "class_b", "check_b")
+    members = sets.select(F.col("id").alias(key), "class", "check").distinct()
     return links, members
 
 
@@ -418,11 +468,11 @@ def near_copy_pairs(df: DataFrame, key: str = "id", text: str = "code", rule: Ru
     As ``near_copies``, with classes written out. The size of the result is that of the pairs asked for.
     """
     links, members = near_copies(df, key, text, rule)
-    links, members = cut(links), members.select(F.col(f"`{key}`").alias("id"), "class")
-    a = members.select(F.col("class").alias("class_a"), F.col("id").alias("a"))
-    b = members.select(F.col("class").alias("class_b"), F.col("id").alias("b"))
-    between = links.join(a, "class_a").join(b, "class_b").select("a", "b").where("a <> b")
-    inside = a.join(b, F.col("class_a") == F.col("class_b")).where("a < b").select("a", "b")
+    links, members = cut(links), members.select(F.col(f"`{key}`").alias("id"), "class", "check")
+    a = members.toDF("a", "class_a", "check_a")
+    b = members.toDF("b", "class_b", "check_b")
+    between = links.join(a, ["class_a", "check_a"]).join(b, ["class_b", "check_b"]).select("a", "b").where("a <> b")
+    inside = pairs_within(members, ["class", "check"], "id").select("x", "y")
     pairs = between.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).unionAll(inside.toDF("id_a", "id_b"))
     return pairs.distinct()
 
@@ -433,6 +483,7 @@ def near_copy_classes(df: DataFrame, key: str = "id", text: str = "code", rule:
     As ``near_copies``; nothing is expanded into pairs, so a large group of copies stays one row a record.
     """
     links, members = near_copies(df, key, text, rule)
-    ends = links.select(F.explode(F.array("class_a", "class_b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
-    of_class = members.groupBy("class").agg(F.min(F.col(f"`{key}`")).alias("class_key")).join(ends, "class", "left")
-    return members.join(of_class, "class").select(F.col(f"`{key}`"), "class_key", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    ends = links.select(F.explode(F.array(F.struct(F.col("class_a").alias("class"), F.col("check_a").alias("check")), F.struct(F.col("class_b").alias("class"), F.col("check_b").alias("check")))).alias("end"))
+    ends = ends.select("end.class", "end.check").groupBy("class", "check").agg(F.count("*").alias("links"))
+    of_class = members.groupBy("class", "check").agg(F.min(F.col(f"`{key}`")).alias("class_key")).join(ends, ["class", "check"], "left")
+    return members.join(of_class, ["class", "check"]).select(F.col(f"`{key}`"), "class_key", F.coalesce("links", F.lit(0)).cast("long").alias("links"))

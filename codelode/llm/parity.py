@@ -63,13 +63,13 @@ class Sets:
         begins = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
         return Sets(self.elements[np.arange(begins[-1]) - np.repeat(begins[:-1] - self.begins[which], size)], begins)
 
-    def fingerprints(self) -> np.ndarray:
-        """One hash for each set, equal for equal sets; 0 for the empty set."""
+    def fingerprints(self, salt: int = 0) -> np.ndarray:
+        """One hash for each set, equal for equal sets, another one for every salt; 0 for the empty set."""
         total = np.zeros(len(self.begins) - 1, np.uint64)
         some = np.flatnonzero(self.sizes)
         if len(some):
-            total[some] = np.add.reduceat(mixed(self.elements, 7), self.begins[some])
-        return mixed(total, 8) * (self.sizes > 0).astype(np.uint64)
+            total[some] = np.add.reduceat(mixed(self.elements, 7 + 100 * salt), self.begins[some])
+        return mixed(total, 8 + 100 * salt) * (self.sizes > 0).astype(np.uint64)
 
     def sketches(self, words: int) -> np.ndarray:
         """A parity sketch of 64 * words bits for each set: a bit holds whether it was hit an odd number of times.

@@ -2,6 +2,8 @@ import random
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from codelode.llm import catalog, near_copies
@@ -86,10 +88,52 @@ def test_hot_keys_are_refined_without_loss(spark, few, many, depth):
     assert run(spark, rows, Rule(few=few, many=many, depth=depth)) == brute(rows)
 
 
-def test_blocks_of_keys(spark, monkeypatch):
-    monkeypatch.setattr(near_copies, "KEYS_AT_ONCE", 40)
-    rows = records(4, "shared header words that come first in all of the files ")[:60]
-    assert run(spark, rows, Rule(few=2, many=20, depth=3)) == brute(rows)
+def test_blocks_of_a_key(spark):
+    """At the last depth a key of many classes is dealt to tasks in pairs of blocks."""
+    rows = records(4, "shared header words that come first in all of the files ")[:90]
+    assert run(spark, rows, Rule(few=2, many=7, depth=1)) == brute(rows)
+
+
+def test_one_key_of_many_classes_is_dealt_to_several_tasks(spark):
+    classes, words = 3000, 4
+    rule = Rule(many=500, depth=1)
+    rng = np.random.default_rng(1)
+    members = pd.DataFrame({"key": np.int64(33), "class": np.arange(classes, dtype=np.int64) << near_copies.SIZE_BITS | 40})
+    sketches = pd.DataFrame({"class": members["class"], "level": 1, "sketch": [rng.integers(0, 2**63, words, dtype=np.uint64).tobytes() for _ in range(classes)]})
+    sketches.loc[7, "sketch"] = sketches.loc[2900, "sketch"]
+    m, k = spark.createDataFrame(members), spark.createDataFrame(sketches, "class long, level int, sketch binary")
+    large = spark.createDataFrame([(33, classes)], "key long, n long")
+    near = near_copies._near_by_sketch(m, large, k, rule)
+    assert [tuple(r) for r in near.collect()] == [(members["class"][7], members["class"][2900])]
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(key" in plan and "part" in plan
+
+
+def test_pairer_gives_members_of_runs_over_batches():
+    rows = [(k, c) for k, n in ((1, 2), (2, 9), (3, 1), (4, 3), (5, 4)) for c in range(n) for _ in range(1 + c % 2)]
+    for step in (1, 2, 5, 100):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[0] << 5 for r in rows[at : at + step]], pa.int64()), pa.array([r[1] << near_copies.SIZE_BITS | 40 for r in rows[at : at + step]], pa.int64())], names=["key", "class"]) for at in range(0, len(rows), step)]
+        out = pa.Table.from_batches(list(near_copies._pairer(Rule(), 3)(iter(batches)))).to_pylist()
+        assert sorted((r["x"] >> 5, r["y"] >> near_copies.SIZE_BITS) for r in out if r["hot"]) == [(2, c) for c in range(9)] + [(5, c) for c in range(4)]
+
+
+def test_size_codes_bound_their_sizes():
+    sizes = np.unique(np.concatenate([np.arange(0, 20_000), np.random.default_rng(2).integers(1, 2**31, 20_000)]))
+    code = near_copies.size_code(sizes)
+    low, high = near_copies.size_bounds(code)
+    assert (low <= sizes).all() and (sizes <= high).all() and (np.diff(code) >= 0).all() and code.max() <= near_copies.SIZE_MASK
+    assert ((high - low) * near_copies.STEPS <= sizes).all()
+
+
+def test_exact_and_large_sets(spark):
+    rng = random.Random(9)
+    big = [f"w{rng.randrange(10**6)}" for _ in range(12_000)]
+    half = big[:9_000] + [f"v{k}" for k in range(9_000)]
+    texts = {"a": big, "b": big[:11_000] + ["x"] * 500, "c": half, "d": big[:6_000]}
+    rows = [(k, " ".join(v)) for k, v in texts.items()] + records(2)[:40]
+    want = brute(rows)
+    assert ("a", "b") in want
+    assert run(spark, rows) == want == run(spark, rows, Rule(exact=True))
 
 
 def test_small_sets_keep_their_links(spark):
