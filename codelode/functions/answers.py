@@ -13,30 +13,21 @@ VERDICT = "array<struct<findingId: string, verdict: string, reason: string>>"
 REPORT = "struct<totalSourceFiles: int, totalTestFiles: int, mappedTests: int, gaps: array<struct<chunkId: string, filePath: string, riskTier: int>>, summary: string>"
 
 
+_DECODER = json.JSONDecoder()
+
+
 def first_array(text: str | None) -> str | None:
     """SCL26: the first JSON array in a text, in a fenced block or not; null if none is whole and valid.
 
-    Brackets in strings don't count. An array that isn't valid JSON is passed over.
+    Every opening bracket is tried until one decodes; a text that is no array is left at its first fault,
+    so what follows a bracket in prose isn't read again and again.
     """
-    at = -1
-    while text and (at := text.find("[", at + 1)) >= 0:
-        depth, quoted, escaped = 0, False, False
-        for k in range(at, len(text)):
-            c = text[k]
-            if quoted:
-                escaped, quoted = c == "\\" and not escaped, not (c == '"' and not escaped)
-            elif c == '"':
-                quoted = True
-            elif c in "[{":
-                depth += 1
-            elif c in "]}":
-                depth -= 1
-                if not depth:
-                    try:
-                        json.loads(text[at : k + 1])
-                        return text[at : k + 1]
-                    except ValueError:
-                        break
+    at = text.find("[") if text else -1
+    while at >= 0:
+        try:
+            return text[at : _DECODER.raw_decode(text, at)[1]]
+        except (ValueError, RecursionError):
+            at = text.find("[", at + 1)
     return None
 
 

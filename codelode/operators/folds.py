@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from codelode.functions import text as X
 
-LOOP = re.compile(r"\b(?:for|while|do)\s*[\s(]|\.(?:forEach|map|filter|reduce|flatMap|find|some|every)\s*\(")
+# What opens a loop, by keyword or by call, and a condition; how functions are named; what sorts.
+LOOPS = (r"\b(?:for|while|do)\s*[\s(]", r"\.(?:forEach|map|filter|reduce|flatMap|find|some|every)\s*\(")
+LOOP = re.compile("|".join(LOOPS))
 CONDITION = re.compile(r"\b(?:if|switch|else\s+if)\s*[\s(]")
 NAMED = re.compile(r"function\s+(\w+)|(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?(?:function|\(|\w+\s*=>)")
 SORT = re.compile(r"\.sort\s*\(")
@@ -80,8 +82,8 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def complexity_classes(chunks: DataFrame) -> DataFrame:
     """RUL3: the estimate for every chunk with code, once for each id (columns id and code)."""
-    once = chunks.where("code is not null").select("id", "code").distinct()
-    return once.mapInArrow(_classify, "id string, class string, nesting int, loops int, conditions int, recursion boolean")
+    given = chunks.where("code is not null").select("id", "code")
+    return given.mapInArrow(_classify, "id string, class string, nesting int, loops int, conditions int, recursion boolean").distinct()
 
 
 def windows(lines: list[str], most: int = 100) -> list[tuple[int, int]]:
@@ -103,17 +105,20 @@ def windows(lines: list[str], most: int = 100) -> list[tuple[int, int]]:
     return [*found, (start, len(lines) - 1)]
 
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for key, code, start, complexity in zip(*(c.to_pylist() for c in batch.columns)):
-            lines = code.split("\n")
-            for n, (a, b) in enumerate(windows(lines), 1):
-                share = max(1, int(complexity * (b - a + 1) / len(lines) + 0.5))
-                rows.append((key, n, start + a, start + b, share, "\n".join(lines[a : b + 1])))
-        columns = list(zip(*rows)) or [()] * 6
-        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["id", "part", "first_line", "last_line", "complexity", "code"])
+def _splitter(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key, code, start, complexity in zip(*(c.to_pylist() for c in batch.columns)):
+                lines = code.split("\n")
+                for n, (a, b) in enumerate(windows(lines, most), 1):
+                    share = max(1, int(complexity * (b - a + 1) / len(lines) + 0.5))
+                    rows.append((key, n, start + a, start + b, share, "\n".join(lines[a : b + 1])))
+            columns = list(zip(*rows)) or [()] * 6
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["id", "part", "first_line", "last_line", "complexity", "code"])
+
+    return split
 
 
 def split_chunks(chunks: DataFrame, most: int = 100) -> DataFrame:
@@ -122,10 +127,8 @@ def split_chunks(chunks: DataFrame, most: int = 100) -> DataFrame:
     Complexity is shared by lines, at least 1 each; a part's id is that of a chunk with its path, line and
     code. Null start lines count as 1, null complexity as 1.
     """
-    if most != 100:
-        raise ValueError("parts have 100 lines")
     code = F.col("code")
     long = chunks.where(F.length(code) - F.length(F.replace(code, F.lit("\n"))) + 1 > most)
     once = long.groupBy("id").agg(F.max("code").alias("code"), F.max(F.coalesce("start_line", F.lit(1))).alias("s"), F.max(F.coalesce("cyclomatic_complexity", F.lit(1))).alias("c"), F.max("file_path").alias("file_path"))
-    parts = once.select("id", "code", "s", "c").mapInArrow(_split, "id string, part int, first_line int, last_line int, complexity int, code string")
+    parts = once.select("id", "code", "s", "c").mapInArrow(_splitter(most), "id string, part int, first_line int, last_line int, complexity int, code string")
     return parts.join(once.select("id", "file_path"), "id").withColumn("part_id", X.chunk_id(F.col("file_path"), F.col("first_line"), F.col("code")))

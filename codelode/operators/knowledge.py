@@ -48,21 +48,31 @@ def stored_chunks(vectors: DataFrame) -> DataFrame:
     )
 
 
-def plan(chunks: DataFrame, most: int = 10) -> DataFrame:
-    """RUL10-11: (agent, chunk, place): smelly chunks and those of sensitive paths for security, complex ones for performance; an agent without any gets the ``most`` most complex.
+# Parts of paths that call for a security review.
+SENSITIVE = "auth|login|session|token|secret|password|crypto|sql|query|db|middleware"
 
-    chunks: id, file_path, cyclomatic_complexity, smells, one row for each id.
+
+def plan(chunks: DataFrame, most: int = 10, top: int = 30) -> DataFrame:
+    """RUL10-11: (agent, chunk, place) among the ``top`` most complex chunks: smelly ones and those of sensitive paths for security, complex ones for performance; an agent without any gets the ``most`` most complex.
+
+    chunks: id, file_path, cyclomatic_complexity, smells, one row for each id. Ties go to the smaller id.
     """
-    order = Window.partitionBy("agent").orderBy(F.col("cyclomatic_complexity").desc_nulls_last(), "id")
-    sensitive = F.lower("file_path").rlike("auth|login|session|token|crypt|admin|payment|upload|sql|query")
-    agents = F.array_compact(F.array(F.when((F.size("smells") > 0) | sensitive, "security"), F.when(F.col("cyclomatic_complexity") >= 5, "performance")))
-    chosen = chunks.select("id", "cyclomatic_complexity", F.explode(agents).alias("agent"))
-    top = chunks.orderBy(F.col("cyclomatic_complexity").desc_nulls_last(), "id").limit(most)
-    spare = top.select("id", "cyclomatic_complexity", F.explode(F.array(F.lit("security"), F.lit("performance"))).alias("agent"))
+    by_complexity = (F.col("cyclomatic_complexity").desc_nulls_last(), F.col("id"))
+    first = chunks.select("id", "file_path", "cyclomatic_complexity", F.coalesce(F.size("smells"), F.lit(0)).alias("smelly")).orderBy(*by_complexity).limit(top)
+    order = Window.partitionBy("agent").orderBy(*by_complexity)
+    agents = F.array_compact(F.array(F.when((F.col("smelly") > 0) | F.lower("file_path").rlike(SENSITIVE), "security"), F.when(F.col("cyclomatic_complexity") >= 5, "performance")))
+    chosen = first.select("id", "cyclomatic_complexity", F.explode(agents).alias("agent"))
+    spare = first.orderBy(*by_complexity).limit(most).select("id", "cyclomatic_complexity", F.explode(F.array(F.lit("security"), F.lit("performance"))).alias("agent"))
     fallback = spare.join(chosen.select("agent").distinct(), "agent", "left_anti").select("id", "cyclomatic_complexity", "agent")
     return chosen.unionAll(fallback).select("agent", F.col("id").alias("chunk"), F.row_number().over(order).cast("long").alias("place"))
 
 
+def tests_wanted(files: DataFrame) -> DataFrame:
+    """RUL10: (tests): whether any path (column path) is a test's, which calls for the coverage agent."""
+    path = F.lower("path")
+    return files.agg(F.coalesce(F.bool_or(path.contains(".test.") | path.contains(".spec.") | path.contains("__tests__")), F.lit(False)).alias("tests"))
+
+
 def sync(stored: DataFrame, current: DataFrame, key: str = "id", value: str = "hash") -> tuple[DataFrame, DataFrame]:
     """GRV8: (the rows to store from now on, the changes): new and updated rows replace, deleted ones go.
 

@@ -28,7 +28,7 @@ LINE_RULES = (
     Rule("hardcoded-secret", "HIGH", r"(?i)password\s*[:=]\s*['\"`][^'\"`]+['\"`]"),
     Rule("weak-random", "LOW", r"Math\.random\s*\(\)"),
     Rule("path-traversal", "MEDIUM", r"createReadStream|readFileSync|readFile"),
-    Rule("dynamic-function", "HIGH", r"new\s+Function\s*\("),
+    Rule("code-injection", "HIGH", r"new\s+Function\s*\("),
     Rule("open-redirect", "MEDIUM", r"res\.redirect\s*\(\s*req\."),
 )
 # Patterns looked for in a whole chunk, one finding each.
@@ -41,7 +41,7 @@ CHUNK_RULES = (
     Rule("command-injection", "HIGH", r"child_process|exec\(|execSync\(|spawn\("),
     Rule("info-leak", "LOW", r"console\.(log|error|warn|debug)\s*\("),
     Rule("code-quality", "INFO", r"(?i)TODO|FIXME|HACK|XXX"),
-    Rule("dynamic-function", "HIGH", r"new\s+Function\s*\("),
+    Rule("code-injection", "HIGH", r"new\s+Function\s*\("),
     Rule("path-traversal", "HIGH", r"(?i)\.readFileSync|\.readFile\s*\(\s*(?:req|user|input)"),
 )
 # Patterns of slow code, looked for in a whole chunk.
@@ -52,10 +52,30 @@ PERFORMANCE_RULES = (
     Rule("deep-clone", "LOW", r"JSON\.parse\(JSON\.stringify\("),
     Rule("chained-array-ops", "LOW", r"\.filter\(.*\)\.map\(|\.map\(.*\)\.filter\("),
 )
-# Where data that users control comes from, and where it does harm.
-SOURCES = r"(?i)req\.(body|query|params|headers|cookies)|process\.env|\.(?:readFile|readFileSync|createReadStream)|(?:prompt|readline|stdin)|(?:fetch|axios|http\.get|request)\s*\(|JSON\.parse\s*\("
-SINKS = r"(?i)(?:query|execute|run)\s*\(|eval\s*\(|innerHTML|child_process|exec\s*\(|execSync\s*\(|spawn\s*\(|\.(?:write|send|json|render)\s*\(|\.redirect\s*\(|fs\.(writeFile|appendFile|createWriteStream)|new\s+Function\s*\("
+# Where data that users control comes from, by kind of source.
+SOURCE_KINDS = (
+    ("http-input", r"req\.(body|query|params|headers|cookies)"),
+    ("environment", r"process\.env"),
+    ("file-read", r"\.(?:readFile|readFileSync|createReadStream)"),
+    ("user-input", r"(?:prompt|readline|stdin)"),
+    ("external-data", r"(?:fetch|axios|http\.get|request)\s*\("),
+    ("parsed-input", r"JSON\.parse\s*\("),
+)
+# Where such data does harm, by kind of sink.
+SINK_KINDS = (
+    ("database-query", r"(?:query|execute|run)\s*\("),
+    ("eval", r"eval\s*\("),
+    ("dom-manipulation", r"innerHTML"),
+    ("command-execution", r"child_process|exec\s*\(|execSync\s*\(|spawn\s*\("),
+    ("response-output", r"\.(?:write|send|json|render)\s*\("),
+    ("redirect", r"\.redirect\s*\("),
+    ("file-write", r"fs\.(writeFile|appendFile|createWriteStream)"),
+    ("dynamic-function", r"new\s+Function\s*\("),
+)
+SOURCES = "(?i)" + "|".join(p for _, p in SOURCE_KINDS)
+SINKS = "(?i)" + "|".join(p for _, p in SINK_KINDS)
 ASSIGNED = r"(?:const|let|var)\s+(\w+)\s*=[^=>]"
+DECLARED = r"(?:const|let|var)\s+(\w+)\s*=(.*)"
 # What a string literal with a secret looks like.
 SECRET = r"(?i)(api[_-]?key|secret|password|passwd|token|auth|credential|private[_-]?key|access[_-]?key)[\s\"'`:=]+[A-Za-z0-9_\-/+]{16,}"
 CREDENTIAL_URL = r"(?i)https?://[^:]+:[^@]+@"
@@ -65,13 +85,17 @@ LITERAL = "\"[^\"\\n]*\"|'[^'\\n]*'|`[^`\\n]*`"
 
 
 def lines(chunks: DataFrame, *keep: str) -> DataFrame:
-    """(id, ..., line_no, line): the lines of each chunk, from 1, once for each id."""
-    once = chunks.where("code is not null").select("id", *keep, "code").dropDuplicates(["id"])
-    return once.select("id", *keep, F.posexplode(X.code_lines(F.col("code"))).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
+    """(row, id, ..., line_no, line): the lines of each row of chunks, from 1.
+
+    Rows are told apart by a number, as an id may come again with the same code: results are made by row
+    and repeats dropped from them, so that no text is exchanged.
+    """
+    rows = chunks.where("code is not null").select(F.monotonically_increasing_id().alias("row"), "id", *keep, "code")
+    return rows.select("row", "id", *keep, F.posexplode(X.code_lines(F.col("code"))).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
 
 def scan_lines(chunks: DataFrame, rules: tuple[Rule, ...] = LINE_RULES) -> DataFrame:
-    """RUL1: (id, line_no, rule, severity) of every line that a rule matches.
+    """RUL1: (id, line_no, rule, severity) of every line that a rule matches, each once.
 
     Lines meet all rules in one projection; nothing is joined, and chunks that no rule matches anywhere
     are dropped before their lines are taken apart.
@@ -81,32 +105,33 @@ def scan_lines(chunks: DataFrame, rules: tuple[Rule, ...] = LINE_RULES) -> DataF
         some = some | F.col("code").rlike(r.pattern)
     hits = F.array_compact(F.array(*(F.when(F.col("line").rlike(r.pattern), F.struct(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"))) for r in rules)))
     found = lines(chunks.where(some)).withColumn("hits", hits).where(F.size("hits") > 0)
-    return found.select("id", F.col("line_no").cast("long").alias("line_no"), F.explode("hits").alias("hit")).select("id", "line_no", "hit.*")
+    return found.select("id", F.col("line_no").cast("long").alias("line_no"), F.explode("hits").alias("hit")).select("id", "line_no", "hit.*").distinct()
 
 
 def scan_chunks(chunks: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """RUL5-6: one finding for each chunk and matching rule, at the first line that matches alone.
 
-    Columns id, file_path, rule, severity, line, last_line; of findings with the same path, rule and line
-    the first by id stays (WIN6). Lines count from the chunk's start line (0 if null).
+    Columns id, file_path, rule, severity, line, last_line; of findings with the same path, rule name and
+    line the first by id stays, then the first by the rules' order (WIN6). Lines count from the chunk's
+    start line (0 if null).
     """
-    once = chunks.where("code is not null and file_path is not null").select("id", "file_path", "start_line", "end_line", "code").dropDuplicates(["id"])
+    given = chunks.where("code is not null and file_path is not null").select("id", "file_path", "start_line", "end_line", "code")
     start = F.coalesce("start_line", F.lit(0))
 
-    def hit(r: Rule) -> Column:
+    def hit(k: int, r: Rule) -> Column:
         line = start + F.coalesce(X.first_match(F.col("code"), r.pattern), F.lit(0))
-        made = F.struct(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"), line.cast("long").alias("line"), F.least(line + 3, F.col("end_line")).cast("long").alias("last_line"))
+        made = F.struct(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"), line.cast("long").alias("line"), F.least(line + 3, F.col("end_line")).cast("long").alias("last_line"), F.lit(k).alias("k"))
         return F.when(F.col("code").rlike(r.pattern), made)
 
-    found = once.select("id", "file_path", F.explode(F.array_compact(F.array(*(hit(r) for r in rules)))).alias("hit")).select("id", "file_path", "hit.*")
-    place = F.row_number().over(Window.partitionBy("file_path", "rule", "line").orderBy("id"))
-    return found.withColumn("place", place).where("place = 1").drop("place")
+    found = given.select("id", "file_path", F.explode(F.array_compact(F.array(*(hit(k, r) for k, r in enumerate(rules))))).alias("hit"))
+    first = found.groupBy("file_path", F.col("hit.rule").alias("rule"), F.col("hit.line").alias("line")).agg(F.min(F.struct("id", "hit.k", "hit.severity", "hit.last_line")).alias("f"))
+    return first.select("f.id", "file_path", "rule", "f.severity", "line", "f.last_line")
 
 
 def literals(chunks: DataFrame) -> DataFrame:
-    """(id, text): the string literals of each chunk with their quotes, with repeats, once for each id."""
-    once = chunks.where("code is not null").select("id", "code").dropDuplicates(["id"])
-    return once.select("id", F.explode(F.regexp_extract_all("code", F.lit(LITERAL), F.lit(0))).alias("text"))
+    """(row, id, text): the string literals of each row of chunks with their quotes, with repeats."""
+    rows = chunks.where("code is not null").select(F.monotonically_increasing_id().alias("row"), "id", "code")
+    return rows.select("row", "id", F.explode(F.regexp_extract_all("code", F.lit(LITERAL), F.lit(0))).alias("text"))
 
 
 def secret_kind(text: Column) -> Column:
@@ -120,20 +145,36 @@ def secret_kind(text: Column) -> Column:
     return F.when(text.rlike(SECRET), "assignment").when(text.rlike(CREDENTIAL_URL), "url").when(F.size(addresses) > 0, "address").when(random, "entropy")
 
 
+def _kinds(line: Column, table: tuple[tuple[str, str], ...]) -> Column:
+    return F.array_compact(F.array(*(F.when(line.rlike("(?i)" + pattern), kind) for kind, pattern in table)))
+
+
 def taint(chunks: DataFrame) -> DataFrame:
-    """RUL2, WIN7: (id, variable, sources, sinks, dangerous, risk) for each variable that a chunk assigns.
+    """RUL2, WIN7: what each variable that a chunk assigns takes in and where it goes, once for each id and variable.
 
-    Only lines that name the variable count. A sink is dangerous if a line up to and including its own
-    assigned the variable from a source that users control.
+    Only lines that name the variable count. ``sources`` and ``sinks`` count kinds on lines; a sink is
+    ``dangerous`` if a line up to and including its own assigned the variable from a source that users
+    control. ``from_kinds``, ``to_kinds`` and ``harmed_by`` are the different kinds of sources, sinks and
+    dangerous sinks, ``passed_to`` the variables that are declared from it, each in order, with spaces.
+    Lines shrink to kinds and names before anything is exchanged.
     """
-    rows = lines(chunks.where(F.col("code").rlike(ASSIGNED)))
-    named = rows.where(F.col("line").rlike(ASSIGNED)).select("id", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(ASSIGNED), F.lit(1)))).alias("variable")).distinct()
-    words = rows.select("id", "line_no", "line", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(r"\w+"), F.lit(0)))).alias("variable"))
-    seen = words.join(named, ["id", "variable"])
-    assigned = F.array_contains(F.regexp_extract_all("line", F.lit(r"(\w+)\s*=[^=>]"), F.lit(1)), F.col("variable"))
-    flagged = seen.select("id", "variable", "line_no", (assigned & F.col("line").rlike(SOURCES)).alias("source"), F.col("line").rlike(SINKS).alias("sink"))
-    so_far = F.max("source").over(Window.partitionBy("id", "variable").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    counted = flagged.withColumn("dirty", so_far).groupBy("id", "variable").agg(
-        F.count_if("source").alias("sources"), F.count_if("sink").alias("sinks"), F.count_if(F.col("sink") & F.col("dirty")).alias("dangerous")
-    )
-    return counted.withColumn("risk", F.when(F.col("dangerous") > 0, "HIGH").when(F.col("sources") > 0, "MEDIUM").otherwise("LOW"))
+    line = F.col("line")
+    names = F.array_distinct(F.flatten(F.transform(X.code_lines(F.col("code")), lambda x: F.regexp_extract_all(x, F.lit(ASSIGNED), F.lit(1)))))
+    some = chunks.where(F.col("code").rlike(ASSIGNED)).withColumn("names", names)
+    rows = lines(some, "names").select(
+        "row", "id", "line_no", F.array_intersect(F.regexp_extract_all("line", F.lit(r"\w+"), F.lit(0)), "names").alias("named"), F.regexp_extract_all("line", F.lit(r"(\w+)\s*=[^=>]"), F.lit(1)).alias("assigned"),
+        F.regexp_extract("line", DECLARED, 1).alias("target"), F.regexp_extract_all(F.regexp_extract("line", DECLARED, 2), F.lit(r"\w+"), F.lit(0)).alias("taken"), _kinds(line, SOURCE_KINDS).alias("from"), _kinds(line, SINK_KINDS).alias("to"),
+    )
+    each = rows.withColumn("variable", F.explode("named"))
+    none = F.array().cast("array<string>")
+    has = lambda c: F.array_contains(c, F.col("variable"))
+    flagged = each.select("row", "id", "variable", "line_no", F.when(has("assigned"), F.col("from")).otherwise(none).alias("from"), "to", F.when(has("taken"), F.col("target")).alias("target"))
+    so_far = F.max(F.size("from") > 0).over(Window.partitionBy("row", "id", "variable").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    marked = flagged.withColumn("harm", F.when(so_far, F.col("to")).otherwise(none))
+    joined = lambda c: F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))), " ")
+    counted = marked.groupBy("row", "id", "variable").agg(
+        *(F.sum(F.size(a)).alias(b) for a, b in (("from", "sources"), ("to", "sinks"), ("harm", "dangerous"))),
+        joined("from").alias("from_kinds"), joined("to").alias("to_kinds"), joined("harm").alias("harmed_by"), F.array_join(F.array_sort(F.collect_set("target")), " ").alias("passed_to"),
+    )
+    risk = F.when(F.col("dangerous") > 0, "HIGH").when(F.col("sources") > 0, "MEDIUM").otherwise("LOW")
+    return counted.withColumn("risk", risk).drop("row").distinct()

@@ -11,29 +11,31 @@ from pyspark.sql import functions as F
 
 #: Queries that are sent to the executors at once.
 QUERIES_AT_ONCE = 4096
+#: Queries that meet a batch of rows at once, which bounds a worker's memory.
+TILE = 256
 
 
-def _searcher(sent, k: int, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _searcher(sent, k: int, threshold: float, tile: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, matrix = sent.value
         for batch in batches:
             lists = batch.column(1)
             offsets = lists.offsets.to_numpy()
-            size = matrix.shape[1]
-            whole = np.flatnonzero(np.diff(offsets) == size)
             values = lists.values.to_numpy(zero_copy_only=False).astype(np.float64)
-            if not len(whole):
-                continue
-            rows = values[offsets[whole][:, None] + np.arange(size)]
-            usable = np.isfinite(rows).all(axis=1) & (np.abs(rows).sum(axis=1) > 0)
-            whole, rows = whole[usable], rows[usable]
-            if not len(whole):
-                continue
-            similar = matrix @ (rows / np.linalg.norm(rows, axis=1)[:, None]).T
-            # ties at the k-th place all stay; the last step orders them
-            kth = np.partition(similar, -k, axis=1)[:, -k] if similar.shape[1] > k else np.full(len(similar), -np.inf)
-            q, r = np.nonzero((similar >= kth[:, None] - 1e-9) & (similar >= threshold - 1e-9))
-            yield pa.RecordBatch.from_arrays([pa.array(numbers[q]), batch.column(0).take(pa.array(whole[r])), pa.array(similar[q, r])], names=["query", "id", "similarity"])
+            for numbers, matrix in sent.value:
+                size = matrix.shape[1]
+                whole = np.flatnonzero(np.diff(offsets) == size)
+                rows = values[offsets[whole][:, None] + np.arange(size)]
+                usable = np.isfinite(rows).all(axis=1) & (np.abs(rows).sum(axis=1) > 0)
+                whole, rows = whole[usable], rows[usable]
+                if not len(whole):
+                    continue
+                rows = (rows / np.linalg.norm(rows, axis=1)[:, None]).T
+                for at in range(0, len(matrix), tile):
+                    similar = matrix[at : at + tile] @ rows
+                    # ties at the k-th place all stay; the last step orders them
+                    kth = np.partition(similar, -k, axis=1)[:, -k] if similar.shape[1] > k else np.full(len(similar), -np.inf)
+                    q, r = np.nonzero((similar >= kth[:, None] - 1e-9) & (similar >= threshold - 1e-9))
+                    yield pa.RecordBatch.from_arrays([pa.array(numbers[at + q]), batch.column(0).take(pa.array(whole[r])), pa.array(similar[q, r])], names=["query", "id", "similarity"])
 
     return search
 
@@ -43,8 +45,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0
 
     Both sides are (id, embedding). Queries are the stated set: they are dealt into blocks of about
     ``at_once`` that are sent to the executors in turn, each of which meets every row once and keeps k
-    rows of a partition before anything is exchanged. Vectors that are null, of another length, not
-    finite or zero match nothing. Similarity is rounded to six places; ties go to the smaller id.
+    rows of a partition before anything is exchanged. Vectors meet those of their own length only;
+    null, not finite and zero ones match nothing. Similarity is rounded to six places; ties go to the smaller id.
     """
     spark = rows.sparkSession
     asked = queries.where("embedding is not null").dropDuplicates(["id"])
@@ -55,15 +57,16 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0
     given = rows.where("embedding is not null").select("id", "embedding")
     for b in range(blocks):
         block = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("id", "embedding").toPandas()
-        lengths = block["embedding"].map(len)
         if not len(block):
             continue
-        block = block[lengths == lengths.mode()[0]]
-        matrix = np.stack(block["embedding"].map(lambda v: np.asarray(v, np.float64)).to_list())
-        norm = np.linalg.norm(matrix, axis=1)
-        good = np.isfinite(norm) & (norm > 0)
-        sent = spark.sparkContext.broadcast((block["id"].to_numpy()[good], matrix[good] / norm[good][:, None]))
-        part = given.mapInArrow(_searcher(sent, k, threshold), f"query {kind}, id {kind}, similarity double")
+        groups = []
+        for _, same in block.groupby(block["embedding"].map(len)):
+            matrix = np.stack(same["embedding"].map(lambda v: np.asarray(v, np.float64)).to_list())
+            norm = np.linalg.norm(matrix, axis=1)
+            good = np.isfinite(norm) & (norm > 0)
+            groups.append((same["id"].to_numpy()[good], matrix[good] / norm[good][:, None]))
+        sent = spark.sparkContext.broadcast(groups)
+        part = given.mapInArrow(_searcher(sent, k, threshold, TILE), f"query {kind}, id {kind}, similarity double")
         found = part if found is None else found.unionAll(part)
     if found is None:
         found = spark.createDataFrame([], f"query {kind}, id {kind}, similarity double")

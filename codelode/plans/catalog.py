@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codelode.plans import evaluations, findings, graphs, knowledge, parsing, progress, scalars, searches
+from codelode.plans import evaluations, findings, graphs, knowledge, parsing, progress, records, scalars, searches
 from codelode.plans.registry import Query
 
-AREAS = (scalars, parsing, graphs, knowledge, findings, evaluations, searches, progress)
+AREAS = (scalars, parsing, graphs, knowledge, findings, evaluations, searches, progress, records)
 
 
 def entries() -> dict[str, tuple[Query, str | None]]:

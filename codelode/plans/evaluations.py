@@ -37,13 +37,29 @@ def match_candidates(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.candidates(found_rows(spark, d), true_rows(spark, d)).distinct()
 
 
-@R.add()
+GREEDY = f"""
+WITH RECURSIVE f AS {F_SQL}, t AS {T_SQL},
+near AS (SELECT f.finding, min(place) AS place, list({{'v': vulnerability, 'd': abs(f.line - t.line)}} ORDER BY abs(f.line - t.line), vulnerability) AS l FROM f JOIN t USING (signature) WHERE abs(f.line - t.line) <= 3 GROUP BY f.finding),
+s AS (SELECT *, row_number() OVER (ORDER BY place, finding) AS n FROM near),
+g AS (SELECT 0::BIGINT AS n, NULL::VARCHAR AS finding, [NULL::STRUCT(v VARCHAR, d BIGINT)] AS pick, []::VARCHAR[] AS taken
+  UNION ALL SELECT s.n, s.finding, list_filter(l, lambda x: NOT list_contains(taken, x.v))[1:1], list_concat(taken, list_transform(list_filter(l, lambda x: NOT list_contains(taken, x.v))[1:1], lambda x: x.v)) FROM g JOIN s ON s.n = g.n + 1),
+tp AS (SELECT finding, pick[1].v AS vulnerability, pick[1].d AS delta FROM g WHERE finding IS NOT NULL AND len(pick) > 0),
+m AS (SELECT 'TP' AS class, finding, vulnerability, delta FROM tp UNION ALL SELECT 'FP', finding, NULL, NULL FROM f WHERE finding NOT IN (SELECT finding FROM tp) UNION ALL SELECT 'FN', NULL, vulnerability, NULL FROM t WHERE vulnerability NOT IN (SELECT vulnerability FROM tp))
+"""
+COUNTED = GREEDY + """, b AS (SELECT m.class, f.agent FROM m JOIN f USING (finding) WHERE m.class <> 'FN' UNION ALL SELECT m.class, t.agent FROM m JOIN t ON m.vulnerability = t.vulnerability WHERE m.class = 'FN'),
+c AS (SELECT agent, count(*) FILTER (class = 'TP') AS tp, count(*) FILTER (class = 'FP') AS fp, count(*) FILTER (class = 'FN') AS fn FROM b GROUP BY 1),
+r AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS q FROM c),
+z AS (SELECT agent, tp, fp, fn, floor(p * 10000 + 0.5) / 10000.0 AS precision, floor(q * 10000 + 0.5) / 10000.0 AS recall, floor(coalesce(2 * p * q / nullif(p + q, 0), 0) * 10000 + 0.5) / 10000.0 AS f1 FROM r)
+"""
+
+
+@R.add(GREEDY + "SELECT class, finding, vulnerability, delta FROM m")
 def greedy_match(spark: SparkSession, d: str) -> DataFrame:
     """JOI11, STR21: one-to-one matches in the order of arrival, and what is left on both sides."""
     return evaluation.match(found_rows(spark, d), true_rows(spark, d))
 
 
-@R.add()
+@R.add(COUNTED + "SELECT * FROM z")
 def agent_scores(spark: SparkSession, d: str) -> DataFrame:
     """AGG6: precision, recall and F1 of every agent."""
     found, true = found_rows(spark, d), true_rows(spark, d)
@@ -55,7 +71,7 @@ def agent_scores(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.scores(counts)
 
 
-@R.add()
+@R.add(COUNTED + "SELECT " + ", ".join(f"floor(avg({c}) * 10000 + 0.5) / 10000.0 AS {c}" for c in ("precision", "recall", "f1")) + " FROM z")
 def macro_scores(spark: SparkSession, d: str) -> DataFrame:
     """AGG7-8: the agents' scores on average."""
     return evaluation.macro(agent_scores(spark, d))

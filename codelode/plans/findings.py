@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.functions import text as X
@@ -10,6 +10,7 @@ from codelode.operators import coverage, diffing, rules, verify
 from codelode.plans.graphs import EDGES, ONE, TEST, chunk_files, imports
 from codelode.plans.registry import Registry, literal
 from codelode.plans.scalars import JOB
+from codelode.session import sent_if_small
 from codelode.sources.tables import table
 
 R = Registry()
@@ -29,7 +30,7 @@ def _rule_rows(items, column: str) -> str:
     return " UNION ALL ".join(f"SELECT id, line_no, '{r.name}' AS rule, '{r.severity}' AS severity FROM lines WHERE regexp_matches({column}, {literal(r.pattern)})" for r in items)
 
 
-@R.add(f"WITH split AS (SELECT id, string_split(code, chr(10)) AS l FROM {CODE}), lines AS (SELECT id, unnest(range(1, len(l) + 1)) AS line_no, unnest(l) AS line FROM split) {_rule_rows(rules.LINE_RULES, 'line')}")
+@R.add(f"WITH split AS (SELECT id, string_split(code, chr(10)) AS l FROM {CODE}), lines AS (SELECT id, unnest(range(1, len(l) + 1)) AS line_no, unnest(l) AS line FROM split) SELECT DISTINCT * FROM ({_rule_rows(rules.LINE_RULES, 'line')})")
 def rule_scan_lines(spark: SparkSession, d: str) -> DataFrame:
     """RUL1: all lines that a rule matches."""
     return rules.scan_lines(table(spark, d, "chunks"))
@@ -37,14 +38,14 @@ def rule_scan_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def _chunk_sql(items) -> str:
     made = " UNION ALL ".join(
-        f"""SELECT id, file_path, '{r.name}' AS rule, '{r.severity}' AS severity, end_line,
+        f"""SELECT id, file_path, '{r.name}' AS rule, '{r.severity}' AS severity, end_line, {k} AS k,
         coalesce(start_line, 0) + greatest(list_position(list_transform(string_split(code, chr(10)), lambda l: regexp_matches(l, {literal(r.pattern)})), true), 1) - 1 AS line
         FROM c WHERE regexp_matches(code, {literal(r.pattern)})"""
-        for r in items
+        for k, r in enumerate(items)
     )
     return f"""
 WITH c AS (SELECT * FROM {CODE} WHERE file_path IS NOT NULL), hits AS ({made})
-SELECT id, file_path, rule, severity, line::BIGINT AS line, least(line + 3, end_line)::BIGINT AS last_line FROM hits QUALIFY row_number() OVER (PARTITION BY file_path, rule, line ORDER BY id) = 1
+SELECT id, file_path, rule, severity, line::BIGINT AS line, least(line + 3, end_line)::BIGINT AS last_line FROM hits QUALIFY row_number() OVER (PARTITION BY file_path, rule, line ORDER BY id, k) = 1
 """
 
 
@@ -74,21 +75,27 @@ SELECT id, kind, count(*) AS n FROM j WHERE kind IS NOT NULL GROUP BY id, kind
 """)
 def secret_scan(spark: SparkSession, d: str) -> DataFrame:
     """PRS15, SCL7, SCL9-10: suspicious literals of each chunk by kind."""
-    found = rules.literals(table(spark, d, "chunks")).select("id", rules.secret_kind(F.col("text")).alias("kind")).where("kind is not null")
-    return found.groupBy("id", "kind").agg(F.count("*").alias("n"))
+    found = rules.literals(table(spark, d, "chunks")).select("row", "id", rules.secret_kind(F.col("text")).alias("kind")).where("kind is not null")
+    return found.groupBy("row", "id", "kind").agg(F.count("*").alias("n")).select("id", "kind", "n").distinct()
+
+
+def _kinds_sql(kinds) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(line, {literal('(?i)' + pattern)}) THEN '{kind}' END" for kind, pattern in kinds) + "], lambda x: x IS NOT NULL)"
 
 
 @R.add(f"""
 WITH split AS (SELECT id, string_split(code, chr(10)) AS l FROM {CODE}), lines AS (SELECT id, unnest(range(1, len(l) + 1)) AS line_no, unnest(l) AS line FROM split),
 named AS (SELECT DISTINCT id, unnest(regexp_extract_all(line, {literal(rules.ASSIGNED)}, 1)) AS variable FROM lines),
 words AS (SELECT DISTINCT id, line_no, line, unnest(regexp_extract_all(line, '\\w+')) AS variable FROM lines WHERE id IN (SELECT id FROM named)),
-seen AS (SELECT id, variable, line_no, list_contains(regexp_extract_all(line, '(\\w+)\\s*=[^=>]', 1), variable) AND regexp_matches(line, {literal(rules.SOURCES)}) AS source, regexp_matches(line, {literal(rules.SINKS)}) AS sink FROM words JOIN named USING (id, variable)),
-f AS (SELECT *, max(source::int) OVER (PARTITION BY id, variable ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) = 1 AS dirty FROM seen),
-g AS (SELECT id, variable, count(*) FILTER (source) AS sources, count(*) FILTER (sink) AS sinks, count(*) FILTER (sink AND dirty) AS dangerous FROM f GROUP BY 1, 2)
+seen AS (SELECT id, variable, line_no, CASE WHEN list_contains(regexp_extract_all(line, '(\\w+)\\s*=[^=>]', 1), variable) THEN {_kinds_sql(rules.SOURCE_KINDS)} ELSE []::VARCHAR[] END AS taken_from, {_kinds_sql(rules.SINK_KINDS)} AS goes_to,
+  CASE WHEN list_contains(regexp_extract_all(regexp_extract(line, {literal(rules.DECLARED)}, 2), '\\w+'), variable) THEN regexp_extract(line, {literal(rules.DECLARED)}, 1) END AS target FROM words JOIN named USING (id, variable)),
+f AS (SELECT *, CASE WHEN max((len(taken_from) > 0)::int) OVER (PARTITION BY id, variable ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) = 1 THEN goes_to ELSE []::VARCHAR[] END AS harm FROM seen),
+g AS (SELECT id, variable, sum(len(taken_from))::BIGINT AS sources, sum(len(goes_to))::BIGINT AS sinks, sum(len(harm))::BIGINT AS dangerous, {", ".join(f"array_to_string(list_sort(list_distinct(flatten(list({a})))), ' ') AS {b}" for a, b in (("taken_from", "from_kinds"), ("goes_to", "to_kinds"), ("harm", "harmed_by")))},
+  coalesce(array_to_string(list_sort(list_distinct(list(target))), ' '), '') AS passed_to FROM f GROUP BY 1, 2)
 SELECT *, CASE WHEN dangerous > 0 THEN 'HIGH' WHEN sources > 0 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM g
 """)
 def taint_running(spark: SparkSession, d: str) -> DataFrame:
-    """RUL2, WIN7: sources and sinks of every variable that a chunk assigns."""
+    """RUL2, WIN7: sources and sinks by kind, and what is passed on, of every variable that a chunk assigns."""
     return rules.taint(table(spark, d, "chunks"))
 
 
@@ -110,7 +117,8 @@ SELECT id, chunk_id, CASE WHEN known THEN a ELSE 0 END::BIGINT AS agree, CASE WH
 def verify_findings(spark: SparkSession, d: str) -> DataFrame:
     """RUL7, STR18, T20: every finding held against the chunks it cites."""
     found = latest_findings(spark, d, "chunk_ids", "start_line", "end_line", "code_snippet", F.col("title").alias("claim"))
-    chunks = table(spark, d, "chunks").where("code is not null").select("id", "start_line", "code").dropDuplicates(["id"])
+    cited = sent_if_small(found.select(F.explode("chunk_ids").alias("id")).distinct())
+    chunks = table(spark, d, "chunks").where("code is not null").select("id", "start_line", "code").join(cited, "id", "left_semi").dropDuplicates(["id"])
     return verify.verify(found, chunks)
 
 
@@ -223,11 +231,11 @@ UNION ALL SELECT id, 'HardcodedSecret' FROM c WHERE regexp_matches(code, {litera
 """)
 def smell_union(spark: SparkSession, d: str) -> DataFrame:
     """PRS11, PRS14, PRS16: what line-oriented detectors say of each chunk."""
-    once = table(spark, d, "chunks").where("code is not null").select("id", "file_path", "code").dropDuplicates(["id"])
+    given = table(spark, d, "chunks").where("code is not null").select("id", "file_path", "code")
     quiet = F.coalesce(F.lower("file_path").rlike("utils|logger"), F.lit(False))
     long = F.size(X.code_lines(F.rtrim("code", F.lit("\n")))) > 80
     kinds = F.array(F.when(long, "LongFunction"), F.when(F.col("code").rlike("console[.](log|warn|error|info|debug|trace)[ ]*[(]") & ~quiet, "ConsoleLog"), F.when(F.col("code").rlike(rules.SECRET), "HardcodedSecret"))
-    return once.select("id", F.explode(F.array_compact(kinds)).alias("smell"))
+    return given.select("id", F.explode(F.array_compact(kinds)).alias("smell")).distinct()
 
 
 @R.add(f"""
@@ -244,22 +252,51 @@ def evidence_match(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id", size(F.col("evidence")).alias("given"), size(kept).alias("kept"))
 
 
-# Topics and where they are documented.
-REFERENCES = (
+# Topics and the public documents about them; the second list holds for JavaScript-like technology only.
+TOPICS = (
+    ("sql-injection", "https://owasp.org/www-community/attacks/SQL_Injection"),
+    ("sql-injection", "https://cwe.mitre.org/data/definitions/89.html"),
     ("sql-injection", "https://cheatsheetseries.owasp.org/cheatsheets/SQL_Injection_Prevention_Cheat_Sheet.html"),
+    ("xss", "https://owasp.org/www-community/attacks/xss/"),
+    ("xss", "https://cwe.mitre.org/data/definitions/79.html"),
     ("xss", "https://cheatsheetseries.owasp.org/cheatsheets/Cross_Site_Scripting_Prevention_Cheat_Sheet.html"),
-    ("command-injection", "https://cheatsheetseries.owasp.org/cheatsheets/OS_Command_Injection_Defense_Cheat_Sheet.html"),
+    ("command-injection", "https://owasp.org/www-community/attacks/Command_Injection"),
+    ("command-injection", "https://cwe.mitre.org/data/definitions/78.html"),
+    ("code-injection", "https://owasp.org/www-community/attacks/Code_Injection"),
+    ("code-injection", "https://cwe.mitre.org/data/definitions/94.html"),
+    ("hardcoded-secret", "https://owasp.org/www-community/vulnerabilities/Use_of_hard-coded_password"),
+    ("hardcoded-secret", "https://cwe.mitre.org/data/definitions/798.html"),
     ("path-traversal", "https://owasp.org/www-community/attacks/Path_Traversal"),
-    ("secret", "https://cheatsheetseries.owasp.org/cheatsheets/Secrets_Management_Cheat_Sheet.html"),
-    ("random", "https://cheatsheetseries.owasp.org/cheatsheets/Cryptographic_Storage_Cheat_Sheet.html"),
-    ("loop", "https://developer.mozilla.org/en-US/docs/Web/JavaScript/Guide/Loops_and_iteration"),
+    ("path-traversal", "https://cwe.mitre.org/data/definitions/22.html"),
+    ("open-redirect", "https://cwe.mitre.org/data/definitions/601.html"),
+    ("memory-leak", "https://nodejs.org/en/docs/guides/diagnostics/memory/using-heap-profiler"),
+    ("event-loop", "https://nodejs.org/en/docs/guides/event-loop-timers-and-nexttick"),
+    ("complexity", "https://www.bigocheatsheet.com/"),
 )
+SCRIPT_TOPICS = (
+    ("error-handling", "https://expressjs.com/en/guide/error-handling.html"),
+    ("error-handling", "https://nodejs.org/api/errors.html"),
+    ("authentication", "https://cheatsheetseries.owasp.org/cheatsheets/Authentication_Cheat_Sheet.html"),
+    ("input-validation", "https://cheatsheetseries.owasp.org/cheatsheets/Input_Validation_Cheat_Sheet.html"),
+)
+SCRIPT = "node|express|javascript|typescript"
+
+
+def references(category: Column, technology: Column) -> Column:
+    """JOI17: the different documents for a category (lower case): topic in category or category in topic."""
+    fits = lambda t: category.contains(t) | F.lit(t).contains(category)
+    some = [F.when(fits(t), F.lit(u)) for t, u in TOPICS] + [F.when(fits(t) & F.lower(technology).rlike(SCRIPT), F.lit(u)) for t, u in SCRIPT_TOPICS]
+    return F.array_distinct(F.array_compact(F.array(*some)))
+
+
+#: Categories that agents report, and some more that documents are kept for.
+ASKED = "(SELECT lower(category) AS category FROM findings WHERE category IS NOT NULL UNION SELECT unnest(['error-handling', 'authentication', 'input', 'memory-leak', 'event-loop', 'cyclomatic complexity', 'open-redirect', 'code-injection']))"
 
 
-@R.add("WITH r(topic, url) AS (VALUES " + ", ".join(f"({literal(a)}, {literal(b)})" for a, b in REFERENCES) + "), c AS (SELECT DISTINCT lower(category) AS category FROM findings WHERE category IS NOT NULL) SELECT DISTINCT category, url FROM c JOIN r ON contains(category, topic) OR contains(topic, category)")
+@R.add("WITH r(topic, url, script) AS (VALUES " + ", ".join(f"({literal(a)}, {literal(b)}, {str(s).lower()})" for s, rows in ((False, TOPICS), (True, SCRIPT_TOPICS)) for a, b in rows) + f"), c AS (SELECT category, technology FROM {ASKED}, (SELECT unnest(['TypeScript', 'go']) AS technology)) SELECT DISTINCT category, technology, url FROM c JOIN r ON (contains(category, topic) OR contains(topic, category)) AND (NOT script OR technology = 'TypeScript')")
 def reference_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """JOI17: documents for each category, topic in category or category in topic; the topics are a fixed list."""
-    category = F.col("category")
-    urls = F.array_compact(F.array(*(F.when(category.contains(t) | F.lit(t).contains(category), F.lit(u)) for t, u in REFERENCES)))
-    named = table(spark, d, "findings").where("category is not null").select(F.lower("category").alias("category")).distinct()
-    return named.select("category", F.explode(F.array_distinct(urls)).alias("url"))
+    """JOI17: documents for each category, for a JavaScript-like technology and another one."""
+    more = spark.range(1).select(F.explode(F.array(*map(F.lit, ("error-handling", "authentication", "input", "memory-leak", "event-loop", "cyclomatic complexity", "open-redirect", "code-injection")))).alias("category"))
+    named = table(spark, d, "findings").where("category is not null").select(F.lower("category").alias("category")).unionAll(more).distinct()
+    both = named.withColumn("technology", F.explode(F.array(F.lit("TypeScript"), F.lit("go"))))
+    return both.select("category", "technology", F.explode(references(F.col("category"), F.col("technology"))).alias("url"))

