@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ REPORT = "struct<totalSourceFiles: int, totalTestFiles: int, mappedTests: int, g
 
 
 _DECODER = json.JSONDecoder()
+_BRACKETS = re.compile(r"[\[\s]+")
 
 
 def first_array(text: str | None) -> str | None:
@@ -26,8 +28,10 @@ def first_array(text: str | None) -> str | None:
     while at >= 0:
         try:
             return text[at : _DECODER.raw_decode(text, at)[1]]
-        except (ValueError, RecursionError):
+        except ValueError:
             at = text.find("[", at + 1)
+        except RecursionError:  # of brackets in a row, those further in than this are tried again
+            at = text.find("[", max(at + 1, _BRACKETS.match(text, at).end() - 500))
     return None
 
 

@@ -12,9 +12,11 @@ LANGUAGES = {
 }
 # Words that say nothing about a claim.
 STOP_WORDS = (
-    "the a an is are was were be been being have has had do does did will would shall should may might can could this that these those on in at to for with from by of and or not but if then else when "
-    "up out no so it its line code file found detected potential possible vulnerability issue problem"
-).split()
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "shall",
+    "should", "may", "might", "can", "could", "this", "that", "these", "those", "on", "in", "at", "to", "for", "with", "from", "by", "of", "and",
+    "or", "not", "but", "if", "then", "else", "when", "up", "out", "no", "so", "it", "its", "line", "code", "file", "found", "detected", "potential",
+    "possible", "vulnerability", "issue", "problem",
+)
 # Stages of the pipeline, in order.
 STAGES = ("ingest", "triage", "graphrag", "council", "security", "performance", "architecture", "critique", "synthesis")
 #: Where scans keep a job's files; the rest of a path is relative to the repository.

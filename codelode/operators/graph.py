@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from codelode.session import cut
 
 # Folders that name a layer.
-LAYERS = "controllers routes services models middleware utils helpers config lib core api handlers repositories domain infrastructure presentation application".split()
+LAYERS = (
+    "controllers", "routes", "services", "models", "middleware", "utils", "helpers", "config", "lib", "core", "api", "handlers", "repositories",
+    "domain", "infrastructure", "presentation", "application",
+)
 
 #: Hops that one written step of the search for components takes.
 HOPS_AT_ONCE = 6

@@ -18,8 +18,8 @@ R = Registry()
 @R.add()
 def parsed_functions(spark: SparkSession, d: str) -> DataFrame:
     """PRS1-16, SRC9-10: the functions in every chunk's code with their metrics."""
-    once = table(spark, d, "chunks").where("code is not null and file_path is not null").select("id", "file_path", "code", "start_line").distinct()
-    found = javascript.parse(once.select("file_path", "code", "start_line"), "file_path", "code", "start_line")
+    given = table(spark, d, "chunks").where("code is not null and file_path is not null")
+    found = javascript.parse(given, "file_path", "code", "start_line", "id").drop("code", "imports")
     return found.select("path", "name", "start_line", "end_line", "params", "depth", "complexity", "volume", "unreachable", F.size("smells").alias("smells"), "error")
 
 
@@ -88,3 +88,11 @@ def resolved_imports(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks").where("file_path is not null").select(F.col("file_path").alias("path"), "imports")
     raw = chunks.select("path", F.explode("imports").alias("spec")).distinct()
     return javascript.resolve(raw, chunks.select("path").distinct())
+
+
+@R.add()
+def parsed_smells(spark: SparkSession, d: str) -> DataFrame:
+    """PRS11-16, SCL4-6: what the five detectors say of the functions in every chunk, by kind, and how many are components."""
+    given = table(spark, d, "chunks").where("code is not null and file_path is not null")
+    found = javascript.parse(given, "file_path", "code", "start_line", "id").select("key", "nth", "component", F.explode_outer("smells.type").alias("smell"))
+    return found.groupBy(F.coalesce("smell", F.lit("none")).alias("smell")).agg(F.count("*").alias("n"), F.count_if("component").alias("in_components"))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.plans.registry import Registry
-from codelode.session import shared_dir
+from codelode.session import cut, shared_dir
+from codelode.sources.store import Store
 from codelode.sources.tables import table
 from codelode.streaming import progress as P
 
@@ -95,4 +96,6 @@ def stream_states(spark: SparkSession, d: str) -> DataFrame:
     out = _run_stream(spark, P.follow(_stream_source(spark, d), "30 days"), "update")
     rows = spark.read.parquet(out)
     last = rows.groupBy("job_id").agg(F.max_by(F.struct("active", "completed", "events", "finished", "failed", "last_ts"), "batch").alias("s"))
-    return last.select("job_id", "s.*").withColumn("last_us", F.expr("unix_micros(last_ts)")).drop("last_ts")
+    kept = cut(last.select("job_id", "s.*").withColumn("last_us", F.expr("unix_micros(last_ts)")).drop("last_ts"))
+    Store(spark, out.removesuffix("/out"), "batch").drop_all()
+    return kept

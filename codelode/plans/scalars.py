@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codelode.functions import text as X
 from codelode.plans.registry import Registry, literal
+from codelode.session import sent_if_small
 from codelode.sources.tables import table
 
 R = Registry()
@@ -103,14 +104,14 @@ def claim_keywords(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("""
 SELECT DISTINCT id, md5('File: ' || coalesce(file_path, '') || chr(10) || 'Lines ' || coalesce(start_line::VARCHAR, '') || '-' || coalesce(end_line::VARCHAR, '') || chr(10)
-  || 'Complexity: ' || coalesce(cyclomatic_complexity::VARCHAR, '') || chr(10)
+  || 'Complexity: ' || coalesce(cyclomatic_complexity::VARCHAR, '') || ', Halstead: ' || coalesce(halstead_volume::VARCHAR, '') || chr(10)
   || CASE WHEN coalesce(len(smells), 0) = 0 THEN 'No code smells.' ELSE 'Code smells: ' || array_to_string(list_transform(smells, lambda s: s.type), ', ') || '.' END || chr(10) || chr(10) || coalesce(code, '')) AS text_md5
 FROM chunks
 """)
 def embedding_texts(spark: SparkSession, d: str) -> DataFrame:
-    """SCL11 over all chunks, hashed; without the volume, whose text form depends on the engine."""
-    made = X.embedding_text(*(F.col(c) for c in ("file_path", "start_line", "end_line", "cyclomatic_complexity")), F.lit(""), F.col("smells"), F.col("code"))
-    return table(spark, d, "chunks").select("id", F.md5(F.replace(made, F.lit(", Halstead: "), F.lit(""))).alias("text_md5")).distinct()
+    """SCL11 over all chunks, hashed."""
+    made = X.embedding_text(*(F.col(c) for c in ("file_path", "start_line", "end_line", "cyclomatic_complexity", "halstead_volume", "smells", "code")))
+    return table(spark, d, "chunks").select("id", F.md5(made).alias("text_md5")).distinct()
 
 
 @R.add("""
@@ -134,7 +135,8 @@ SELECT DISTINCT id, chunk, md5(array_to_string(CASE WHEN y >= x THEN list_slice(
 def window_extract(spark: SparkSession, d: str) -> DataFrame:
     """SCL22: for each finding and chunk, the cited lines with five around them."""
     findings = table(spark, d, "findings").select("id", F.col("start_line").alias("a"), F.coalesce("end_line", "start_line").alias("b"), F.explode("chunk_ids").alias("chunk")).distinct()
-    chunks = table(spark, d, "chunks").where("code is not null").select(F.col("id").alias("chunk"), F.coalesce("start_line", F.lit(1)).alias("s"), "code").dropDuplicates(["chunk"])
+    cited = sent_if_small(findings.select("chunk").distinct())
+    chunks = table(spark, d, "chunks").where("code is not null").select(F.col("id").alias("chunk"), F.coalesce("start_line", F.lit(1)).alias("s"), "code").join(cited, "chunk", "left_semi").dropDuplicates(["chunk"])
     text, first, last = X.window(F.col("code"), F.col("s"), F.col("a"), F.col("b"))
     rows = findings.join(chunks, "chunk").select("id", "chunk", F.md5(text).alias("window_md5"), first.cast("long").alias("first_line"), last.cast("long").alias("last_line"))
     return rows.distinct()
@@ -148,9 +150,9 @@ SELECT id, (p - 1)::BIGINT AS line, md5(array_to_string(list_slice(lines, greate
 def first_match_line(spark: SparkSession, d: str) -> DataFrame:
     """SCL20-21: the first console call of each chunk and three lines around it."""
     pattern = "console[.](log|error|warn|debug)[ ]*[(]"
-    chunks = table(spark, d, "chunks").where(F.col("code").rlike(pattern)).select("id", "code").dropDuplicates(["id"])
+    chunks = table(spark, d, "chunks").where(F.col("code").rlike(pattern)).select("id", "code")
     at = X.first_match(F.col("code"), pattern)
-    return chunks.select("id", at.cast("long").alias("line"), F.md5(X.around_match(F.col("code"), pattern, 3)).alias("snippet_md5")).where("line is not null")
+    return chunks.select("id", at.cast("long").alias("line"), F.md5(X.around_match(F.col("code"), pattern, 3)).alias("snippet_md5")).where("line is not null").distinct()
 
 
 @R.add()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -24,6 +26,7 @@ def build_session(app: str = "codelode", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
@@ -42,7 +45,9 @@ def ship_package(spark: SparkSession) -> SparkSession:
     context = spark.sparkContext
     if context.applicationId not in _SHIPPED:
         root = Path(__file__).resolve().parent
-        packed = Path(tempfile.mkdtemp(prefix="codelode-package-")) / "codelode.zip"
+        folder = tempfile.mkdtemp(prefix="codelode-package-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        packed = Path(folder) / "codelode.zip"
         with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
             for path in sorted(root.rglob("*.py")):
                 out.write(path, Path(root.name) / path.relative_to(root))
@@ -54,7 +59,8 @@ def ship_package(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, from ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, a laptop) a temporary folder is made and set.
+    Only a local session (tests, a laptop) that names none gets a temporary folder, which is removed when
+    Python ends. On a cluster a missing setting is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
@@ -65,13 +71,19 @@ def shared_dir(spark: SparkSession) -> str:
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="codelode-checkpoint-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
     context.setCheckpointDir("file://" + os.path.abspath(own))
     return own
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and returns it with its lineage cut (survives lost executors)."""
+    """Writes df to the shared folder and returns it with its lineage cut (survives lost executors).
+
+    The files are removed with the frame where the session cleans checkpoints up, as ``build_session`` sets.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

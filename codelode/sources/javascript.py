@@ -373,24 +373,25 @@ def without_inner(code: str, ts: list[Token], f: Function) -> str:
 
 SCHEMA = (
     "path string, name string, start_line int, end_line int, params int, depth int, complexity int, volume double, operators int, operands int, unreachable boolean, component boolean, "
-    "smells array<struct<type: string, message: string, line: int>>, imports array<string>, code string, error string"
+    "smells array<struct<type: string, message: string, line: int>>, imports array<string>, code string, error string, key string, nth int"
 )
 
 _SMELL = pa.struct([("type", pa.string()), ("message", pa.string()), ("line", pa.int32())])
 _ARROW = pa.schema([
     ("path", pa.string()), ("name", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("params", pa.int32()), ("depth", pa.int32()), ("complexity", pa.int32()), ("volume", pa.float64()),
-    ("operators", pa.int32()), ("operands", pa.int32()), ("unreachable", pa.bool_()), ("component", pa.bool_()), ("smells", pa.list_(_SMELL)), ("imports", pa.list_(pa.string())), ("code", pa.string()), ("error", pa.string()),
+    ("operators", pa.int32()), ("operands", pa.int32()), ("unreachable", pa.bool_()), ("component", pa.bool_()), ("smells", pa.list_(_SMELL)), ("imports", pa.list_(pa.string())), ("code", pa.string()), ("error", pa.string()), ("key", pa.string()), ("nth", pa.int32()),
 ])
 
 
 def _parser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for path, code, begin in zip(*(c.to_pylist() for c in batch.columns)):
+        for path, code, begin, key in zip(*(c.to_pylist() for c in batch.columns)):
             try:
-                rows += _rows(path, code, begin)
+                found = _rows(path, code, begin)
             except (RecursionError, ValueError, IndexError) as problem:
-                rows.append({"path": path, "error": f"{type(problem).__name__}: {problem}"})
+                found = [{"path": path, "error": f"{type(problem).__name__}: {problem}"}]
+            rows += [{**row, "key": key, "nth": n} for n, row in enumerate(found)]
         yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
@@ -413,16 +414,19 @@ def _rows(path: str, code: str, begin: int) -> list[dict]:
     return rows
 
 
-def parse(files: DataFrame, path: str = "path", code: str = "code", start: str | None = None) -> DataFrame:
+def parse(files: DataFrame, path: str = "path", code: str = "code", start: str | None = None, key: str | None = None) -> DataFrame:
     """SRC9-10, PRS1-16: one row for each function of every source file, see SCHEMA.
 
     Files that aren't JavaScript or TypeScript by their extension are left out, as are null and empty
-    texts. A file that can't be read gives one row with only path and error; it never fails the job.
+    texts. A file that can't be read gives one row with only path and error; it never fails the job. With a
+    ``key`` (a text that tells sources apart) repeated rows give their functions once.
     """
     suffix = F.lower(F.regexp_extract(F.col(path), r"\.([^./\\]*)$", 1))
     line = F.coalesce(F.col(start), F.lit(1)) if start else F.lit(1)
-    rows = files.where(suffix.isin(*EXTENSIONS) & (F.length(code) > 0)).select(F.col(path), F.col(code), line.cast("int").alias("begin"))
-    return rows.mapInArrow(_parser, SCHEMA)
+    name = F.col(key) if key else F.lit(None).cast("string")
+    rows = files.where(suffix.isin(*EXTENSIONS) & (F.length(code) > 0)).select(F.col(path), F.col(code), line.cast("int").alias("begin"), name.alias("key"))
+    found = rows.mapInArrow(_parser, SCHEMA)
+    return found.dropDuplicates(["key", "nth"]) if key else found.drop("key", "nth")
 
 
 def resolve(imports: DataFrame, files: DataFrame) -> DataFrame:

@@ -11,11 +11,13 @@ from codelode.functions import text as X
 
 # What no analysis looks at.
 IGNORED = (
-    "node_modules/ .git/ dist/ build/ out/ .next/ .nuxt/ .svelte-kit/ coverage/ __pycache__/ .venv/ venv/ vendor/ .idea/ .vscode/ .terraform/ "
-    "package-lock.json yarn.lock pnpm-lock.yaml composer.lock Pipfile.lock poetry.lock Gemfile.lock Cargo.lock *.min.js *.min.css *.bundle.js *.chunk.js "
-    "*.png *.jpg *.jpeg *.gif *.ico *.svg *.webp *.bmp *.tiff *.woff *.woff2 *.ttf *.eot *.otf *.mp3 *.mp4 *.avi *.mov *.zip *.tar *.gz *.rar *.7z *.exe *.dll *.so *.dylib *.o *.a *.class *.jar *.war "
-    "*.pyc *.pyo *.wasm *.pdf *.doc *.docx *.xls *.xlsx *.ppt *.pptx .DS_Store Thumbs.db *.map *.d.ts .env .env.*"
-).split()
+    "node_modules/", ".git/", "dist/", "build/", "out/", ".next/", ".nuxt/", ".svelte-kit/", "coverage/", "__pycache__/", ".venv/", "venv/",
+    "vendor/", ".idea/", ".vscode/", ".terraform/", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "composer.lock", "Pipfile.lock",
+    "poetry.lock", "Gemfile.lock", "Cargo.lock", "*.min.js", "*.min.css", "*.bundle.js", "*.chunk.js", "*.png", "*.jpg", "*.jpeg", "*.gif", "*.ico",
+    "*.svg", "*.webp", "*.bmp", "*.tiff", "*.woff", "*.woff2", "*.ttf", "*.eot", "*.otf", "*.mp3", "*.mp4", "*.avi", "*.mov", "*.zip", "*.tar",
+    "*.gz", "*.rar", "*.7z", "*.exe", "*.dll", "*.so", "*.dylib", "*.o", "*.a", "*.class", "*.jar", "*.war", "*.pyc", "*.pyo", "*.wasm", "*.pdf",
+    "*.doc", "*.docx", "*.xls", "*.xlsx", "*.ppt", "*.pptx", ".DS_Store", "Thumbs.db", "*.map", "*.d.ts", ".env", ".env.*",
+)
 MOST_BYTES = 1_048_576
 
 
