@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelode.llm.encoding import VOCABULARY, encoder
+from codelode.llm.encoding import VOCABULARY, encoder, ship_vocabulary
 
 #: A string with fewer characters per subword is unnatural.
 UNNATURAL = 2.75
@@ -495,6 +495,7 @@ def find_credentials(df: DataFrame, key: str, code: str = "code") -> DataFrame:
     text = F.col(f"`{code}`")
     narrow = df.select(F.col(f"`{key}`").alias("chunk_id"), text.alias("code")).where(F.length(text) > 0)
     kind = narrow.schema["chunk_id"].dataType.simpleString()
+    ship_vocabulary(df.sparkSession)
     return narrow.mapInArrow(_line_finder, f"chunk_id {kind}, line_no int").distinct()
 
 
@@ -517,5 +518,6 @@ def redact(df: DataFrame, code: str = "code", mask: str = "*") -> DataFrame:
 
     import pandas as pd
 
+    ship_vocabulary(df.sparkSession)
     run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
     return df.withColumn(code, F.pandas_udf(run, "string")(F.col(f"`{code}`")))

@@ -8,6 +8,7 @@ on the different pre-tokens of an Arrow batch, and a bounded cache carries resul
 from __future__ import annotations
 
 import base64
+import os
 import re
 from collections.abc import Callable, Iterator, Sequence
 from heapq import heapify, heappop, heappush
@@ -16,7 +17,8 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.llm.perfect_hash import PerfectHash
@@ -108,10 +110,21 @@ class BytePairEncoder:
 _ENCODERS: dict[str, BytePairEncoder] = {}
 
 
+_SHIPPED: set[tuple[str, str]] = set()
+
+
+def ship_vocabulary(spark: SparkSession, path: str = VOCABULARY) -> None:
+    """Gives every executor the vocabulary's file, once for each application."""
+    this = (spark.sparkContext.applicationId, path)
+    if this not in _SHIPPED:
+        spark.sparkContext.addFile(path)
+        _SHIPPED.add(this)
+
+
 def encoder(path: str) -> BytePairEncoder:
-    """One encoder per vocabulary in a worker process."""
+    """One encoder per vocabulary in a worker process, from the path or else from the file that was shipped."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = BytePairEncoder(path)
+        _ENCODERS[path] = BytePairEncoder(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
     return _ENCODERS[path]
 
 
@@ -131,8 +144,9 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", vocabu
     """(key, ids array<int>) of every row of df, without special tokens; text is taken exactly as stored.
 
     Null and empty texts give an empty list; repeated rows stay; null keys stay null; other columns are
-    never read. The vocabulary's path must be readable on every executor. No shuffle.
+    never read. The vocabulary's file is read where the driver runs and shipped. No shuffle.
     """
+    ship_vocabulary(df.sparkSession, vocabulary)
     narrow = df.select(F.col(f"`{key}`"), F.col(f"`{text}`"))
     kind = narrow.schema[0].dataType.simpleString()
     return narrow.mapInArrow(_encoder(vocabulary, texts_at_once), f"`{key}` {kind}, ids array<int>")
