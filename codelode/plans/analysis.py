@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.functions import text as X
-from codelode.operators import coverage, evaluation, graph, rules, verify
+from codelode.operators import cards, coverage, evaluation, graph, knowledge, rules, verify
 from codelode.session import cut
 from codelode.sources import javascript, repository
 
@@ -28,12 +28,27 @@ class Analysis:
     report: DataFrame
 
 
-def analyze(spark: SparkSession, root: str, ignore: list[str] | None = None) -> Analysis:
+def _scanned(chunks: DataFrame) -> DataFrame:
+    """The rules' findings of some chunks, each with the id that follows from its place and rule."""
+    hits = rules.scan_chunks(chunks, rules.CHUNK_RULES).withColumn("agent_id", F.lit("security")).unionAll(rules.scan_chunks(chunks, rules.PERFORMANCE_RULES).withColumn("agent_id", F.lit("performance")))
+    return hits.select(
+        X.chunk_id(F.col("file_path"), F.col("line"), F.col("rule")).alias("id"), "agent_id", F.col("rule").alias("category"), "severity", "file_path", F.col("line").alias("start_line"), F.col("last_line").alias("end_line"), F.array("id").alias("chunk_ids")
+    )
+
+
+def _verified(findings: DataFrame, chunks: DataFrame) -> DataFrame:
+    cited = findings.select("id", "chunk_ids", "start_line", "end_line", F.lit(None).cast("string").alias("code_snippet"), F.lit("").alias("claim"))
+    return verify.verify(cited, chunks.select("id", "start_line", "code").dropDuplicates(["id"]))
+
+
+def analyze(spark: SparkSession, root: str, ignore: list[str] | None = None, reviews: int = 2, threshold: float = 0.6) -> Analysis:
     """SRC8, STR7, STR10-20: reads, parses, scans, verifies and sums up the repository under a folder.
 
     Files and chunks are written once, since many of the results read them; all else is lazy. Paths stay
     relative to the repository, so that two analyses can be compared (T2). Findings are the rules' own,
     each verified against its chunk by the rule's words (T20); what can't be parsed is in ``errors``.
+    While more than ``threshold`` of the verdicts dispute, up to ``reviews`` times, the chunks of disputed
+    findings are scanned anew and their findings replaced (STR10).
     """
     files = cut(repository.read_files(spark, root, ignore))
     parsed = cut(javascript.parse(files))
@@ -45,14 +60,20 @@ def analyze(spark: SparkSession, root: str, ignore: list[str] | None = None) ->
     )
     raw = whole.select("path", F.explode("imports").alias("spec")).distinct()
     edges = graph.edges(javascript.resolve(raw, files.select("path")))
-    hits = rules.scan_chunks(chunks, rules.CHUNK_RULES).withColumn("agent_id", F.lit("security")).unionAll(rules.scan_chunks(chunks, rules.PERFORMANCE_RULES).withColumn("agent_id", F.lit("performance")))
-    findings = cut(
-        hits.select(
-            X.chunk_id(F.col("file_path"), F.col("line"), F.col("rule")).alias("id"), "agent_id", F.col("rule").alias("category"), "severity", "file_path", F.col("line").alias("start_line"), F.col("last_line").alias("end_line"), F.array("id").alias("chunk_ids")
-        )
-    )
-    cited = findings.select("id", "chunk_ids", "start_line", "end_line", F.lit(None).cast("string").alias("code_snippet"), F.lit("").alias("claim"))
-    verdicts = verify.verify(cited, chunks.select("id", "start_line", "code").dropDuplicates(["id"]))
+    findings = cut(_scanned(chunks))
+    verdicts = cut(_verified(findings, chunks))
+    planned = knowledge.plan(chunks.select("id", "file_path", "cyclomatic_complexity", "smells").dropDuplicates(["id"]))
+    for _ in range(reviews):
+        share = verdicts.agg(F.coalesce(F.avg((F.col("verdict") == "DISPUTED").cast("double")), F.lit(0.0))).first()[0]
+        if share <= threshold:
+            break
+        # STR10: what is disputed is looked at again, agents without any look at the first of the plan
+        judged = findings.join(verdicts.select("id", "verdict").dropDuplicates(["id"]), "id").select(F.col("agent_id").alias("agent"), "chunk_ids", "verdict")
+        again = cards.targets(judged, planned)
+        fresh = _scanned(chunks.join(again.select(F.col("chunk").alias("id")).distinct(), "id", "left_semi")).join(again.select(F.col("agent").alias("agent_id"), F.array("chunk").alias("chunk_ids")).distinct(), ["agent_id", "chunk_ids"], "left_semi")
+        disputed = verdicts.where("verdict = 'DISPUTED'").select("id").distinct()
+        findings = cut(findings.join(disputed, "id", "left_anti").unionByName(fresh).dropDuplicates(["id"]))
+        verdicts = cut(_verified(findings, chunks))
     gaps = coverage.coverage_gaps(chunks.select("id", "file_path", "cyclomatic_complexity").distinct(), coverage.test_edges(edges), findings.where("agent_id = 'security'"))
     counted = findings.join(verdicts.select("id", "verdict"), "id").where("verdict <> 'DISPUTED'")
     n = lambda s: F.count_if(F.col("severity") == s)

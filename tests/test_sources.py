@@ -171,3 +171,23 @@ def test_generic_functions():
     assert of("const g = <K extends string, V>(x: Map<K, Array<V>>): Map<K, V> => x;") == [("g", 1)] or of("const g = <K extends string, V>(x: Map<K, Array<V>>): Map<K, V> => x;") == [("g", 2)]
     assert of("if (a < b && c > (d)) { x(); } for (let i = 0; i < n; i++) { f(i); }") == []
     assert of("const q = (a: { " + "x: number; " * 30 + "}): Map<string, number> => { return a }") == [("q", 1)]
+
+
+def test_disputed_findings_are_looked_at_again(spark, tmp_path, monkeypatch):
+    from codelode.plans import analysis
+
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.ts").write_text("export function f(s) {\n  return eval(s);\n}\n")
+    asked = []
+    verified = analysis._verified
+
+    def disputing(findings, chunks):
+        asked.append(sorted(r.category for r in findings.collect()))
+        found = verified(findings, chunks)
+        return found.withColumn("verdict", F.lit("DISPUTED")) if len(asked) < 3 else found
+
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(analysis, "_verified", disputing)
+    found = analysis.analyze(spark, str(tmp_path))
+    assert asked == [["code-injection"]] * 3 and found.findings.count() == 1
