@@ -70,7 +70,8 @@ KEY_BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 KEY_MATERIAL = re.compile(r"(?:^|\\n|[\"'`\s])([A-Za-z0-9+/]{16,}={0,2})(?=$|\\[nr]|[\"'`\s,+])", re.M)
 #: The next line of key material; a line may also end in an escape or a literal's end.
 KEY_NEXT = re.compile(r"(?:\\[nr]|[\"'`\s,+])*([A-Za-z0-9+/]{16,}={0,2})(?=$|\\[nr]|[\"'`\s,+])", re.M)
-MARKER = re.compile("-----(?:BEGIN|END)")
+#: The begin or end of a private key; ends of other things end none.
+KEY_MARK = re.compile(rf"({KEY_BEGIN.pattern})|-----END(?! (?:[A-Z0-9]+ )*(?:PUBLIC KEY|CERTIFICATE))")
 URL_PASSWORD = re.compile(r"\b[a-z][a-z0-9+.-]{1,24}://(?:[^\s:/@\"'`<>]*):([^\s/@\"'`<>]+)@[\w.\[\]-]+", re.I)
 URL_PARAMETER = re.compile(r"[?&](?:[\w-]*(?:api[_-]?key|token|secret|passw(?:or)?d|pwd|access[_-]?key|sig(?:nature)?)|auth|key|code)=([^&\s\"'`#]+)", re.I)
 HEADER = re.compile(r"\b(?:Bearer|Token|ApiKey)\s+([A-Za-z0-9._~+/=-]{16,})")
@@ -125,6 +126,7 @@ UUID = re.compile(r"^\{?[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}\}?$", re.I)
 DIGEST = re.compile(r"^(?:sha(?:1|224|256|384|512)|md5)[-:$]|^\$2[aby]\$|^\$argon2|^data:|^ssh-(?:rsa|ed25519) |^-----BEGIN (?:[A-Z]+ )*(?:PUBLIC KEY|CERTIFICATE)", re.I)
 PATH = re.compile(r"^[\w.@-]*(?:/[\w.@-]+)+$")
 _PROSE = re.compile(r"[A-Z]?[a-z]{4,}")
+_SYLLABLES = re.compile(r"[A-Z]?[a-z]{3,}")
 _WORDS = re.compile(r"[A-ZÀ-ÞА-ЯЁ]?[a-zß-ɏа-яё]+|[A-ZÀ-ÞА-ЯЁ]+(?![a-zß-ɏа-яё])|[0-9]+|[぀-ヿ一-鿿]+")
 
 
@@ -264,7 +266,7 @@ def is_random(value: str) -> bool:
         return False
     if not (any(map(str.islower, value)) and any(map(str.isupper, value)) and any(map(str.isdigit, value))):
         return False
-    if 2 * sum(map(len, _PROSE.findall(value))) > len(value):
+    if 2 * sum(map(len, _PROSE.findall(value))) > len(value) or 5 * sum(map(len, _SYLLABLES.findall(value))) > 3 * len(value):
         return False  # a route or a path of words that the vocabulary lacks
     return not (is_placeholder(value) or UUID.match(value) or DIGEST.match(value)) and chars_per_subword(value) < RANDOM
 
@@ -428,19 +430,39 @@ def _material_end(code: str, at: int) -> int:
     return at
 
 
+def _material(code: str, begin: int, stop: int, within: list[tuple[int, int]]) -> Iterator[int]:
+    """Where lines of key material begin, outside of the blocks within."""
+    for m in KEY_MATERIAL.finditer(code, begin, stop):
+        if not any(a < m.start(1) < b for a, b in within) and chars_per_subword(m[1]) < UNNATURAL:
+            yield m.start(1)
+
+
+def _key_blocks(code: str) -> Iterator[tuple[int, int | None, int]]:
+    """(begin, where the end's mark is, if there is one, where material begins) of private keys with material of their own; one may stand between the lines of another."""
+    open_: list[re.Match] = []
+    closed: list[tuple[int, int]] = []
+    for m in KEY_MARK.finditer(code) if "-----BEGIN" in code else ():
+        if m[1]:
+            open_.append(m)
+        elif open_:
+            begin = open_.pop()
+            if (first := next(_material(code, begin.end(), m.start(), closed), None)) is not None:
+                yield begin.start(), m.start(), first
+            closed.append((begin.start(), m.start()))
+    for begin in open_:
+        if (first := next(_material(code, begin.end(), len(code), closed), None)) is not None:
+            yield begin.start(), None, first
+
+
 def _spans(code: str) -> set[tuple[int, int]]:
     """Where credentials stand; a key of several lines may have others between its lines."""
     spans: set[tuple[int, int]] = set()
-    for m in KEY_BEGIN.finditer(code):
-        after = MARKER.search(code, m.end())
-        stop = after.start() if after else len(code)
-        material = (x for x in KEY_MATERIAL.finditer(code, m.end(), stop) if chars_per_subword(x[1]) < UNNATURAL)
-        if first := next(material, None):
-            if after and after[0].endswith("END"):
-                close = code.find("-----", stop + 8)
-                spans.add((m.start(), close + 5 if close >= 0 else stop))
-            else:  # no end: the key is as long as its lines follow each other
-                spans.add((m.start(), _material_end(code, first.start(1))))
+    for begin, end, first in _key_blocks(code):
+        if end is not None:
+            close = code.find("-----", end + 8)
+            spans.add((begin, close + 5 if close >= 0 else end))
+        else:  # no end: the key is as long as its lines follow each other
+            spans.add((begin, _material_end(code, first)))
     for a, b, listed in suspicious_lines(code):
         above = code[code.rfind("\n", 0, a - 1) + 1 : a - 1].rstrip("\r") if a else ""
         spans.update((a + x, a + y) for x, y in in_line(code[a:b].rstrip("\r"), above, listed))

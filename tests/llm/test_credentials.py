@@ -85,6 +85,8 @@ OTHERS = [
     'const password = "required";',
     'password: "string",',
     'return this.rpc.unary("/meadow.v2.MeterBridge/LedgerRibbon", req, 16);',
+    'return this.rpc.unary("/slot.v3.LeaseAxis/ValveCell", req, 6.822);',
+    'return this.rpc.unary("/anchor.v2.CedarPump/CellAxis", req, 64);',
     'import x from "segment-lite@3.11.12/Uint8ArrayThing2";',
     f'const commit = "{HEX}cf7309aa";',
     f'integrity: "sha512-{B64 * 2}=="',
@@ -122,6 +124,17 @@ def test_a_credential_between_the_lines_of_a_key():
     assert lines_with_credentials(f'k = "-----BEGIN EC PRIVATE KEY-----\\n{B64}\\n-----END EC PRIVATE KEY-----"') == [1]
 
 
+def test_keys_between_the_lines_of_a_key():
+    block = lambda inside: f"const a = `-----BEGIN PRIVATE KEY-----\n{inside}{B64}\n-----END PRIVATE KEY-----`;\n"
+    assert lines_with_credentials(block(block(""))) == [1, 2]
+    assert lines_with_credentials(block("").replace("-----END PRIVATE KEY-----", "") + block("")) == [1, 4]
+    cut_off = "  const a = `-----BEGIN EC PRIVATE KEY-----\n" + block("") + B64 + "\n"
+    assert lines_with_credentials(cut_off) == [1, 2]
+    assert lines_with_credentials('if (x.startsWith("-----BEGIN PRIVATE KEY-----")) {\n' + block("")) == [2]
+    certificate = f"-----BEGIN CERTIFICATE-----\n{B64}\n-----END CERTIFICATE-----\n"
+    assert lines_with_credentials(certificate + block("")) == [4]
+
+
 def test_names():
     assert kind_of("smtp_pass") == kind_of("adminPass") == kind_of("dbpassword") == kind_of("motDePasse") == "password"
     assert kind_of("SECRET_KEY") == kind_of("clientSecret") == kind_of("X_TOKEN") == kind_of("apiKey2") == "key"
