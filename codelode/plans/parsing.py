@@ -30,13 +30,49 @@ def parsed_summary(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(X.language(F.col("path")).alias("language")).agg(F.count("name").alias("functions"), F.round(F.avg("complexity"), 1).alias("mean_complexity"), F.sum("smells").cast("long").alias("smells"), F.count("error").alias("errors"))
 
 
-@R.add()
+#: The braces of a line as steps up and down.
+STEPS = "list_transform(list_filter(string_split(regexp_replace({0}, '[^{{}}]', '', 'g'), ''), lambda c: c <> ''), lambda c: CASE WHEN c = '{{' THEN 1 ELSE -1 END)"
+FOLDED_LINE = STEPS.format("l")
+CLASSES_SQL = f"""
+WITH t AS (SELECT id, any_value(code) AS code FROM chunks WHERE code IS NOT NULL GROUP BY id),
+u AS (SELECT id, unnest(range(1, len(string_split(code, chr(10))) + 1)) AS k, regexp_replace(unnest(string_split(code, chr(10))), '^\\s+|\\s+$', '', 'g') AS l FROM t),
+w AS (SELECT id, k, {FOLDED_LINE} AS steps, regexp_matches(l, {literal(folds.LOOP.pattern)})::INT AS loops, regexp_matches(l, {literal(folds.CONDITION.pattern)})::INT AS conditions FROM u),
+x AS (SELECT id, list({{'depth': coalesce(list_sum(steps), 0)::INT, 'least': least(0, coalesce(list_min(list_transform(range(1, len(steps) + 1), lambda i: list_sum(steps[1:i]))), 0))::INT, 'deepest': 0, 'loops': loops, 'conditions': conditions, 'open': []::INT[]}} ORDER BY k) AS lines FROM w GROUP BY id),
+y AS (SELECT id, list_reduce(lines, lambda s, v: {{
+  'depth': s.depth + v.depth, 'least': 0,
+  'deepest': CASE WHEN v.loops = 1 THEN greatest(s.deepest, len(list_filter(s.open, lambda o: o < s.depth + v.least))::INT + 1) ELSE s.deepest END,
+  'loops': s.loops + v.loops, 'conditions': s.conditions + v.conditions,
+  'open': CASE WHEN v.loops = 1 AND v.depth > v.least THEN list_append(list_filter(s.open, lambda o: o < s.depth + v.least), s.depth + v.least) ELSE list_filter(s.open, lambda o: o < s.depth + v.least) END}},
+  {{'depth': 0, 'least': 0, 'deepest': 0, 'loops': 0, 'conditions': 0, 'open': []::INT[]}}) AS s FROM x),
+n AS (SELECT id, code, coalesce(nullif(regexp_extract(code, {literal(folds.NAMED.pattern)}, 1), ''), nullif(regexp_extract(code, {literal(folds.NAMED.pattern)}, 2), '')) AS name FROM t),
+c AS (SELECT id, code, CASE WHEN name IS NULL THEN 0 ELSE len(regexp_extract_all(code, '\\b' || name || '\\s*\\(')) END AS calls FROM n),
+f AS (SELECT id, s.deepest AS nesting, s.loops AS loops, s.conditions AS conditions, calls > 1 AS recursion, regexp_matches(code, {literal(folds.SORT.pattern)}) AS sorts,
+  CASE WHEN calls > 1 AND (s.deepest >= 1 OR calls > 2) THEN 'O(2^n)' WHEN calls > 1 THEN 'O(n)' WHEN s.deepest = 0 THEN 'O(1)' WHEN s.deepest = 1 THEN 'O(n)' WHEN s.deepest = 2 THEN 'O(n²)' ELSE 'O(n³)' END AS class FROM y JOIN c USING (id))
+SELECT id, CASE WHEN sorts AND class IN ('O(1)', 'O(n)') THEN 'O(n log n)' ELSE class END AS class, nesting, loops, conditions, recursion FROM f
+"""
+
+
+@R.add(CLASSES_SQL)
 def complexity_classes(spark: SparkSession, d: str) -> DataFrame:
     """RUL3: the estimated class of every chunk."""
     return folds.complexity_classes(table(spark, d, "chunks"))
 
 
-@R.add()
+PARTS_SQL = f"""
+WITH t AS (SELECT id, max(code) AS code, max(coalesce(start_line, 1)) AS s, max(coalesce(cyclomatic_complexity, 1)) AS c, max(file_path) AS file_path FROM chunks WHERE length(code) - length(replace(code, chr(10), '')) + 1 > 100 GROUP BY id),
+u AS (SELECT id, unnest(range(0, len(string_split(code, chr(10))))) AS k, unnest(string_split(code, chr(10))) AS l FROM t),
+x AS (SELECT id, max(k) AS last, list({{'k': k, 'start': 0::BIGINT, 'depth': 0, 'steps': {FOLDED_LINE}, 'cuts': []::BIGINT[]}} ORDER BY k) AS lines FROM u GROUP BY id),
+d AS (SELECT id, last, list_reduce(lines[:-2], lambda a, v: CASE WHEN v.k - a.start + 1 >= 100 AND (list_reduce(v.steps, lambda z, y: greatest(z + y, 0), a.depth) <= 1 OR v.k - a.start + 1 >= 150)
+  THEN {{'k': v.k, 'start': v.k + 1, 'depth': 0, 'steps': []::INT[], 'cuts': list_append(a.cuts, v.k)}} ELSE {{'k': v.k, 'start': a.start, 'depth': list_reduce(v.steps, lambda z, y: greatest(z + y, 0), a.depth), 'steps': []::INT[], 'cuts': a.cuts}} END,
+  {{'k': -1::BIGINT, 'start': 0::BIGINT, 'depth': 0, 'steps': []::INT[], 'cuts': []::BIGINT[]}}).cuts AS cuts FROM x),
+e AS (SELECT id, last, list_append(cuts, last) AS ends FROM d),
+p AS (SELECT id, last, unnest(range(1, len(ends) + 1)) AS part, unnest(ends) AS b, unnest(list_prepend(0::BIGINT, list_transform(ends[:-2], lambda v: v + 1))) AS a FROM e),
+r AS (SELECT p.*, t.s, t.c, t.file_path, array_to_string(string_split(code, chr(10))[a + 1 : b + 1], chr(10)) AS piece FROM p JOIN t USING (id))
+SELECT id, part::INTEGER AS part, (s + a)::INTEGER AS first_line, (s + b)::INTEGER AS last_line, greatest(1, floor(c * (b - a + 1) / (last + 1) + 0.5))::INTEGER AS complexity, substring(sha256(file_path || ':' || (s + a)::INTEGER || ':' || piece), 1, 16) AS part_id FROM r
+"""
+
+
+@R.add(PARTS_SQL)
 def split_chunks(spark: SparkSession, d: str) -> DataFrame:
     """PRS3: the parts of chunks of more than 100 lines."""
     return folds.split_chunks(table(spark, d, "chunks")).select("id", "part", "first_line", "last_line", "complexity", "part_id")
