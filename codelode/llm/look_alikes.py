@@ -98,9 +98,12 @@ def caseless() -> dict[int, str]:
 
 @cache
 def _search(small: bool) -> Callable[[str], re.Match | None]:
-    """Finds whether anything in a text would be mapped; most texts are spared the slower mapping."""
-    spans: list[list[int]] = []
-    for c in sorted(caseless() if small else _translation()):
+    """Finds whether anything in a text may be mapped; most texts are spared the slower mapping.
+
+    Characters beyond the basic plane are rare and all count, as a class of many spans is slow to search.
+    """
+    spans: list[list[int]] = [[0x10000, 0x10FFFF]]
+    for c in sorted(c for c in (caseless() if small else _translation()) if c < 0x10000):
         if spans and spans[-1][1] == c - 1:
             spans[-1][1] = c
         else:
