@@ -3,13 +3,14 @@
 Method: every input partition is sorted by (group, score) in the JVM and read as one run, from which at
 most n items of a group are taken before seeking to the next group. The runs are exchanged by the
 group's hash bucket, ordered by (group, run, score) inside it, and merged group by group with a loser
-tree that stops after n different items. Above ``fan_in`` runs the merge takes two passes, the first
-over (group, block of runs), so that no task meets more than ``fan_in * n`` rows of a group however
-large the group is.
+tree that stops after n different items. Above ``fan_in`` runs the merge takes several passes, all but
+the last over (group, block of runs), until ``fan_in`` blocks are left, so that no task meets more than
+``fan_in * n`` rows of a group however large the group is.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -105,8 +106,8 @@ def top_n_per_group(df: DataFrame, group: str, score: str, item: str, n: int, ti
     without any score has no rows; an empty table gives an empty result. Other columns of df, whatever
     their names, are never read. An item may be in several groups.
     """
-    if n < 1:
-        raise ValueError("n must be at least 1")
+    if n < 1 or fan_in < 2:
+        raise ValueError("n must be at least 1 and fan_in at least 2")
     col: Callable[[str], Column] = lambda name: F.col(f"`{name}`")
     narrow = df.select(col(group).alias("g"), col(score).alias("s"), col(tie).alias("t"), col(item).alias("i"))
     narrow = narrow.where("g is not null and s is not null and i is not null")
@@ -116,9 +117,10 @@ def top_n_per_group(df: DataFrame, group: str, score: str, item: str, n: int, ti
     sorted_runs = narrow.sortWithinPartitions("g", *order)
     runs = sorted_runs.mapInArrow(_run_former(n), schema)
     n_runs = narrow._jdf.queryExecution().toRdd().getNumPartitions()
-    if n_runs > fan_in:
+    while n_runs > fan_in:
         block = F.expr(f"run div {fan_in}")
         passed = runs.withColumn("block", block).repartition("g", "block").sortWithinPartitions("block", "g", "run", *order)
         runs = passed.drop("block").mapInArrow(_merger(n), schema).withColumn("run", block.cast("int"))
+        n_runs = math.ceil(n_runs / fan_in)
     merged = runs.repartition("g").sortWithinPartitions("g", "run", *order).mapInArrow(_merger(n), schema)
     return merged.select(F.col("g").alias(group), F.col("i").alias(item))
