@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelode.functions import text as X
+from codelode.session import spread
 
 # What opens a loop, by keyword or by call, and a condition; how functions are named; what sorts.
 LOOPS = (r"\b(?:for|while|do)\s*[\s(]", r"\.(?:forEach|map|filter|reduce|flatMap|find|some|every)\s*\(")
@@ -82,7 +83,7 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def complexity_classes(chunks: DataFrame) -> DataFrame:
     """RUL3: the estimate for every chunk with code, once for each id (columns id and code)."""
-    given = chunks.where("code is not null").select("id", "code")
+    given = spread(chunks.where("code is not null").select("id", "code"))
     return given.mapInArrow(_classify, "id string, class string, nesting int, loops int, conditions int, recursion boolean").distinct()
 
 

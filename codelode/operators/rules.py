@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.functions import text as X
+from codelode.session import spread
 
 
 @dataclass(frozen=True)
@@ -100,7 +101,7 @@ def scan_lines(chunks: DataFrame, rules: tuple[Rule, ...] = LINE_RULES) -> DataF
     Lines meet all rules in one projection; nothing is joined, and chunks that no rule matches anywhere
     are dropped before their lines are taken apart.
     """
-    some = F.lit(False)
+    chunks, some = spread(chunks.select("id", "code")), F.lit(False)
     for r in rules:
         some = some | F.col("code").rlike(r.pattern)
     hits = F.array_compact(F.array(*(F.when(F.col("line").rlike(r.pattern), F.struct(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"))) for r in rules)))
@@ -115,7 +116,7 @@ def scan_chunks(chunks: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     line the first by id stays, then the first by the rules' order (WIN6). Lines count from the chunk's
     start line (0 if null).
     """
-    given = chunks.where("code is not null and file_path is not null").select("id", "file_path", "start_line", "end_line", "code")
+    given = spread(chunks.where("code is not null and file_path is not null").select("id", "file_path", "start_line", "end_line", "code"))
     start = F.coalesce("start_line", F.lit(0))
 
     def hit(k: int, r: Rule) -> Column:
@@ -130,7 +131,7 @@ def scan_chunks(chunks: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 def literals(chunks: DataFrame) -> DataFrame:
     """(row, id, text): the string literals of each row of chunks with their quotes, with repeats."""
-    rows = chunks.where("code is not null").select(F.monotonically_increasing_id().alias("row"), "id", "code")
+    rows = spread(chunks.where("code is not null").select("id", "code")).withColumn("row", F.monotonically_increasing_id())
     return rows.select("row", "id", F.explode(F.regexp_extract_all("code", F.lit(LITERAL), F.lit(0))).alias("text"))
 
 
@@ -160,7 +161,7 @@ def taint(chunks: DataFrame) -> DataFrame:
     """
     line = F.col("line")
     names = F.array_distinct(F.flatten(F.transform(X.code_lines(F.col("code")), lambda x: F.regexp_extract_all(x, F.lit(ASSIGNED), F.lit(1)))))
-    some = chunks.where(F.col("code").rlike(ASSIGNED)).withColumn("names", names)
+    some = spread(chunks.select("id", "code")).where(F.col("code").rlike(ASSIGNED)).withColumn("names", names)
     rows = lines(some, "names").select(
         "row", "id", "line_no", F.array_intersect(F.regexp_extract_all("line", F.lit(r"\w+"), F.lit(0)), "names").alias("named"), F.regexp_extract_all("line", F.lit(r"(\w+)\s*=[^=>]"), F.lit(1)).alias("assigned"),
         F.regexp_extract("line", DECLARED, 1).alias("target"), F.regexp_extract_all(F.regexp_extract("line", DECLARED, 2), F.lit(r"\w+"), F.lit(0)).alias("taken"), _kinds(line, SOURCE_KINDS).alias("from"), _kinds(line, SINK_KINDS).alias("to"),

@@ -10,7 +10,7 @@ from codelode.operators import coverage, diffing, rules, verify
 from codelode.plans.graphs import EDGES, ONE, TEST, chunk_files, imports
 from codelode.plans.registry import Registry, literal
 from codelode.plans.scalars import JOB
-from codelode.session import sent_if_small
+from codelode.session import sent_if_small, spread
 from codelode.sources.tables import table
 
 R = Registry()
@@ -231,7 +231,7 @@ UNION ALL SELECT id, 'HardcodedSecret' FROM c WHERE regexp_matches(code, {litera
 """)
 def smell_union(spark: SparkSession, d: str) -> DataFrame:
     """PRS11, PRS14, PRS16: what line-oriented detectors say of each chunk."""
-    given = table(spark, d, "chunks").where("code is not null").select("id", "file_path", "code")
+    given = spread(table(spark, d, "chunks").where("code is not null").select("id", "file_path", "code"))
     quiet = F.coalesce(F.lower("file_path").rlike("utils|logger"), F.lit(False))
     long = F.size(X.code_lines(F.rtrim("code", F.lit("\n")))) > 80
     kinds = F.array(F.when(long, "LongFunction"), F.when(F.col("code").rlike("console[.](log|warn|error|info|debug|trace)[ ]*[(]") & ~quiet, "ConsoleLog"), F.when(F.col("code").rlike(rules.SECRET), "HardcodedSecret"))

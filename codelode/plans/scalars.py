@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codelode.functions import text as X
 from codelode.plans.registry import Registry, literal
-from codelode.session import sent_if_small
+from codelode.session import sent_if_small, spread
 from codelode.sources.tables import table
 
 R = Registry()
@@ -86,7 +86,7 @@ def text_entropy(spark: SparkSession, d: str) -> DataFrame:
 @R.add()
 def document_entropy(spark: SparkSession, d: str) -> DataFrame:
     """SCL10: bits a character of every document's whole text; null and empty texts have none."""
-    documents = table(spark, d, "documents").where("text <> ''")
+    documents = spread(table(spark, d, "documents").where("text <> ''").select("doc_id", "text"))
     return documents.select("doc_id", F.round(X.entropy(F.col("text")), 6).alias("bits"))
 
 
@@ -150,7 +150,7 @@ SELECT id, (p - 1)::BIGINT AS line, md5(array_to_string(list_slice(lines, greate
 def first_match_line(spark: SparkSession, d: str) -> DataFrame:
     """SCL20-21: the first console call of each chunk and three lines around it."""
     pattern = "console[.](log|error|warn|debug)[ ]*[(]"
-    chunks = table(spark, d, "chunks").where(F.col("code").rlike(pattern)).select("id", "code")
+    chunks = spread(table(spark, d, "chunks").select("id", "code")).where(F.col("code").rlike(pattern))
     at = X.first_match(F.col("code"), pattern)
     return chunks.select("id", at.cast("long").alias("line"), F.md5(X.around_match(F.col("code"), pattern, 3)).alias("snippet_md5")).where("line is not null").distinct()
 

@@ -88,6 +88,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, where a scan has fewer (a file in one piece); else as it is.
+
+    For scans whose rows cost much to work on. A table of more pieces than cores is never exchanged.
+    """
+    plan = df._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
+
+
 #: Rows of two numbers or less that may be sent to every executor (16 MB).
 SMALL_ROWS = 1_000_000
 

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelode.session import spread
+
 EXTENSIONS = ("ts", "tsx", "js", "jsx", "mjs", "cjs")
 # Words of the language that count as operators, and that can't name a function.
 OPERATOR_WORDS = frozenset("function async await return if else switch case default for while do try catch throw new yield break continue export import class as satisfies typeof void delete instanceof in".split())
@@ -425,7 +427,7 @@ def parse(files: DataFrame, path: str = "path", code: str = "code", start: str |
     line = F.coalesce(F.col(start), F.lit(1)) if start else F.lit(1)
     name = F.col(key) if key else F.lit(None).cast("string")
     rows = files.where(suffix.isin(*EXTENSIONS) & (F.length(code) > 0)).select(F.col(path), F.col(code), line.cast("int").alias("begin"), name.alias("key"))
-    found = rows.mapInArrow(_parser, SCHEMA)
+    found = spread(rows).mapInArrow(_parser, SCHEMA)
     return found.dropDuplicates(["key", "nth"]) if key else found.drop("key", "nth")
 
 
