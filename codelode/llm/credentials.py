@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelode.llm.encoding import VOCABULARY, encoder, ship_vocabulary
+from codelode.session import spread
 
 #: A string with fewer characters per subword is unnatural.
 UNNATURAL = 2.75
@@ -518,7 +519,7 @@ def find_credentials(df: DataFrame, key: str, code: str = "code") -> DataFrame:
     narrow = df.select(F.col(f"`{key}`").alias("chunk_id"), text.alias("code")).where(F.length(text) > 0)
     kind = narrow.schema["chunk_id"].dataType.simpleString()
     ship_vocabulary(df.sparkSession)
-    return narrow.mapInArrow(_line_finder, f"chunk_id {kind}, line_no int").distinct()
+    return spread(narrow).mapInArrow(_line_finder, f"chunk_id {kind}, line_no int").distinct()
 
 
 def redact(df: DataFrame, code: str = "code", mask: str = "*") -> DataFrame:
@@ -542,4 +543,4 @@ def redact(df: DataFrame, code: str = "code", mask: str = "*") -> DataFrame:
 
     ship_vocabulary(df.sparkSession)
     run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return df.withColumn(code, F.pandas_udf(run, "string")(F.col(f"`{code}`")))
+    return spread(df).withColumn(code, F.pandas_udf(run, "string")(F.col(f"`{code}`")))

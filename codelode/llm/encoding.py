@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.llm.perfect_hash import PerfectHash
+from codelode.session import spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published pre-token pattern of the vocabulary (fixed value).
@@ -144,9 +145,10 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", vocabu
     """(key, ids array<int>) of every row of df, without special tokens; text is taken exactly as stored.
 
     Null and empty texts give an empty list; repeated rows stay; null keys stay null; other columns are
-    never read. The vocabulary's file is read where the driver runs and shipped. No shuffle.
+    never read. The vocabulary's file is read where the driver runs and shipped. No
+    shuffle, but to spread a file in one piece over the cores.
     """
     ship_vocabulary(df.sparkSession, vocabulary)
     narrow = df.select(F.col(f"`{key}`"), F.col(f"`{text}`"))
     kind = narrow.schema[0].dataType.simpleString()
-    return narrow.mapInArrow(_encoder(vocabulary, texts_at_once), f"`{key}` {kind}, ids array<int>")
+    return spread(narrow).mapInArrow(_encoder(vocabulary, texts_at_once), f"`{key}` {kind}, ids array<int>")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelode.operators.pairs import pairs_within
-from codelode.session import cut, sent_if_small
+from codelode.session import cut, sent_if_small, spread
 
 # Letters of other scripts and the letters that they look like, as in the public list of
 # confusable characters, within one case. Others may be given as a parameter.
@@ -172,7 +172,7 @@ def look_alike_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -
     """
     narrow = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("text")).where("k is not null and text is not null")
     kind = narrow.schema["k"].dataType.simpleString()
-    keyed = narrow.mapInArrow(_mapper, f"k {kind}, looks string, rough long, h long")
+    keyed = spread(narrow).mapInArrow(_mapper, f"k {kind}, looks string, rough long, h long")
     mixed = keyed.groupBy("rough").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("rough")
     found = cut(keyed.join(sent_if_small(mixed), "rough", "left_semi").select("k", "h", "looks").distinct())
     cand = found.select("k", "h", F.expr("looks collate UNICODE").alias("looks"))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from codelode.llm.parity import Sets, mixed, sets_of
 from codelode.operators.pairs import pairs_within
-from codelode.session import cut, sent_if_small
+from codelode.session import cut, sent_if_small, spread
 
 #: Bits of a class number that hold its set's size: exact below EXACT, then STEPS steps for every doubling.
 SIZE_BITS = 13
@@ -439,7 +439,7 @@ def near_copies(df: DataFrame, key: str = "id", text: str = "code", rule: Rule |
     code = F.col(f"`{text}`")
     rows = df.select(F.col(f"`{key}`").alias("id"), code.alias("code")).where(F.col("id").isNotNull() & (F.length(code) >= 2 * rule.least_tokens - 1))
     kind = rows.schema["id"].dataType.simpleString()
-    sets = cut(rows.mapInArrow(_reader(rule), f"id {kind}, class long, check long, elements array<long>").withColumn("row", F.monotonically_increasing_id()))
+    sets = cut(spread(rows).mapInArrow(_reader(rule), f"id {kind}, class long, check long, elements array<long>").withColumn("row", F.monotonically_increasing_id()))
     # one record stands for each class; only classes of several records are looked up
     several = sets.groupBy("class", "check").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").select("class", "check", "first")
     contents = sets.select("class", "check", "row", "elements").join(sent_if_small(several), ["class", "check"], "left").where("first is null or first = row").select("class", "check", "elements")

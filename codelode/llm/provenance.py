@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codelode.session import spread
+
 # Folders of package managers, of copied libraries and of tools' output.
 FOLDERS = ("node_modules", "bower_components", "jspm_packages", "site-packages", "vendor", "third_party", "third-party", "thirdparty", "__generated__", "generated", "gen", "autogen", "dist")
 # Endings of names (before the extension) that tools give their output.
@@ -175,7 +177,8 @@ def _beyond(extension: Column) -> Column:
 def decided_files(df: DataFrame, path: str = "file_path", code: str = "code", chunk: str = "id") -> DataFrame:
     """(path, by): the files of ``not_hand_written`` and whether their layout, path or notice decides, in that order."""
     p, c = F.col(f"`{path}`"), F.col(f"`{code}`")
-    given = df.where(p.isNotNull()).select(p.alias("path"), F.coalesce(F.col(f"`{chunk}`").cast("string"), F.lit("")).alias("chunk"), c.alias("code"), without_encoded(c).alias("bare"), head_of(c).alias("head"))
+    narrow = spread(df.where(p.isNotNull()).select(p.alias("path"), F.coalesce(F.col(f"`{chunk}`").cast("string"), F.lit("")).alias("chunk"), c.alias("code")))
+    given = narrow.select("path", "chunk", "code", without_encoded(F.col("code")).alias("bare"), head_of(F.col("code")).alias("head"))
     rows = given.select("path", "chunk", *chunk_layout(F.col("code"), F.col("bare"), F.col("head")))
     sums = ("chars", "encoded", "lines", "spaces", "alnum", "numbers", "name_chars", "names", "filled", "different")
     each = rows.groupBy("path", "chunk").agg(*(F.max(x).alias(x) for x in (*sums, "longest", "notice")))
