@@ -140,6 +140,8 @@ def _triggers() -> ahocorasick.Automaton:
     return found
 
 
+#: Why a line is looked at: an unnatural value, literals put together, a trigger word in it or above.
+ODD, PUT, LISTED = 1, 2, 4
 _SCORES: dict[str, float] = {}
 _SUBWORDS: dict[str, int] = {}
 #: Pieces of a value: words in one case, with or without a capital, numbers and marks.
@@ -169,8 +171,8 @@ def unnatural(value: str) -> bool:
     return (chars_per_subword(value) if score is None else score) < UNNATURAL
 
 
-def suspicious_lines(code: str) -> list[tuple[int, int, bool]]:
-    """(start, end, whether by a trigger word) of the lines to hold against the rules.
+def suspicious_lines(code: str) -> list[tuple[int, int, int]]:
+    """(start, end, why) of the lines to hold against the rules.
 
     These hold an unnatural value, literals that are put together, or a trigger word; after a trigger
     word, whose value may follow, the next line too.
@@ -179,21 +181,23 @@ def suspicious_lines(code: str) -> list[tuple[int, int, bool]]:
     if len(low) != len(code):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in code)
     odd = (m.start() for m in VALUE.finditer(code) if unnatural(m[0])) if any(map(unnatural, set(VALUE.findall(code)))) else ()
-    found: dict[tuple[int, int], bool] = {}
-    for places, more in ((odd, False), ((m.start() for m in PUT_TOGETHER.finditer(code)), False), ((last for last, _ in _triggers().iter(low)), True)):
+    found: dict[tuple[int, int], int] = {}
+    for places, why in ((odd, ODD), ((m.start() for m in PUT_TOGETHER.finditer(code)), PUT), ((last for last, _ in _triggers().iter(low)), LISTED)):
         done = 0
         for at in places:
             if at < done:
                 continue
             start, end = code.rfind("\n", 0, at) + 1, code.find("\n", at)
-            found[start, end if end >= 0 else len(code)] = more
+            line = (start, end if end >= 0 else len(code))
+            found[line] = found.get(line, 0) | why
             if end < 0:
                 break
             done = end + 1
-            if more and done <= len(code):
+            if why == LISTED and done <= len(code):
                 after = code.find("\n", done)
-                found[done, after if after >= 0 else len(code)] = True
-    return sorted((*span, more) for span, more in found.items())
+                line = (done, after if after >= 0 else len(code))
+                found[line] = found.get(line, 0) | why
+    return sorted((*line, why) for line, why in found.items())
 
 
 @dataclass(frozen=True)
@@ -328,26 +332,17 @@ def _value(line: str, at: int) -> Iterator[tuple[str, int, int]]:
 
 
 def _put_together(line: str) -> Iterator[tuple[int, int]]:
-    """Values that are decoded, joined or added up to a credential's format."""
-    if PUT_TOGETHER.search(line):
-        for made in (JOINED, ADDED):
-            for m in made.finditer(line):
-                parts = [_inside(x) for x in LITERAL.finditer(line, m.start(), m.end())]
-                whole = _together(line, parts)
-                if any(_formats(whole)) or any(True for u in URL_PASSWORD.finditer(whole) if not is_placeholder(u[1])):
-                    yield parts[0][0], parts[-1][1]
-    if "(" in line:
-        for m in DECODED.finditer(line):
-            a, b = _inside(m, 1)
-            plain = _decoded(line[a:b])
-            if plain and (any(_formats(plain)) or any(not is_placeholder(u[1]) for u in URL_PASSWORD.finditer(plain))):
-                yield a, b
+    """Values that are joined or added up to a credential's format."""
+    for made in (JOINED, ADDED):
+        for m in made.finditer(line):
+            parts = [_inside(x) for x in LITERAL.finditer(line, m.start(), m.end())]
+            whole = _together(line, parts)
+            if any(_formats(whole)) or any(True for u in URL_PASSWORD.finditer(whole) if not is_placeholder(u[1])):
+                yield parts[0][0], parts[-1][1]
 
 
 def _by_itself(line: str) -> Iterator[tuple[int, int]]:
     """Unnatural values that need no telling name, and those of names within a literal."""
-    if not any(map(unnatural, VALUE.findall(line))):
-        return
     for m in LITERAL.finditer(line):
         a, b = _inside(m)
         if is_random(line[a:b]) and not names_another(name_before(line, m.start())):
@@ -390,6 +385,11 @@ def _by_context(line: str, before: str) -> Iterator[tuple[int, int]]:
             a, b = _inside(m, 1)
             if works(line[a:b], kind):
                 yield a, b
+    for m in _matches(DECODED, line, "("):
+        a, b = _inside(m, 1)
+        plain = _decoded(line[a:b])
+        if plain and (any(_formats(plain)) or any(not is_placeholder(u[1]) for u in URL_PASSWORD.finditer(plain))):
+            yield a, b
     for m in _matches(CLIENT, line, "mysql", "mariadb"):
         if works(m[1], "password"):
             yield m.span(1)
@@ -411,16 +411,18 @@ def _by_context(line: str, before: str) -> Iterator[tuple[int, int]]:
             yield m.span(2)
 
 
-def in_line(line: str, before: str = "", listed: bool = True) -> Iterator[tuple[int, int]]:
+def in_line(line: str, before: str = "", why: int = ODD | PUT | LISTED) -> Iterator[tuple[int, int]]:
     """Credentials that start in one line; ``before`` is the line above it.
 
-    A line without a trigger word (not ``listed``) is spared the rules that need one.
+    A line is spared the rules that need what ``why`` doesn't name.
     """
     if _LONG_RUN.search(line):
         yield from _formats(line)
-    yield from _by_itself(line)
-    yield from _put_together(line)
-    if listed:
+    if why & ODD:
+        yield from _by_itself(line)
+    if why & PUT:
+        yield from _put_together(line)
+    if why & LISTED:
         yield from _by_context(line, before)
 
 
@@ -464,9 +466,9 @@ def _spans(code: str) -> set[tuple[int, int]]:
             spans.add((begin, close + 5 if close >= 0 else end))
         else:  # no end: the key is as long as its lines follow each other
             spans.add((begin, _material_end(code, first)))
-    for a, b, listed in suspicious_lines(code):
+    for a, b, why in suspicious_lines(code):
         above = code[code.rfind("\n", 0, a - 1) + 1 : a - 1].rstrip("\r") if a else ""
-        spans.update((a + x, a + y) for x, y in in_line(code[a:b].rstrip("\r"), above, listed))
+        spans.update((a + x, a + y) for x, y in in_line(code[a:b].rstrip("\r"), above, why))
     return spans
 
 
