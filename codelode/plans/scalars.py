@@ -150,7 +150,7 @@ SELECT id, (p - 1)::BIGINT AS line, md5(array_to_string(list_slice(lines, greate
 def first_match_line(spark: SparkSession, d: str) -> DataFrame:
     """SCL20-21: the first console call of each chunk and three lines around it."""
     pattern = "console[.](log|error|warn|debug)[ ]*[(]"
-    chunks = spread(table(spark, d, "chunks").select("id", "code")).where(F.col("code").rlike(pattern))
+    chunks = spread(table(spark, d, "chunks").where(F.col("code").rlike(pattern)).select("id", "code"))
     at = X.first_match(F.col("code"), pattern)
     return chunks.select("id", at.cast("long").alias("line"), F.md5(X.around_match(F.col("code"), pattern, 3)).alias("snippet_md5")).where("line is not null").distinct()
 
