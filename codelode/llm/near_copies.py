@@ -11,6 +11,9 @@ are verified with the sets themselves.
 Equal sets are one class from the start, so copies are never joined with each other. A key that more than
 ``few`` classes share says little (a part that holds nothing but boilerplate, or a large family): its
 members are joined to their sketches and only pairs whose sketches are near enough are ever written.
+Of these keys each set first leaves out the most frequent that it can spare: of its parts that are not empty
+at most d differ from a similar set's, so with n of them such a set shares n - d keys or more, and the rarest of
+these is still there when both have left out up to n - d - 1, the most frequent first.
 Above ``many`` members the key is refined before that by the keys of the other parts under a second
 dealing, which is again a pigeonhole argument. At the last depth a key of more members is cut into blocks,
 and pairs of blocks are dealt to tasks. Hot keys are a table all the time; none is sent to the driver.
@@ -27,12 +30,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.llm.parity import Sets, mixed, sets_of
 from codelode.operators.pairs import pairs_within
-from codelode.session import cut, sent_if_small, spread
+from codelode.session import SMALL_ROWS, cut, sent_if_small, spread
 
 #: Bits of a class number that hold its set's size: exact below EXACT, then STEPS steps for every doubling.
 SIZE_BITS = 13
@@ -102,6 +105,11 @@ class Rule:
         near = float(self.similarity)
         return self.level(sizes + np.ceil(near * sizes - 1e-9)), self.level(sizes + np.floor(sizes / near + 1e-9))
 
+    def most_differing(self, sizes: np.ndarray, level: int) -> np.ndarray:
+        """The largest symmetric difference of sets of these sizes and any that are similar to them, at one level."""
+        most = self.difference(sizes + sizes * self.similarity.denominator // self.similarity.numerator)
+        return most if level == LAST_LEVEL else np.minimum(most, 8 * 2**level)
+
 
 def _salt(depth: int, level: int) -> int:
     return 1000 * depth + 10 * level
@@ -122,18 +130,23 @@ def _keys(sets: Sets, rule: Rule, depth: int, level: np.ndarray | None, parent:
             yield k, found
 
 
+def _own(key: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Keys as those of one set only."""
+    return key ^ mixed(number.astype(np.uint64), 77)
+
+
 def _in(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return sorted_keys[np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)] == keys
 
 
 def sign(sets: Sets, rule: Rule, hot: Sequence[np.ndarray] = ()) -> tuple[np.ndarray, np.ndarray]:
-    """(set number, key) at the depth after the last of ``hot``, the sorted keys to refine of each depth."""
+    """(set number, key) at the depth after the last of ``hot``, the keys to refine of each depth, as ``_own`` gives them, sorted."""
     origin = np.arange(len(sets.begins) - 1)
     level = parent = None
     for depth, keys in enumerate(hot, 1):
         owners, parents, levels, rests = [], [], [], []
         for k, found in _keys(sets, rule, depth, level, parent):
-            hit = _in(keys, found.key)
+            hit = _in(keys, _own(found.key, origin[found.owner]))
             owner = found.owner[hit]
             if k == 0 and depth > 1:  # small sets must not run out of elements: the key itself goes on
                 rest = Sets(found.key[hit], np.arange(len(owner) + 1))
@@ -193,16 +206,14 @@ def _level_sketches(sets: Sets, rule: Rule, owner: np.ndarray, level: np.ndarray
 
 
 def _signer(rule: Rule, depth: int = 1) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From (class, elements, the keys to refine of each depth before): (key, class) at a depth.
-
-    A key to refine of one set in a batch is a key to refine of all others that have it.
-    """
+    """From (class, elements, the keys to refine of each depth before): (key, class) at a depth."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             number = batch.column(0).to_numpy(zero_copy_only=False)
-            hot = [np.unique(batch.column(k).flatten().to_numpy(zero_copy_only=False)).astype(np.int64).view(np.uint64) for k in range(2, 1 + depth)]
-            hot = [np.sort(keys) for keys in hot]
+            lists = [batch.column(k) for k in range(2, 1 + depth)]
+            hot = [x.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for x in lists]
+            hot = [np.sort(_own(keys, np.repeat(np.arange(len(x)), np.diff(x.offsets.to_numpy())))) for keys, x in zip(hot, lists)]
             if all(map(len, hot)):
                 owner, key = sign(_sets(batch.column(1)), rule, hot)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(number[owner])], names=["key", "class"])
@@ -225,6 +236,29 @@ def _sketcher(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
+def spare(sets: Sets, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set number, level, how many of its keys at the first depth the set can leave out), where there are any."""
+    low, high = rule.levels(sets.sizes)
+    found = [(np.empty(0, np.int64),) * 3]
+    for k in range(int(low.min()), int(high.max()) + 1) if len(low) else ():
+        which = (low <= k) & (k <= high) & (sets.sizes > 0)
+        n = sets.parts_hit(which, rule.parts(k), _salt(1, k)) - rule.most_differing(sets.sizes[which], k) - 1
+        found.append((np.flatnonzero(which)[n > 0], np.full(int((n > 0).sum()), k), n[n > 0]))
+    owner, level, number = (np.concatenate(x) for x in zip(*found))
+    return owner, level, number
+
+
+def _sparer(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(class, level, spare) of every set that can leave out keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, level, number = spare(_sets(batch.column(1)), rule)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(level.astype(np.int32)), pa.array(number.astype(np.int32))], names=["class", "level", "spare"])
+
+    return run
+
+
 def _similar_sizes(a: np.ndarray, b: np.ndarray, level: np.ndarray, rule: Rule) -> np.ndarray:
     """Pairs whose sizes allow the similarity and may belong to the level they met at."""
     (a_low, a_high), (b_low, b_high) = size_bounds(a & SIZE_MASK), size_bounds(b & SIZE_MASK)
@@ -385,6 +419,19 @@ def _members(met: DataFrame) -> DataFrame:
     return met.where("hot").select(F.col("x").alias("key"), F.col("y").alias("class"))
 
 
+def _thinned(members: DataFrame, spares: DataFrame) -> DataFrame:
+    """(key, class) without the most frequent keys that a class can spare at each level; no pair is lost.
+
+    The order (frequency, then key) is the same for all classes, so two that share more keys than either leaves out
+    still share the rarest of them. Keys that are no members' are rarer than all of these.
+    """
+    often = sent_if_small(members.groupBy("key").agg(F.count("*").alias("n")))
+    levelled = members.join(often, "key").withColumn("level", F.col("key").bitwiseAND(F.lit(LAST_LEVEL)).cast("int"))
+    order = Window.partitionBy("class", "level").orderBy(F.col("n").desc(), "key")
+    ranked = levelled.join(spares, ["class", "level"], "left").withColumn("rank", F.rank().over(order))
+    return cut(ranked.where(F.col("rank") > F.coalesce("spare", F.lit(0))).select("key", "class"))
+
+
 def _near_by_sketch(members: DataFrame, large: DataFrame | None, sketches: DataFrame, rule: Rule) -> DataFrame:
     """(x, y): classes with a key in common whose sketches are near; keys in ``large`` (key, n) come in blocks."""
     dealt = members.select("key", "class", F.lit(0).cast("long").alias("part"), F.lit(0).alias("side"))
@@ -405,7 +452,7 @@ def _candidates(contents: DataFrame, sketches: DataFrame, rule: Rule) -> tuple[D
     schema = "key long, class long"
     met = _met(contents.select("class", "elements").mapInArrow(_signer(rule), schema), _pairer(rule, rule.few))
     pairs, near = met.where("not hot").select("x", "y", "level").distinct(), met.where("false").select("x", "y")
-    members, chain = _members(met), []
+    members, chain = _thinned(_members(met), contents.select("class", "elements").mapInArrow(_sparer(rule), "class long, level int, spare int")), []
     for depth in range(1, rule.depth + 1):
         large = cut(members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > rule.many))
         if large.isEmpty():
@@ -415,7 +462,9 @@ def _candidates(contents: DataFrame, sketches: DataFrame, rule: Rule) -> tuple[D
         keys = sent_if_small(large.select("key"))
         near = near.unionAll(_near_by_sketch(members.join(keys, "key", "left_anti"), None, sketches, rule))
         # the keys to refine of each class, not more than its set has parts
-        chain.append(cut(members.join(keys, "key", "left_semi").groupBy("class").agg(F.collect_set("key").alias(f"keys{depth}"))))
+        refined = cut(members.join(keys, "key", "left_semi").groupBy("class").agg(F.collect_set("key").alias(f"keys{depth}")))
+        held = refined.agg(F.sum(F.size(f"keys{depth}"))).first()[0] or 0
+        chain.append(F.broadcast(refined) if held <= SMALL_ROWS // 2 else refined)  # else the sets would be exchanged
         rows = reduce(lambda left, right: left.join(right, "class"), reversed(chain), contents)
         rows = rows.select("class", "elements", *(f"keys{k}" for k in range(1, depth + 1)))
         members = _members(_met(rows.mapInArrow(_signer(rule, depth + 1), schema), _pairer(rule, 1)))

@@ -98,6 +98,16 @@ class Sets:
         key = np.bitwise_xor.reduceat(mixed(elements[order], salt + 1), first)
         return Parts(owner[order][first], part[first], mixed(key ^ mixed(part[first], salt + 2), salt + 3))
 
+    def parts_hit(self, which: np.ndarray, parts: int, salt: int) -> np.ndarray:
+        """How many parts of each chosen set are not empty, dealt as in ``part_keys``."""
+        if not parts:
+            return self.sizes[which]
+        chosen = which[self.owner]
+        row = np.cumsum(which) - 1
+        hit = np.zeros((int(which.sum()), parts), bool)
+        hit[row[self.owner[chosen]], (mixed(self.elements[chosen], salt) % np.uint64(parts)).astype(np.int64)] = True
+        return hit.sum(axis=1)
+
     def without(self, owner: np.ndarray, part: np.ndarray, parts: int, salt: int) -> Sets:
         """For each (set, part): the set without that part's elements."""
         size = self.sizes[owner]

@@ -94,6 +94,48 @@ def test_blocks_of_a_key(spark):
     assert run(spark, rows, Rule(few=2, many=7, depth=1)) == brute(rows)
 
 
+@pytest.mark.parametrize("exact", [False, True])
+def test_similar_sets_share_more_keys_than_they_can_spare(exact):
+    rule, rng = Rule(exact=exact), random.Random(11)
+    texts = [t for words in (40, 45, 60, 100, 150, 200, 300, 900, 3000) for k in range(4) for t in family(rng, 8, words, 30 if k == 0 else 5000)]
+    s = sets_of(texts, 3, 40)
+    spare = {(o, k): n for o, k, n in zip(*(x.tolist() for x in near_copies.spare(s, rule)))}
+    owner, key = near_copies.sign(s, rule)
+    keys = [set(key[owner == k].tolist()) for k in range(len(texts))]
+    held = 0
+    for a in range(len(texts)):
+        for b in range(a + 1, min(a + 32, len(texts))):
+            ga, gb = grams(texts[a]), grams(texts[b])
+            if len(ga & gb) >= Fraction(7, 10) * len(ga | gb):
+                level = int(rule.level(np.int64(len(ga) + len(gb))))
+                both = sum(k & 31 == level for k in keys[a] & keys[b])
+                most = max(spare.get((a, level), 0), spare.get((b, level), 0))
+                assert both > most or not both and not most
+                held += most > 0
+    assert held > 100
+
+
+def test_a_key_of_many_is_not_refined_for_sets_that_can_spare_it(spark, monkeypatch):
+    """Whole sets are dealt and exchanged anew only for classes that need one of their keys of many classes."""
+    rng, depths, signer = random.Random(12), [], near_copies._signer
+    header = " ".join(f"header{k}" for k in range(12))
+    rows = [(f"id{k}", header + " " + t) for k, t in enumerate(t for _ in range(60) for t in family(rng, 2, 150, 10**6))]
+    shared = np.unique(near_copies.sign(sets_of([t for _, t in rows], 3, 40), Rule())[1], return_counts=True)[1].max()
+    assert shared > 8
+    monkeypatch.setattr(near_copies, "_signer", lambda rule, depth=1: (depths.append(depth), signer(rule, depth))[1])
+    assert run(spark, rows, Rule(few=2, many=8)) == brute(rows)
+    assert depths == [1]
+
+
+def test_sets_of_few_classes_to_refine_are_not_exchanged(spark, monkeypatch):
+    plans, met = [], near_copies._met
+    monkeypatch.setattr(near_copies, "_met", lambda rows, f: (plans.append(rows._jdf.queryExecution().optimizedPlan().toString()), met(rows, f))[1])
+    rows = records(3, "shared header words that come first in all of the files ")
+    assert run(spark, rows, Rule(few=2, many=12, depth=3)) == brute(rows)
+    refined = [p for p in plans if "Join" in p]
+    assert refined and all(p.count("Join") == p.count("strategy=broadcast") for p in refined)
+
+
 def test_one_key_of_many_classes_is_dealt_to_several_tasks(spark):
     classes, words = 3000, 4
     rule = Rule(many=500, depth=1)
